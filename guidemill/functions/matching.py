@@ -111,6 +111,19 @@ def spans(text: Column, pattern: str, groups: int = 0) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(empty_array(ddl))
 
 
+def tagged_spans(text: Column, patterns: Sequence[tuple[int, str, int]]) -> Column:
+    """Spans of several (tag, pattern, groups) in one array of (tag, start, end, hit, g1, g2)."""
+    ddl = "struct<tag:int,start:int,end:int,hit:string,g1:string,g2:string>"
+
+    def tagged(tag: int, pattern: str, groups: int) -> Column:
+        none = F.lit(None)
+        return F.transform(spans(text, pattern, groups), lambda s: F.struct(
+            F.lit(tag).alias("tag"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"),
+            (s["g1"] if groups > 0 else none).alias("g1"), (s["g2"] if groups > 1 else none).alias("g2"))).cast(f"array<{ddl}>")
+
+    return F.concat(*[tagged(*p) for p in patterns])
+
+
 def window(text: Column, start: Column, end: Column) -> Column:
     """``text[start:end]`` with 0-based offsets clamped to the text (Python slice rules)."""
     lo = F.greatest(start, F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import (
-    empty_array, explode_rows, first_at, first_case, first_group, let, literal_map, rx, spans, squeeze, window,
+    empty_array, explode_rows, first_at, first_case, first_group, let, literal_map, rx, spans, squeeze, tagged_spans, window,
 )
 
 VARIABLE_DDL = "struct<type:string,value:string,context:string>"
@@ -69,32 +69,31 @@ def logical_operator(intro: Column) -> Column:
     return first_case(intro, [("OR", intro.rlike(rx(fv.OR_WORDS))), ("AND", intro.rlike(rx(fv.AND_WORDS)))], "OR")
 
 
-def outcome(intro: Column, kind: str) -> Column:
+def outcome(intro: Column, kind: Column) -> Column:
     said = F.coalesce(*[first_group(intro, rx(p)) for p in fv.OUTCOME_PATTERNS])
-    return F.coalesce(F.concat(F.lit("You must "), said), F.lit(fv.OUTCOME_BY_TYPE[kind]))
+    return F.coalesce(F.concat(F.lit("You must "), said), F.try_element_at(literal_map(fv.OUTCOME_BY_TYPE), kind))
 
 
 def condition_lists(text: Column) -> Column:
     """Lists of at least two items."""
-
-    def of_start(kind: str, hint: str, has_subject: bool, pattern: str) -> Column:
-        def row(s: Column) -> Column:
-            intro = F.lower(window(text, s["start"] - 50, s["end"]))
-            subject = F.coalesce(F.nullif(s["g1"], F.lit("")), F.lit(hint)) if has_subject else F.lit(hint)
-
-            def with_body(body: Column) -> Column:
-                return let(intro, lambda i: F.struct(
-                    F.concat(F.lit(f"{kind.title()} conditions for "), subject).alias("condition_name"),
-                    F.lit(kind).alias("condition_type"), logical_operator(i).alias("logical_operator"),
-                    list_items(body).alias("conditions"), outcome(i, kind).alias("outcome_if_met"),
-                    window(text, s["start"], s["end"] + F.length(body)).alias("context_text")).cast(LIST_DDL))
-
-            rest = window(text, s["end"], s["end"] + 2000)
-            return let(let(rest, lambda r: F.substring(r, F.lit(1), list_end(r))), with_body)
-
-        return F.transform(spans(text, rx(pattern, "is"), 1 if has_subject else 0), row)
-
-    found = F.filter(F.concat(*[of_start(*c) for c in fv.CONDITION_STARTS]), lambda c: F.size(c["conditions"]) >= 2)
+    starts = [(i, rx(p, "is"), 1 if has_subject else 0)
+              for i, (_, _, has_subject, p) in enumerate(fv.CONDITION_STARTS)]
+
+    def row(s: Column) -> Column:
+        kind = first_case(s["tag"], [(k, s["tag"] == i) for i, (k, *_) in enumerate(fv.CONDITION_STARTS)], None)
+        hint = first_case(s["tag"], [(h, s["tag"] == i) for i, (_, h, *_) in enumerate(fv.CONDITION_STARTS)], None)
+        rest = window(text, s["end"], s["end"] + 2000)
+        parts = F.struct(
+            F.lower(window(text, s["start"] - 50, s["end"])).alias("intro"), kind.alias("kind"),
+            let(rest, lambda r: F.substring(r, F.lit(1), list_end(r))).alias("body"))
+        return let(parts, lambda p: F.struct(
+            F.concat(F.initcap(p["kind"]), F.lit(" conditions for "), F.coalesce(F.nullif(s["g1"], F.lit("")), hint))
+            .alias("condition_name"),
+            p["kind"].alias("condition_type"), logical_operator(p["intro"]).alias("logical_operator"),
+            list_items(p["body"]).alias("conditions"), outcome(p["intro"], p["kind"]).alias("outcome_if_met"),
+            window(text, s["start"], s["end"] + F.length(p["body"])).alias("context_text")).cast(LIST_DDL))
+
+    found = F.filter(F.transform(tagged_spans(text, starts), row), lambda c: F.size(c["conditions"]) >= 2)
     return F.when(has_condition_lists(text), found).otherwise(empty_array(LIST_DDL))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import (
-    around, contains_any, empty_array, explode_rows, first_case, first_per_key, let, rx, spans, squeeze,
+    contains_any, empty_array, explode_rows, first_case, first_per_key, let, rx, squeeze, tagged_spans, window,
 )
 from guidemill.operators.parse import plain
 
@@ -39,68 +39,50 @@ def _underscored(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit(" "), F.lit("_"))
 
 
-def _row(order: int, kind: str, text: Column, target: Column, url: Column, context: Column,
-         position: Column, rel: Column) -> Column:
-    return F.struct(
-        F.struct(F.lit(kind).alias("type"), target.alias("target")).alias("key"),
-        (F.lit(order) * F.lit(_STRIDE) + position).alias("ord"),
-        F.lit(kind).alias("reference_type"), text.alias("reference_text"), target.alias("target_normalized"),
-        url.alias("target_url"), context.alias("context"), position.alias("position"),
-        rel.alias("relationship_type"), F.lit("explicit").alias("strength"),
-    ).cast(REFERENCE_DDL)
-
-
-def _manual_references(text: Column) -> list[Column]:
-    def of_family(i: int, family: str, pattern: str) -> Column:
-        def row(s: Column) -> Column:
-            code = F.upper(s["g1"])
-            url = F.concat(F.lit(fv.MANUAL_ADDRESS), F.lower(code)) if family in fv.MANUALS_WITH_ADDRESS \
-                else F.lit(None).cast("string")
-            return let(around(text, s, 50, 50), lambda c: _row(
-                i, "hmrc_manual", code, F.lower(code), url, c, s["start"], relationship(c)))
-
-        return F.transform(spans(text, rx(pattern), 1), row)
-
-    return [of_family(i, family, p) for i, (family, p) in enumerate(fv.MANUAL_ID_PATTERNS.items())]
-
-
-def _section_references(text: Column) -> list[Column]:
-    none = F.lit(None).cast("string")
-
-    def of_pattern(i: int, p: str) -> Column:
-        return F.transform(spans(text, rx(p), 1), lambda s: _row(
-            20 + i, "section", F.concat(F.lit("section "), s["g1"]), F.concat(F.lit("section_"), s["g1"]), none,
-            around(text, s, 30, 30), s["start"], F.lit("references")))
-
-    return [of_pattern(i, p) for i, p in enumerate(fv.SECTION_REFERENCES)]
-
-
-def _legislation_references(text: Column) -> list[Column]:
-    none = F.lit(None).cast("string")
-
-    def of_pattern(i: int, two: bool, p: str) -> Column:
-        def row(s: Column) -> Column:
-            if two:
-                label = F.concat(F.lit("s."), s["g1"], F.lit(" "), s["g2"])
-                target = F.concat(_underscored(s["g2"]), F.lit("_s"), s["g1"])
-            else:
-                label, target = s["g1"], _underscored(s["g1"])
-            return _row(30 + i, "legislation", label, target, none, around(text, s, 30, 30), s["start"], F.lit("cites"))
-
-        return F.transform(spans(text, rx(p), 2 if two else 1), row)
-
-    return [of_pattern(i, kind == "act_section", p) for i, (kind, p) in enumerate(fv.LEGISLATION_REFERENCES)]
-
-
-def _term_references(text: Column) -> list[Column]:
-    none = F.lit(None).cast("string")
-
-    def of_pattern(i: int, p: str) -> Column:
-        return F.transform(spans(text, rx(p), 1), lambda s: _row(
-            40 + i, "definition", s["g1"], _underscored(s["g1"]), none, around(text, s, 30, 50), s["start"],
-            F.lit("defines")))
-
-    return [of_pattern(i, p) for i, p in enumerate(fv.TERM_REFERENCES)]
+# Detector order: manual families share one pass (their ids cannot overlap), the rest follow.
+_MANUAL, _SECTION, _LEGISLATION, _TERM, _LINK = 0, 20, 30, 40, 50
+_PREFIXES = [p[3:-3].split("[")[0].split("(")[0] for p in fv.MANUAL_ID_PATTERNS.values()]
+
+
+def _patterns() -> list[tuple[int, str, int]]:
+    manual = r"\b(" + "|".join(p[3:-3] for p in fv.MANUAL_ID_PATTERNS.values()) + r")\b"
+    out = [(_MANUAL, rx(manual), 1)]
+    out += [(_SECTION + i, rx(p), 1) for i, p in enumerate(fv.SECTION_REFERENCES)]
+    out += [(_LEGISLATION + i, rx(p), 2 if kind == "act_section" else 1)
+            for i, (kind, p) in enumerate(fv.LEGISLATION_REFERENCES)]
+    return out + [(_TERM + i, rx(p), 1) for i, p in enumerate(fv.TERM_REFERENCES)]
+
+
+def text_references(text: Column) -> Column:
+    """All references of the four text detectors, as reference rows."""
+    families = list(fv.MANUAL_ID_PATTERNS)
+
+    def row(s: Column) -> Column:
+        tag, g1 = s["tag"], s["g1"]
+        is_manual, is_section, is_term = tag == _MANUAL, (tag >= _SECTION) & (tag < _LEGISLATION), tag >= _TERM
+        two = s["g2"].isNotNull()
+        code = F.upper(g1)
+        family = first_case(code, [(str(i), code.startswith(p)) for i, p in enumerate(_PREFIXES)], None).cast("int")
+        has_url = family.isin([i for i, f in enumerate(families) if f in fv.MANUALS_WITH_ADDRESS])
+        label = F.when(is_manual, code).when(is_section, F.concat(F.lit("section "), g1)) \
+            .when(two, F.concat(F.lit("s."), g1, F.lit(" "), s["g2"])).otherwise(g1)
+        target = F.when(is_manual, F.lower(g1)).when(is_section, F.concat(F.lit("section_"), g1)) \
+            .when(two, F.concat(_underscored(s["g2"]), F.lit("_s"), g1)).otherwise(_underscored(g1))
+        kind = F.when(is_manual, "hmrc_manual").when(is_section, "section").when(is_term, "definition") \
+            .otherwise("legislation")
+        margin = F.when(is_manual, 50).otherwise(30)
+        context = window(text, s["start"] - margin, s["end"] + F.when(is_manual | is_term, 50).otherwise(30))
+        rel = F.when(is_manual, relationship(context)).when(is_section, "references").when(is_term, "defines") \
+            .otherwise("cites")
+        return let(F.struct(kind.alias("k"), target.alias("t")), lambda key: F.struct(
+            F.struct(key["k"].alias("type"), key["t"].alias("target")).alias("key"),
+            ((tag + F.when(is_manual, family).otherwise(0)) * F.lit(_STRIDE) + s["start"]).alias("ord"),
+            key["k"].alias("reference_type"), label.alias("reference_text"), key["t"].alias("target_normalized"),
+            F.when(is_manual & has_url, F.concat(F.lit(fv.MANUAL_ADDRESS), F.lower(g1))).alias("target_url"),
+            context.alias("context"), s["start"].alias("position"), rel.alias("relationship_type"),
+            F.lit("explicit").alias("strength")).cast(REFERENCE_DDL))
+
+    return F.transform(tagged_spans(text, _patterns()), row)
 
 
 def anchors(html: Column) -> Column:
@@ -123,7 +105,7 @@ def internal_links(html: Column) -> Column:
         (a["href"].startswith("/") | a["href"].contains("gov.uk")) & ~contains_any(a["href"], fv.SKIPPED_LINKS)))
     return F.transform(inside, lambda a, i: F.struct(
         F.struct(F.lit("internal_link").alias("type"), F.lower(a["href"]).alias("target")).alias("key"),
-        (F.lit(50) * F.lit(_STRIDE) + i).alias("ord"),
+        (F.lit(_LINK) * F.lit(_STRIDE) + i).alias("ord"),
         F.lit("internal_link").alias("reference_type"),
         F.coalesce(F.nullif(a["label"], F.lit("")), a["href"]).alias("reference_text"),
         F.lower(a["href"]).alias("target_normalized"),
@@ -136,9 +118,7 @@ def internal_links(html: Column) -> Column:
 
 def references(text: Column, html: Column | None = None) -> Column:
     """First reference per (type, target), in detector order."""
-    parts = (_manual_references(text) + _section_references(text)
-             + _legislation_references(text) + _term_references(text))
-    found = F.when(has_references(text), F.concat(*parts)).otherwise(empty_array(REFERENCE_DDL))
+    found = F.when(has_references(text), text_references(text)).otherwise(empty_array(REFERENCE_DDL))
     if html is not None:
         links = F.when(F.length(text) > 0, internal_links(html)).otherwise(empty_array(REFERENCE_DDL))
         found = F.concat(found, links)

@@ -1,0 +1 @@
+"""Registered queries: name -> (Spark function, SQL for the check or None)."""

@@ -15,6 +15,8 @@ def local_session(cores: str = "*", app: str = "guidemill", memory: str = "12g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # Call sites are captured for every column call otherwise; that dominates building large expressions.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )

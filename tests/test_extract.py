@@ -95,6 +95,7 @@ def test_references(texts):
         ("hmrc_manual", "VATREG02200", "vatreg02200"), ("hmrc_manual", "CTM01500", "ctm01500"),
         ("hmrc_manual", "BIM45000", "bim45000"), ("section", "section 3.2", "section_3.2"),
         ("legislation", "Finance Act 2024", "finance_act_2024"),
+        ("legislation", "Taxes Act 1988", "taxes_act_1988"),
         ("legislation", "s.45 Taxes Act 1988", "taxes_act_1988_s45"),
         ("legislation", "2003/3143", "2003/3143"), ("legislation", "282/2011", "282/2011"),
         ("definition", "Taxable turnover", "taxable_turnover"),
