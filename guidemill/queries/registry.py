@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["chunking", "extraction", "page_content", "reference_graph"]
+GROUPS = ["chunking", "extraction", "page_content", "reference_graph", "ingestion"]
 
 
 def all_queries() -> dict:
