@@ -71,7 +71,7 @@ def walk_trees(cases: DataFrame, trees: DataFrame) -> DataFrame:
     walked = F.aggregate(
         F.sequence(F.lit(1), F.size("nodes")),
         F.struct(F.col("entry_node_id").alias("at"), F.array().cast("array<string>").alias("path"),
-                 F.lit(None).cast("string").alias("end")),
+                 F.lit(None).cast("string").alias("end")).cast("struct<at:string,path:array<string>,end:string>"),
         step)
     out = joined.withColumn("_w", walked).withColumn("_n", node(F.col("nodes"), F.col("_w.end")))
     return out.select(
