@@ -52,6 +52,7 @@ PARAGRAPH_BREAK = r"\n\n+"
 SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z])"
 
 # --- fixed values: wording that marks legal content ----------------------------------------------
+# (flags, pattern, words of which every match holds one)
 CONDITION_LEAD_IN = (
     r"(?:you\s+(?:must|should|can(?:not)?|need\s+to|will\s+need\s+to)"
     r"|(?:a\s+)?(?:person|business|company|trader)\s+(?:must|should|can)"
@@ -61,33 +62,33 @@ CONDITION_LEAD_IN = (
 )
 CONDITION_ITEM = r"^\s*\(([a-z])\)\s*"
 DEFINITION_WORDING = [
-    ("i", r"['\"]([^'\"]+)['\"]\s+(?:means|has\s+the\s+meaning|is\s+defined\s+as|refers?\s+to)"),
-    ("i", r"\b(?:the\s+term\s+)?['\"]([^'\"]+)['\"]\s+(?:means|is|includes)"),
-    ("m", r"^([A-Z][a-z]+(?:\s+[a-z]+)*)\s*[-–]\s*(?:means|is|the)"),
+    ("i", r"['\"]([^'\"]+)['\"]\s+(?:means|has\s+the\s+meaning|is\s+defined\s+as|refers?\s+to)", ("means", "meaning", "defined", "refer")),
+    ("i", r"\b(?:the\s+term\s+)?['\"]([^'\"]+)['\"]\s+(?:means|is|includes)", ("'", '"')),
+    ("m", r"^([A-Z][a-z]+(?:\s+[a-z]+)*)\s*[-–]\s*(?:means|is|the)", ("-", "–")),
 ]
 EXAMPLE_WORDING = [
-    ("i", r"\b(?:example|for\s+example|e\.g\.)\s*[:\-]"),
-    ("i", r"\b(?:suppose|consider|imagine|let's\s+say)\b"),
-    ("", r"\b(?:Sarah|John|Mary|James|Company\s+[A-Z]|ABC\s+Ltd)\b"),
-    ("i", r"(?:earns?|has\s+(?:income|turnover|profit)\s+of)\s+£[0-9,]+"),
+    ("i", r"\b(?:example|for\s+example|e\.g\.)\s*[:\-]", ("example", "e.g.")),
+    ("i", r"\b(?:suppose|consider|imagine|let's\s+say)\b", ("suppose", "consider", "imagine", "say")),
+    ("", r"\b(?:Sarah|John|Mary|James|Company\s+[A-Z]|ABC\s+Ltd)\b", ("sarah", "john", "mary", "james", "company", "abc")),
+    ("i", r"(?:earns?|has\s+(?:income|turnover|profit)\s+of)\s+£[0-9,]+", ("£",)),
 ]
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September",
           "October", "November", "December"]
 MONTH_WORDS = "(?:" + "|".join(MONTHS) + ")"
 DEADLINE_WORDING = [
-    ("i", r"\b([0-9]{1,2}\s+" + MONTH_WORDS + r")\b"),
-    ("i", r"\b(?:deadline|due\s+(?:date|by)|must\s+be\s+(?:filed|submitted|paid)\s+by)\b"),
-    ("i", r"\b(?:within\s+[0-9]+\s+(?:days?|months?|weeks?))\b"),
+    ("i", r"\b([0-9]{1,2}\s+" + MONTH_WORDS + r")\b", tuple(m.lower() for m in MONTHS)),
+    ("i", r"\b(?:deadline|due\s+(?:date|by)|must\s+be\s+(?:filed|submitted|paid)\s+by)\b", ("deadline", "due", "must")),
+    ("i", r"\b(?:within\s+[0-9]+\s+(?:days?|months?|weeks?))\b", ("within",)),
 ]
 PENALTY_WORDING = [
-    ("i", r"\b(?:penalty|penalties|fine|fines|surcharge|interest)\b"),
-    ("i", r"\b(?:late\s+(?:filing|payment|submission))\b"),
-    ("i", r"(?:£[0-9]+(?:,[0-9]+)*)\s*(?:penalty|fine)"),
+    ("i", r"\b(?:penalty|penalties|fine|fines|surcharge|interest)\b", ("penalt", "fine", "surcharge", "interest")),
+    ("i", r"\b(?:late\s+(?:filing|payment|submission))\b", ("late",)),
+    ("i", r"(?:£[0-9]+(?:,[0-9]+)*)\s*(?:penalty|fine)", ("£",)),
 ]
 CONTACT_WORDING = [
-    ("i", r"\b(?:telephone|phone|call|helpline|contact)\s*(?:number|line)?[:\s]+(?:0[0-9]{2,4}\s*[0-9]{3,4}\s*[0-9]{3,4}|\+44)"),
-    ("i", r"\b(?:email|e-mail)[:\s]+\S+@\S+\.\S+"),
-    ("i", r"\b(?:write\s+to|post|address)[:\s]+"),
+    ("i", r"\b(?:telephone|phone|call|helpline|contact)\s*(?:number|line)?[:\s]+(?:0[0-9]{2,4}\s*[0-9]{3,4}\s*[0-9]{3,4}|\+44)", ("phone", "call", "helpline", "contact")),
+    ("i", r"\b(?:email|e-mail)[:\s]+\S+@\S+\.\S+", ("@",)),
+    ("i", r"\b(?:write\s+to|post|address)[:\s]+", ("write", "post", "address")),
 ]
 SECTION_MENTIONS = [
     r"\b(?:see|refer\s+to)\s+(?:section|paragraph|chapter)\s+([0-9.]+)",
@@ -337,7 +338,8 @@ FORMULA_PROBE = r"calculated\s+(?:as|by)|=\s*[^=]|[0-9]+/[0-9]+\s*[×x*]|formula
 GENERIC_FORMULAS = [
     r"(?:the\s+)?(?:calculation|formula|equation)\s+is[:\s]+(.{20,200})",
     r"(?:is\s+)?calculated\s+(?:as|by)[:\s]+(.{20,200})",
-    r"([A-Z][a-zA-Z\s]+)\s*=\s*([^.]+(?:×|x|\*|/|÷|\+|-)[^.]+)",
+    # The words before "=" are taken whole and from the start of a word: same matches, no backtracking.
+    r"(?<![a-zA-Z])([A-Z][a-zA-Z\s]++)=\s*([^.]+(?:×|x|\*|/|÷|\+|-)[^.]+)",
     r"([0-9]+/[0-9]+)\s*[×x*]\s*\(([^)]+)\)",
 ]
 MARGINAL_RELIEF = r"(?:marginal\s+relief|small\s+profits\s+rate).{0,50}(3/200|[0-9]+/[0-9]+).{0,100}"

@@ -80,44 +80,42 @@ def _span_ddl(groups: int) -> str:
     return "struct<" + ",".join(fields) + ">"
 
 
-def spans(text: Column, pattern: str, groups: int = 0) -> Column:
+def spans(text: Column, pattern: str, groups: int = 0, when: Column | None = None) -> Column:
     """All matches with 0-based character offsets: array of (start, end, hit, g1, ..).
 
-    There is no built-in that returns offsets.  ``split`` gives the gaps and ``regexp_extract_all``
-    the matches of the same scan, so a match starts where the gaps and matches before it end.
-    Rows without a match only pay for one ``rlike``.  ``pattern`` must not match the empty string.
+    There is no built-in that returns offsets.  ``split`` gives the gaps between the matches that
+    ``regexp_extract_all`` lists, so a match starts where the gaps and matches before it end.  Groups
+    are read from the match itself.  A text without a match costs one scan, or none when the cheap
+    condition ``when`` (some word every match holds) is false.  ``pattern`` must not match the empty
+    string, and its look-arounds must not reach outside the match by more than a word boundary.
     """
     ddl = _span_ddl(groups)
-    pat = F.lit(pattern)
-    fields = [F.regexp_extract_all(text, pat, F.lit(0)).alias("hit")]
-    fields += [F.regexp_extract_all(text, pat, F.lit(i)).alias(f"g{i}") for i in range(1, groups + 1)]
-    hits_and_gaps = F.arrays_zip(*fields, F.split(text, pattern, -1).alias("gap"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        row = F.struct(
-            start.alias("start"), end.alias("end"), x["hit"].alias("hit"),
-            *[x[f"g{i}"].alias(f"g{i}") for i in range(1, groups + 1)],
-        )
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    found = F.aggregate(
-        F.filter(hits_and_gaps, lambda x: x["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("pos"), empty_array(ddl).alias("out")),
-        step,
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), found).otherwise(empty_array(ddl))
+    def fold(hits: Column) -> Column:
+        pairs = F.arrays_zip(hits.alias("hit"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"))
+
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["pos"] + F.length(x["gap"])
+            end = start + F.length(x["hit"])
+            row = F.struct(
+                start.alias("start"), end.alias("end"), x["hit"].alias("hit"),
+                *[F.regexp_extract(x["hit"], pattern, i).alias(f"g{i}") for i in range(1, groups + 1)])
+            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(row)).alias("out"))
 
+        zero = F.struct(F.lit(0).alias("pos"), empty_array(ddl).alias("out"))
+        return F.when(F.size(hits) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(empty_array(ddl))
 
-def tagged_spans(text: Column, patterns: Sequence[tuple[int, str, int]]) -> Column:
-    """Spans of several (tag, pattern, groups) in one array of (tag, start, end, hit, g1, g2)."""
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), fold)
+    return found if when is None else F.when(when, found).otherwise(empty_array(ddl))
+
+
+def tagged_spans(text: Column, patterns: Sequence[tuple]) -> Column:
+    """Spans of several (tag, pattern, groups[, when]) in one array of (tag, start, end, hit, g1, g2)."""
     ddl = "struct<tag:int,start:int,end:int,hit:string,g1:string,g2:string>"
 
-    def tagged(tag: int, pattern: str, groups: int) -> Column:
+    def tagged(tag: int, pattern: str, groups: int, when: Column | None = None) -> Column:
         none = F.lit(None)
-        return F.transform(spans(text, pattern, groups), lambda s: F.struct(
+        return F.transform(spans(text, pattern, groups, when), lambda s: F.struct(
             F.lit(tag).alias("tag"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"),
             (s["g1"] if groups > 0 else none).alias("g1"), (s["g2"] if groups > 1 else none).alias("g2"))).cast(f"array<{ddl}>")
 
@@ -157,12 +155,21 @@ def first_at(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.length(F.element_at(F.split(text, pattern, 2), 1)))
 
 
-def any_of(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
-    """True when one of the (flags, pattern) pairs matches."""
-    hit = F.lit(False)
-    for flags, p in patterns:
-        hit = hit | text.rlike(rx(p, flags))
-    return hit
+def any_of(text: Column, patterns: Sequence[tuple]) -> Column:
+    """True when one of (flags, pattern[, words]) matches.
+
+    ``words`` lists lower-case words of which every match holds one; a substring test costs a tenth
+    of a pattern, so most texts are decided without running the pattern.
+    """
+
+    def test(low: Column) -> Column:
+        hit = F.lit(False)
+        for flags, p, *words in patterns:
+            one = text.rlike(rx(p, flags))
+            hit = hit | (contains_any(low, words[0]) & one if words else one)
+        return hit
+
+    return let(F.lower(text), test)
 
 
 def first_case(subject: Column, cases: Sequence[tuple[str, Column]], default: str | None) -> Column:

@@ -94,8 +94,10 @@ def formula_variables(text: Column) -> Column:
 
 def generic_formulas(text: Column) -> Column:
     """Sentence and arithmetic patterns of 10 to 300 characters, named from their context."""
+    # The third pattern starts at every word and runs to the next mark, so it is tried only where its "=" can be.
+    needs = [text.rlike("(?i)calculation|formula|equation"), text.rlike("(?i)calculated"), text.rlike(r"[a-zA-Z\s]="), text.contains("/")]
     out = []
-    for pattern in fv.GENERIC_FORMULAS:
+    for pattern, when in zip(fv.GENERIC_FORMULAS, needs):
         p = rx(pattern)
 
         def row(s: Column) -> Column:
@@ -107,7 +109,7 @@ def generic_formulas(text: Column) -> Column:
 
             return let(around(text, s, 100, 100), named)
 
-        hits = F.filter(spans(text, p), lambda s: (F.length(s["hit"]) >= 10) & (F.length(s["hit"]) <= 300))
+        hits = F.filter(spans(text, p, 0, when), lambda s: (F.length(s["hit"]) >= 10) & (F.length(s["hit"]) <= 300))
         out.append(F.transform(hits, row))
     return F.concat(*out)
 

@@ -13,7 +13,6 @@ from guidemill.functions.matching import (
 )
 from guidemill.operators.chunk import estimate_tokens, split_text, text_section, with_heading, with_offsets
 
-ANY_MANUAL_ID = "|".join(fv.MANUAL_ID_PATTERNS.values())
 _ALL_IDS = r"\b(" + "|".join(p[3:-3] for p in fv.MANUAL_ID_PATTERNS.values()) + r")\b"
 
 
@@ -27,16 +26,23 @@ class LegalSizes:
     max_list: int = 4000
 
 
+_FAMILY_PREFIXES = [p[3:-3].split("[")[0].split("(")[0] for p in fv.MANUAL_ID_PATTERNS.values()]
+
+
 def section_id(text: Column) -> Column:
     """First manual id, families in fixed order."""
-    found = F.coalesce(*[first_group(text, rx(p)) for p in fv.MANUAL_ID_PATTERNS.values()])
-    return F.when(text.rlike(rx(ANY_MANUAL_ID)), F.upper(found))
+    ids = F.regexp_extract_all(text, F.lit(rx(_ALL_IDS)), F.lit(1))
+    ranked = F.transform(ids, lambda c, i: let(F.upper(c), lambda u: F.struct(
+        first_case(u, [(f"{n:02d}", u.startswith(p)) for n, p in enumerate(_FAMILY_PREFIXES)], "99").alias("family"),
+        i.alias("at"), u.alias("id"))))
+    return F.when(text.rlike("[0-9]{5}"), F.array_min(ranked)["id"])
 
 
 def section_ids(text: Column) -> Column:
     """All distinct manual ids, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(
+    found = F.array_sort(F.array_distinct(F.transform(
         F.regexp_extract_all(text, F.lit(rx(_ALL_IDS)), F.lit(1)), F.upper)))
+    return F.when(text.rlike("[0-9]{5}"), found).otherwise(empty_array("string"))
 
 
 def paragraph_number(text: Column) -> Column:
@@ -45,15 +51,15 @@ def paragraph_number(text: Column) -> Column:
 
 def cross_references(text: Column, own: Column | None = None) -> Column:
     """Manual ids and section mentions, distinct and sorted, without the section's own id."""
-    mentions = F.concat(*[
+    mentions = F.when(F.lower(text).rlike("section|paragraph|chapter"), F.concat(*[
         F.transform(F.regexp_extract_all(text, F.lit(rx(p)), F.lit(1)), lambda n: F.concat(F.lit("section "), n))
-        for p in fv.SECTION_MENTIONS])
+        for p in fv.SECTION_MENTIONS])).otherwise(empty_array("string"))
     refs = F.array_sort(F.array_distinct(F.concat(section_ids(text), mentions)))
     return refs if own is None else F.when(own.isNull(), refs).otherwise(F.array_except(refs, F.array(own)))
 
 
 def has_condition_list(text: Column) -> Column:
-    return text.rlike(rx(fv.CONDITION_ITEM, "m")) & text.rlike(rx(fv.CONDITION_LEAD_IN, "im"))
+    return text.contains("(") & text.rlike(rx(fv.CONDITION_ITEM, "m")) & text.rlike(rx(fv.CONDITION_LEAD_IN, "im"))
 
 
 def has_definition(text: Column) -> Column:
@@ -77,7 +83,7 @@ def has_contact(text: Column) -> Column:
 
 
 def has_table_mention(text: Column) -> Column:
-    return any_of(text, [("i", p) for p in fv.TABLE_MENTIONS])
+    return any_of(text, [("i", p, ("table",)) for p in fv.TABLE_MENTIONS])
 
 
 def with_flags(df: DataFrame, text: str = "content") -> DataFrame:

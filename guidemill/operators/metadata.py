@@ -7,33 +7,35 @@ from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import (
-    around, contains_any, empty_array, explode_rows, first_case, first_per_key, let, literal_map,
+    around, contains_any, explode_rows, first_case, first_per_key, let, literal_map,
     literal_strings, rx, spans,
 )
 from guidemill.functions.values import number, tax_years
 
 _PATTERN_STRIDE = 1 << 32
-_THRESHOLD_PROBE = r"threshold|allowance|turnover|rate\s+band|small\s+profits|limit"
+# Words of which every match of the threshold patterns holds one, in pattern order.
+_THRESHOLD_WORDS = [("registration",), ("turnover",), ("personal",), ("allowance",), ("basic",), ("higher",), ("additional",), ("small",),
+                    ("main", "upper"), ("primary",), ("secondary",), ("earnings",), ("threshold",), ("threshold",)]
 
 
 def thresholds(text: Column) -> Column:
     """Typed amounts, one per distinct value: array of struct(value, type, context, formatted)."""
 
-    def of_pattern(i: int, kind: str, pattern: str) -> Column:
-        return F.transform(spans(text, rx(pattern), 1), lambda s: F.struct(
+    def of_pattern(i: int, kind: str, pattern: str, low: Column) -> Column:
+        return F.transform(spans(text, rx(pattern), 1, contains_any(low, _THRESHOLD_WORDS[i])), lambda s: F.struct(
             number(s["g1"], "bigint").alias("key"),
             (F.lit(i) * F.lit(_PATTERN_STRIDE) + s["start"]).alias("ord"),
             F.lit(kind).alias("type"), around(text, s, 50, 50).alias("context")))
 
-    found = [of_pattern(i, kind, p) for i, (kind, p) in enumerate(fv.THRESHOLD_PATTERNS)]
-    firsts = first_per_key(F.filter(F.concat(*found), lambda x: x["key"].isNotNull()))
+    found = let(F.lower(text), lambda low: F.concat(*[
+        of_pattern(i, kind, p, low) for i, (kind, p) in enumerate(fv.THRESHOLD_PATTERNS)]))
+    firsts = first_per_key(F.filter(found, lambda x: x["key"].isNotNull()))
     in_order = F.array_sort(F.transform(firsts, lambda x: F.struct(
         x["ord"].alias("ord"), x["key"].alias("value"), x["type"].alias("type"), x["context"].alias("context"))))
     out = F.transform(in_order, lambda x: F.struct(
         x["value"].alias("value"), x["type"].alias("type"), x["context"].alias("context"),
         F.concat(F.lit("£"), F.format_number(x["value"], 0)).alias("formatted")))
-    return F.when(text.rlike(rx(_THRESHOLD_PROBE)), out) \
-        .otherwise(empty_array("struct<value:bigint,type:string,context:string,formatted:string>"))
+    return out
 
 
 def forms(text: Column) -> Column:
@@ -62,39 +64,42 @@ def key_dates(text: Column) -> Column:
         date_type(x["context"]).alias("type")))
 
 
-def keywords(text: Column) -> Column:
-    """Topic and business words and form codes found, sorted."""
+def words_found(text: Column) -> Column:
+    """Topic and business words in the text; one scan serves keywords, topics and business types."""
     words = sorted({w for group in (fv.TOPIC_WORDS, fv.BUSINESS_WORDS) for ws in group.values() for w in ws})
-    in_text = let(F.lower(text), lambda low: F.filter(literal_strings(words), lambda w: F.contains(low, w)))
+    return let(F.lower(text), lambda low: F.filter(literal_strings(words), lambda w: F.contains(low, w)))
+
+
+def keywords(text: Column, found: Column) -> Column:
+    """Topic and business words and form codes found, sorted."""
     codes = F.transform(F.regexp_extract_all(text, F.lit(rx(fv.FORM_CODE_WIDE)), F.lit(1)), F.lower)
-    return F.array_sort(F.array_distinct(F.concat(in_text, codes)))
+    return F.array_sort(F.array_distinct(F.concat(found, codes)))
 
 
-def _labels(text: Column, dictionary: dict[str, list[str]], at_least: int) -> Column:
+def _labels(found: Column, dictionary: dict[str, list[str]], at_least: int) -> Column:
     table = F.array(*[
         F.struct(F.lit(k).alias("label"), literal_strings(ws).alias("words")) for k, ws in dictionary.items()])
-    hits = let(F.lower(text), lambda low: F.filter(
-        table, lambda t: F.size(F.filter(t["words"], lambda w: F.contains(low, w))) >= at_least))
+    hits = F.filter(table, lambda t: F.size(F.array_intersect(t["words"], found)) >= at_least)
     return F.transform(hits, lambda t: t["label"])
 
 
-def topics(text: Column) -> Column:
-    """Topics with at least two of their words in the text."""
-    return _labels(text, fv.TOPIC_WORDS, 2)
+def topics(found: Column) -> Column:
+    """Topics with at least two of their words among the words found."""
+    return _labels(found, fv.TOPIC_WORDS, 2)
 
 
-def business_types(text: Column) -> Column:
-    """Business types with any of their words in the text."""
-    return _labels(text, fv.BUSINESS_WORDS, 1)
+def business_types(found: Column) -> Column:
+    """Business types with any of their words among the words found."""
+    return _labels(found, fv.BUSINESS_WORDS, 1)
 
 
 def with_metadata(df: DataFrame, text: str = "text") -> DataFrame:
     """All metadata columns, at document or chunk grain."""
-    t = F.col(text)
-    return df.withColumns({
+    t, found = F.col(text), F.col("_found")
+    return df.withColumn("_found", words_found(t)).withColumns({
         "thresholds": thresholds(t), "tax_years": tax_years(t), "forms": forms(t), "key_dates": key_dates(t),
-        "keywords": keywords(t), "topics": topics(t), "business_types": business_types(t),
-    })
+        "keywords": keywords(t, found), "topics": topics(found), "business_types": business_types(found),
+    }).drop("_found")
 
 
 def merge_pair(left: str, right: str) -> dict[str, Column]:

@@ -44,13 +44,18 @@ _MANUAL, _SECTION, _LEGISLATION, _TERM, _LINK = 0, 20, 30, 40, 50
 _PREFIXES = [p[3:-3].split("[")[0].split("(")[0] for p in fv.MANUAL_ID_PATTERNS.values()]
 
 
-def _patterns() -> list[tuple[int, str, int]]:
+def _patterns(text: Column, low: Column) -> list[tuple[int, str, int, Column]]:
+    """(tag, pattern, groups, cheap condition) per detector."""
+    sections = contains_any(low, ["section", "para"])
+    acts = {"uk_act": low.contains("act"), "act_section": low.contains("act"), "statutory_instrument": text.contains("/"),
+            "eu_regulation": contains_any(low, ["regulation", "directive"])}
+    terms = [contains_any(low, ["defined", "meaning", "means"])] * len(fv.TERM_REFERENCES)
     manual = r"\b(" + "|".join(p[3:-3] for p in fv.MANUAL_ID_PATTERNS.values()) + r")\b"
-    out = [(_MANUAL, rx(manual), 1)]
-    out += [(_SECTION + i, rx(p), 1) for i, p in enumerate(fv.SECTION_REFERENCES)]
-    out += [(_LEGISLATION + i, rx(p), 2 if kind == "act_section" else 1)
+    out = [(_MANUAL, rx(manual), 1, text.rlike("[0-9]{5}"))]
+    out += [(_SECTION + i, rx(p), 1, sections) for i, p in enumerate(fv.SECTION_REFERENCES)]
+    out += [(_LEGISLATION + i, rx(p), 2 if kind == "act_section" else 1, acts[kind])
             for i, (kind, p) in enumerate(fv.LEGISLATION_REFERENCES)]
-    return out + [(_TERM + i, rx(p), 1) for i, p in enumerate(fv.TERM_REFERENCES)]
+    return out + [(_TERM + i, rx(p), 1, terms[i]) for i, p in enumerate(fv.TERM_REFERENCES)]
 
 
 def text_references(text: Column) -> Column:
@@ -82,7 +87,7 @@ def text_references(text: Column) -> Column:
             context.alias("context"), s["start"].alias("position"), rel.alias("relationship_type"),
             F.lit("explicit").alias("strength")).cast(REFERENCE_DDL))
 
-    return F.transform(tagged_spans(text, _patterns()), row)
+    return F.transform(let(F.lower(text), lambda low: tagged_spans(text, _patterns(text, low))), row)
 
 
 def anchors(html: Column) -> Column:
@@ -118,7 +123,7 @@ def internal_links(html: Column) -> Column:
 
 def references(text: Column, html: Column | None = None) -> Column:
     """First reference per (type, target), in detector order."""
-    found = F.when(has_references(text), text_references(text)).otherwise(empty_array(REFERENCE_DDL))
+    found = text_references(text)
     if html is not None:
         links = F.when(F.length(text) > 0, internal_links(html)).otherwise(empty_array(REFERENCE_DDL))
         found = F.concat(found, links)

@@ -28,7 +28,7 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {
 
 def chunk_with_metadata(parsed: DataFrame, key: str, title: str = "doc_title") -> DataFrame:
     """Legal chunks with their metadata and the document's topic label."""
-    doc = parsed.withColumn("topic_primary", topic_label(F.get(metadata.topics(F.col("full_text")), F.lit(0))))
+    doc = parsed.withColumn("topic_primary", topic_label(F.get(metadata.topics(metadata.words_found(F.col("full_text"))), F.lit(0))))
     c = legal.chunk_documents(doc, [key, "topic_primary"], title)
     c = c.withColumn("chunk_id", F.sha2(F.concat_ws("#", F.col(key).cast("string"), F.col("chunk_index").cast("string")), 256))
     c = metadata.with_metadata(c, "content")

@@ -138,7 +138,7 @@ _FLAGS = {
 
 
 def _flag_sql(name: str) -> str:
-    tests = [f"regexp_matches(text, {sql_pattern(p, f)})" for f, p in _FLAGS[name]]
+    tests = [f"regexp_matches(text, {sql_pattern(p, f)})" for f, p, *_ in _FLAGS[name]]
     return "(" + (" AND " if name == "contains_condition_list" else " OR ").join(tests) + ")"
 
 

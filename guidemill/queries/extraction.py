@@ -168,8 +168,8 @@ SELECT b.doc_id, array_to_string(list_reverse_sort(list_distinct({_YEARS} || lis
   coalesce(threshold_values, '') AS threshold_values, threshold_type,
   array_to_string(list_filter(fm, lambda x, i: NOT list_contains(fm[1:i-1], x)), '|') AS form_references,
   array_to_string(list_filter(dm, lambda x, i: NOT list_contains(dm[1:i-1], x)), '|') AS deadlines_mentioned,
-  {' OR '.join(_has(p, f) for f, p in fv.PENALTY_WORDING)} AS penalty_relevant,
-  {' OR '.join(_has(p, f) for f, p in fv.DEADLINE_WORDING)} AS deadline_sensitive
+  {' OR '.join(_has(p, f) for f, p, *_ in fv.PENALTY_WORDING)} AS penalty_relevant,
+  {' OR '.join(_has(p, f) for f, p, *_ in fv.DEADLINE_WORDING)} AS deadline_sensitive
 FROM b LEFT JOIN tv USING (doc_id)"""
 
 
