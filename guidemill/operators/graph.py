@@ -174,9 +174,10 @@ def most_referencing(edges: DataFrame, k: int = 10) -> DataFrame:
 
 def graph_summary(chunks: DataFrame, edges: DataFrame) -> DataFrame:
     """Chunks, chunks with references, references."""
-    c = chunks.agg(F.count("*").alias("total_chunks"))
-    e = edges.agg(F.count_distinct("source_chunk_id").alias("chunks_with_references"), F.count("*").alias("total_references"))
-    return c.join(e)
+    total = chunks.agg(F.count("*").alias("n")).scalar()
+    return edges.agg(
+        F.count_distinct("source_chunk_id").alias("chunks_with_references"), F.count("*").alias("total_references")
+    ).select(total.alias("total_chunks"), "chunks_with_references", "total_references")
 
 
 def circular_references(edges: DataFrame) -> DataFrame:

@@ -110,15 +110,20 @@ def merge_pair(left: str, right: str) -> dict[str, Column]:
     return joined | united
 
 
+def _tag(name: str) -> Column:
+    return F.transform(name, lambda x: F.struct(F.lit(name).alias("name"), x.alias("label")))
+
+
 def merge_labels(df: DataFrame, by: list[str]) -> DataFrame:
     """Union of the label sets per group.
 
-    Sets of dictionary words are bounded, and ``collect_set`` combines map-side, so a hot group
-    ships one small set per task.
+    Single labels are made distinct before they meet: the first aggregate combines map-side, so a hot
+    group ships each of its labels once per task, and the sets are bounded by the dictionaries.
     """
     names = ("tax_years", "keywords", "topics", "business_types")
-    return df.groupBy(*by).agg(*[
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(n)))).alias(n) for n in names])
+    single = df.select(*by, F.explode_outer(F.concat(*[_tag(n) for n in names])).alias("l")).select(*by, "l.name", "l.label").distinct()
+    return single.groupBy(*by).agg(*[
+        F.array_sort(F.collect_set(F.when(F.col("name") == n, F.col("label")))).alias(n) for n in names])
 
 
 def threshold_rows(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:

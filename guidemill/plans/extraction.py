@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from guidemill.functions.matching import explode_rows
 from guidemill.operators import conditions, contacts, deadlines, examples, formulas, legal, metadata, references, tables
-from guidemill.plans.ingest import topic_label
+from guidemill.plans.ingest import formula_label, table_label, topic_label
 
 # Registry of text extractors: name -> array expression over a text column.  Callers may add their own.
 EXTRACTORS: dict[str, Callable[[Column], Column]] = {
@@ -46,6 +46,34 @@ def item_rows(extracted: DataFrame, name: str, keep: list[str]) -> DataFrame:
     return explode_rows(extracted, F.col(name), keep, pos="item_no")
 
 
+def stored_formulas(extracted: DataFrame, keep: list[str]) -> DataFrame:
+    """Formula rows with the stored type label."""
+    return item_rows(extracted, "formulas", keep).withColumn("formula_type", formula_label(F.col("formula_type")))
+
+
+def stored_tables(pages: DataFrame, key: list[str], html: str = "html", year: Column | None = None) -> DataFrame:
+    """Table rows with the stored type label."""
+    return tables.table_rows(pages, key, html, year).withColumn("table_type", table_label(F.col("table_type")))
+
+
+def edges(extracted: DataFrame) -> DataFrame:
+    """Reference edges of chunks, not yet resolved; ids follow from the chunk and the target."""
+    rows = item_rows(extracted, "references", ["chunk_id"])
+    kind = F.when(F.col("reference_type") == "definition", "definition").when(F.col("reference_type") == "legislation", "legislation") \
+        .otherwise("see_also")
+    strength = F.when(kind == "definition", "required").when(F.col("reference_type") == "hmrc_manual", "recommended").otherwise("optional")
+    return rows.select(
+        F.sha2(F.concat_ws("#", "chunk_id", "reference_type", "target_normalized"), 256).alias("reference_id"),
+        F.col("chunk_id").alias("source_chunk_id"), F.lit(None).cast("string").alias("target_chunk_id"), kind.alias("reference_type"),
+        strength.alias("reference_strength"), "reference_text", F.substring("context", 1, 200).alias("reference_context"),
+        F.when(F.col("reference_type") == "hmrc_manual", F.col("reference_text")).alias("target_section_id"), F.lit(False).alias("is_resolved"))
+
+
+def bad_rows(chunks: DataFrame, text: str = "content") -> DataFrame:
+    """Errors frame of an extraction: rows that no extractor can read."""
+    return chunks.where(F.col(text).isNull()).select("chunk_id", F.lit("no text").alias("error"))
+
+
 def document_counts(extracted: DataFrame, key: str) -> DataFrame:
     """Chunks and items per document; sizes are summed map-side."""
     names = [n for n in EXTRACTORS if n in extracted.columns]

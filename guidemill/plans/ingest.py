@@ -183,6 +183,17 @@ def run_errors(outcome: DataFrame) -> DataFrame:
     return outcome.where(F.col("error").isNotNull()).select("url", "error")
 
 
+def manual_sources(sources: DataFrame, roots: DataFrame, max_sections: int | None = None) -> DataFrame:
+    """Source rows of whole manuals: everything reachable over child sections from the roots (``node``)."""
+    from guidemill.operators.graph import crawl
+    from guidemill.sources.payloads import child_edges
+
+    found = sources.select(F.col("base_path").alias("node"))
+    edges = child_edges(sources).join(found.select(F.col("node").alias("target")), "target", "left_semi")
+    reached = crawl(edges.select("source", "target"), roots.join(found, "node", "left_semi"), max_nodes=max_sections)
+    return sources.join(reached.select(F.col("node").alias("base_path")), "base_path", "left_semi")
+
+
 def pages_from_sources(sources: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Parsed pages ready for ``process`` from source rows (see ``sources.payloads``)."""
     from guidemill.operators import parse

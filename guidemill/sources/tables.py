@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_LIMIT = 64 * 1024 * 1024
+BROADCAST_LIMIT = 32 * 1024 * 1024
 SPLIT_BYTES = 128 * 1024 * 1024
 
 
@@ -30,9 +30,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
+def _estimate_is_bound(df: DataFrame) -> bool:
+    """False when the plan holds a step that multiplies rows without the estimate knowing by how much."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(step in plan for step in ("Generate ", "Expand ", "MapInPandas", "MapInArrow", "FlatMapGroups"))
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Broadcast hint only behind a size check; larger frames are left to a shuffled join."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    """Broadcast hint only when Catalyst's estimate is an upper bound and within the limit.
+
+    Anything else is left to a shuffled join, which the adaptive plan may still turn into a broadcast
+    from the measured size.
+    """
+    return F.broadcast(df) if _estimate_is_bound(df) and estimated_bytes(df) <= limit else df
 
 
 def fixed_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
