@@ -18,9 +18,9 @@ def matching(logs: DataFrame, user_id: str | None = None, session_id: str | None
         if value is not None:
             df = df.where(F.col(column) == value)
     if start is not None:
-        df = df.where(F.col("ts") >= F.lit(start))
+        df = df.where(F.col("ts") >= start)
     if end is not None:
-        df = df.where(F.col("ts") <= F.lit(end))
+        df = df.where(F.col("ts") <= end)
     return df
 
 

@@ -8,11 +8,12 @@ from guidemill.operators import chunk, legal
 from guidemill.queries.base import GUIDANCE_CTE, documents, guidance, sql_pattern
 from guidemill.functions import fixed_values as fv
 
-_TITLE = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
+def _title():
+    return F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
 
 
 def _chunks(spark, path):
-    docs = documents(spark, path).select("doc_id", "lang", "text", _TITLE.alias("title"))
+    docs = documents(spark, path).select("doc_id", "lang", "text", _title().alias("title"))
     return chunk.chunk_texts(docs, ["doc_id", "lang"], title=F.col("title"))
 
 
@@ -101,7 +102,7 @@ _STATS = """count(*) AS chunk_count, CAST(sum(length(content)) AS BIGINT) AS tot
 
 def legal_chunk_rows(spark, path):
     return legal.chunk_texts(
-        guidance(spark, path).withColumn("title", _TITLE), ["doc_id", "lang"], title=F.col("title"))
+        guidance(spark, path).withColumn("title", _title()), ["doc_id", "lang"], title=F.col("title"))
 
 
 def legal_chunks(spark, path):

@@ -26,17 +26,21 @@ def logs(spark, path):
         "citations", F.when(F.col("n_citations") > 0, F.array_repeat(F.lit("c"), F.col("n_citations").cast("int"))))
 
 
-_START, _END = F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz")
+def _period():
+    """Start and end of the reported period."""
+    return {"start": F.lit("2024-01-05").cast("timestamp_ntz"), "end": F.lit("2024-01-20").cast("timestamp_ntz")}
+
+
 _PERIOD = "ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'"
 
 
 def audit_page(spark, path):
-    m = audit.matching(logs(spark, path), start=_START, end=_END, intent="click")
+    m = audit.matching(logs(spark, path), **_period(), intent="click")
     return m.orderBy(*audit.newest_first()).offset(10).limit(25).select("log_id", "user_id")
 
 
 def audit_count(spark, path):
-    return audit.matching(logs(spark, path), user_id="u7", start=_START, end=_END).agg(F.count("*").alias("n"))
+    return audit.matching(logs(spark, path), user_id="u7", **_period()).agg(F.count("*").alias("n"))
 
 
 def audit_with_feedback(spark, path):
@@ -55,11 +59,11 @@ def audit_impact(spark, path):
 
 
 def audit_stats(spark, path):
-    return reports.audit_stats(audit.matching(logs(spark, path), start=_START, end=_END))
+    return reports.audit_stats(audit.matching(logs(spark, path), **_period()))
 
 
 def audit_export(spark, path):
-    return audit.export(audit.matching(logs(spark, path), start=_START, end=_END))
+    return audit.export(audit.matching(logs(spark, path), **_period()))
 
 
 _AUDIT_MEASURES = """count(*) AS query_count, round(avg(latency_ms), 2) AS average_latency_ms, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens,

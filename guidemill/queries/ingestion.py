@@ -50,7 +50,6 @@ def _stored_documents(spark, path):
         F.lit("2020-01-03").cast("timestamp_ntz").alias("ingested_at"), F.lit(1).alias("total_chunks"))
 
 
-_RUN_TIME = F.lit("2024-06-01").cast("timestamp_ntz")
 _ALL = ingest.IngestSettings(max_errors=None)
 
 
@@ -92,7 +91,7 @@ def ingest_errors(spark, path):
 
 
 def next_documents(spark, path):
-    d = ingest.next_documents(_stored_documents(spark, path), _processed(spark, path), _RUN_TIME)
+    d = ingest.next_documents(_stored_documents(spark, path), _processed(spark, path), F.lit("2024-06-01").cast("timestamp_ntz"))
     return d.select("url", "authority", "document_type", F.col("reliability_tier").cast("bigint").alias("tier"), "title", "content_hash",
                     F.array_join("section_hierarchy", "|").alias("hierarchy"), F.date_format("publication_date", "yyyy-MM-dd").alias("published"),
                     F.date_format("ingested_at", "yyyy-MM-dd").alias("ingested"), F.col("total_chunks").cast("bigint").alias("total_chunks"))
