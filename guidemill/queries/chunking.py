@@ -189,6 +189,42 @@ SELECT doc_id, section_id, paragraph_number, array_to_string(ids, '|') AS all_id
             ELSE concat_ws(', ', 'GOV.UK', 'Guide > Part', 'Para ' || paragraph_number) END AS citable_reference
 FROM b"""
 
+# Legal chunks: plain split where there is no list; else text before, list and rest are packed or stand alone.
+# The guidance paragraphs hold one lead-in, so the SQL needs no loop over lists.
+_LEGAL = f"""WITH RECURSIVE {GUIDANCE_CTE},
+full_g AS (SELECT doc_id, lang, '## Document ' || doc_id || chr(10) || chr(10) || text AS full_content FROM g),
+marked AS (SELECT *, regexp_matches(full_content, {sql_pattern(fv.CONDITION_ITEM, 'm')}) AND regexp_matches(full_content, {sql_pattern(fv.CONDITION_LEAD_IN, 'im')}) AS listed
+           FROM full_g WHERE length(full_content) >= 200),
+src AS (SELECT doc_id, lang, full_content FROM marked WHERE NOT listed),
+{split_cte('src', 1500, 1500)},
+ls AS (SELECT *, instr(full_content, 'You must register for VAT if:') AS s0 FROM marked WHERE listed),
+lt AS (SELECT *, substr(full_content, s0) AS tail FROM ls),
+lp AS (SELECT doc_id, lang, full_content, trim(substr(full_content, 1, s0 - 1), {_BLANKS}) AS b, trim(substr(tail, 1, instr(tail, chr(10) || chr(10)) - 1), {_BLANKS}) AS l,
+         trim(substr(tail, instr(tail, chr(10) || chr(10))), {_BLANKS}) AS r FROM lt),
+lx AS (SELECT doc_id, lang, unnest(CASE WHEN length(full_content) <= 3000 THEN [full_content] WHEN length(b) + length(l) > 3000 THEN [b, l, r]
+         WHEN length(b) + length(l) + length(r) > 3000 THEN [b || chr(10) || l, r] ELSE [b || chr(10) || l || chr(10) || r] END) AS content,
+         generate_subscripts(CASE WHEN length(full_content) <= 3000 THEN [1] WHEN length(b) + length(l) > 3000 THEN [1, 2, 3]
+         WHEN length(b) + length(l) + length(r) > 3000 THEN [1, 2] ELSE [1] END, 1) - 1 AS n FROM lp),
+ap AS (SELECT doc_id, lang, chunk_index AS n, piece AS text FROM pieces UNION ALL SELECT doc_id, lang, n, content FROM lx WHERE content <> ''),
+ids AS (SELECT doc_id, upper(coalesce({', '.join(_first(p, 'i', 'full_content') for p in fv.MANUAL_ID_PATTERNS.values())})) AS section_id FROM full_g),
+fl AS (SELECT *, {", ".join(f"{_flag_sql(n)} AS {n}" for n in _FLAGS)}, {_first(fv.PARAGRAPH_NUMBER, 'm', 'substr(text, 1, 200)')} AS paragraph_number,
+         list_sort(list_distinct(list_transform(regexp_extract_all(text, {sql_pattern(_IDS)}, 1), lambda x: upper(x)) || {_MENTIONS})) AS refs FROM ap JOIN ids USING (doc_id)),
+lc AS (SELECT *, list_filter(refs, lambda x: section_id IS NULL OR x <> section_id) AS cross_refs,
+         CASE WHEN contains_definition THEN 'definition' WHEN contains_condition_list THEN 'condition_list' WHEN contains_example THEN 'example'
+              WHEN contains_contact_info THEN 'contact' WHEN contains_penalty_info THEN 'penalty' WHEN contains_deadline THEN 'deadline' ELSE 'general' END AS content_type,
+         CASE WHEN section_id IS NOT NULL THEN concat_ws(', ', 'HMRC ' || {_MANUAL_CASE}, section_id, 'Para ' || paragraph_number)
+              ELSE concat_ws(', ', 'GOV.UK', 'Document ' || doc_id, 'Para ' || paragraph_number) END AS citable_reference,
+         count(*) OVER (PARTITION BY doc_id) AS total_chunks,
+         CAST(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY n) - length(text) AS BIGINT) AS char_start FROM fl)"""
+_LEGAL_STATS = """count(*) AS chunk_count, CAST(sum(length(text)) AS BIGINT) AS total_chars, round(avg(length(text)), 4) AS avg_size, min(length(text)) AS min_size,
+  max(length(text)) AS max_size, CAST(sum(length(text) // 4) AS BIGINT) AS est_total_tokens, count(DISTINCT doc_id) AS sections_covered, count(section_id) AS with_section_ids, """ + ", ".join(
+    f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in legal.FLAG_COUNTS.items()) + ", CAST(sum(len(cross_refs)) AS BIGINT) AS total_cross_refs"
+_LEGAL_JSON = """to_json(struct_pack(content := text, chunk_index := n, total_chunks := total_chunks, char_start := char_start, char_end := char_start + length(text),
+  section_title := 'Document ' || doc_id, heading_path := 'Document ' || doc_id, heading_level := 1, section_id := section_id, paragraph_number := paragraph_number,
+  citable_reference := citable_reference, content_type := content_type, contains_condition_list := contains_condition_list, contains_definition := contains_definition,
+  contains_example := contains_example, contains_table_reference := contains_table_reference, contains_deadline := contains_deadline,
+  contains_penalty_info := contains_penalty_info, contains_contact_info := contains_contact_info, cross_references := cross_refs, has_overlap_with_previous := n > 0))"""
+
 QUERIES = {
     "chunk_stats_by_lang": (chunk_stats_by_lang, f"{_CHUNKS} SELECT lang, {_STATS} FROM chunks GROUP BY lang"),
     "chunk_stats_total": (chunk_stats_total, f"{_CHUNKS} SELECT {_STATS} FROM chunks"),
@@ -199,8 +235,9 @@ SELECT doc_id, chunk_index, total_chunks, CAST(char_start AS BIGINT) AS char_sta
     "chunk_overlaps": (chunk_overlaps, f"{_CHUNKS} SELECT doc_id, chunk_index, overlap_text FROM chunks WHERE follows"),
     "content_flags": (content_flags, _CONTENT_FLAGS_SQL),
     "section_identifiers": (section_identifiers, _SECTION_IDENTIFIERS_SQL),
-    "legal_chunks": (legal_chunks, None),
-    "legal_chunk_stats": (legal_chunk_stats, None),
-    "legal_content_types": (legal_content_types, None),
-    "legal_chunk_json": (legal_chunk_json, None),
+    "legal_chunks": (legal_chunks, f"""{_LEGAL} SELECT doc_id, n AS chunk_index, md5(text) AS content_md5, section_id, paragraph_number, citable_reference, content_type,
+  array_to_string(cross_refs, '|') AS cross_references FROM lc"""),
+    "legal_chunk_stats": (legal_chunk_stats, f"{_LEGAL} SELECT lang, {_LEGAL_STATS} FROM lc GROUP BY lang"),
+    "legal_content_types": (legal_content_types, f"{_LEGAL} SELECT lang, content_type, count(*) AS chunk_count FROM lc GROUP BY 1, 2"),
+    "legal_chunk_json": (legal_chunk_json, f"{_LEGAL} SELECT doc_id, md5(j) AS json_md5, length(j) AS json_chars FROM (SELECT doc_id, CAST({_LEGAL_JSON} AS VARCHAR) AS j FROM lc)"),
 }

@@ -342,7 +342,9 @@ def worked_examples(spark, path):
 
 def worked_example_steps(spark, path):
     e = examples.example_rows(guidance(spark, path), ["doc_id"])
-    return explode_rows(e, F.col("steps"), ["doc_id", "example_name"], pos="step_no")
+    s = explode_rows(e, F.col("steps"), ["doc_id", F.length("full_text").alias("chars")], pos="step_no")
+    return s.select("doc_id", F.col("chars").cast("bigint").alias("chars"), F.col("step_no").cast("bigint").alias("step_no"),
+                    F.col("step").cast("bigint").alias("step"), "description", "calculation", "result")
 
 
 def _amount(p: str) -> str:
@@ -376,6 +378,16 @@ SELECT d.doc_id, lead || ' - ' || title || ' Example' AS example_name, cat AS ex
   {_mention(fv.EXAMPLE_TABLES)} AS tables_used, length(w) AS chars, tax_year FROM d JOIN y USING (doc_id)"""
 
 
+# In these windows a step ends with its line, so the SQL needs no look-ahead.
+_STEP_RE = r"(?:step\s+([0-9]+)[:\s]+|([0-9]+)\.\s+)([^\n]+)"
+_STEPS_SQL = _EXAMPLES_SQL[:_EXAMPLES_SQL.index("d AS (SELECT *, concat_ws")].rstrip().rstrip(",") + f""",
+t AS (SELECT doc_id, length(w) AS chars, {_all(_STEP_RE, 1, 'i', 'w')} AS a1, {_all(_STEP_RE, 2, 'i', 'w')} AS a2,
+  list_transform({_all(_STEP_RE, 3, 'i', 'w')}, lambda x: {_SQUEEZE}) AS a3 FROM b)
+SELECT doc_id, chars, k - 1 AS step_no, CAST(coalesce(nullif(a1[k], ''), a2[k]) AS BIGINT) AS step, a3[k][1:200] AS description,
+  {_first(fv.STEP_CALCULATION, '', 'a3[k]')} AS calculation, TRY_CAST(replace({_first(fv.STEP_RESULT, '', 'a3[k]')}, ',', '') AS DOUBLE) AS result
+FROM t, unnest(range(1, len(a1) + 1)) AS u(k)"""
+
+
 # --- formulas ---------------------------------------------------------------------------------------------------
 
 def formula_items(spark, path):
@@ -439,7 +451,7 @@ QUERIES = {
     "contact_items": (contact_items, _CONTACTS_SQL),
     "condition_lists": (condition_lists, _CONDITIONS_SQL),
     "worked_examples": (worked_examples, _EXAMPLES_SQL),
-    "worked_example_steps": (worked_example_steps, None),
+    "worked_example_steps": (worked_example_steps, _STEPS_SQL),
     "known_formulas": (known_formulas, _FORMULAS_SQL),
     "all_formulas": (formula_items, None),
     "content_probes": (content_probes, _PROBES_SQL),
