@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import strip
 from guidemill.operators import chunk, parse
 from guidemill.plans import extraction, ingest, runlog
 from guidemill.queries.base import GUIDANCE_CTE, documents, guidance
-from guidemill.queries.chunking import split_cte
+from guidemill.queries import extraction as extraction_sql
+from guidemill.queries.chunking import _LEGAL, split_cte
 from guidemill.sources.tables import read_table
 
 # The new snapshot: texts of three languages stay, English texts get a line, some fetches fail, some are empty.
@@ -132,31 +134,52 @@ _SUMMARY = """count(*) AS documents_processed, count(*) FILTER (WHERE action = '
 
 # --- full extraction -------------------------------------------------------------------------------
 
-def _extracted(spark, path):
+def _with_metadata(spark, path):
     g = guidance(spark, path)
     title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
     doc = g.select("doc_id", title.alias("doc_title"), F.col("text").alias("full_text"), F.array(chunk.text_section(F.col("text"), title)).alias("sections"))
-    return extraction.extract(extraction.chunk_with_metadata(doc, "doc_id"))
+    return extraction.chunk_with_metadata(doc, "doc_id")
 
 
 def extraction_counts(spark, path):
-    """Chunks and items of every kind per document."""
-    return extraction.document_counts(_extracted(spark, path), "doc_id")
+    """Chunks and items per document, formulas switched off."""
+    kinds = ["deadlines", "contacts", "condition_lists", "examples", "references"]
+    return extraction.document_counts(extraction.extract(_with_metadata(spark, path), kinds), "doc_id")
 
 
 def extraction_totals(spark, path):
-    return extraction.run_totals(extraction.document_counts(_extracted(spark, path), "doc_id"))
+    """Run totals with every extractor."""
+    return extraction.run_totals(extraction.document_counts(extraction.extract(_with_metadata(spark, path)), "doc_id"))
 
 
 def chunk_metadata_rows(spark, path):
-    g = guidance(spark, path)
-    title = F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
-    doc = g.select("doc_id", title.alias("doc_title"), F.col("text").alias("full_text"), F.array(chunk.text_section(F.col("text"), title)).alias("sections"))
-    c = extraction.chunk_with_metadata(doc, "doc_id")
+    c = _with_metadata(spark, path)
     return c.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "topic_primary", "stored_content_type", "citable_reference",
                     F.array_join("tax_years", "|").alias("tax_years"), F.array_join("topics", "|").alias("topics"))
 
 
+# The oracle texts of the extractors, applied to the legal chunks instead of whole documents.
+_CHUNK_G = f"lcx AS ({_LEGAL} SELECT doc_id * 10000 + n AS doc_id, text FROM lc), g AS (SELECT * FROM lcx)"
+
+
+def _per_document(sql: str, name: str) -> str:
+    body = sql.replace(GUIDANCE_CTE, _CHUNK_G, 1)
+    return f"{name} AS (SELECT doc_id // 10000 AS doc_id, count(*) AS {name} FROM ({body}) GROUP BY 1)"
+
+
+_ITEM_SQL = {"deadlines": extraction_sql._DEADLINES_SQL, "contacts": extraction_sql._CONTACTS_SQL, "condition_lists": extraction_sql._CONDITIONS_SQL,
+             "examples": extraction_sql._EXAMPLES_SQL, "refs": extraction_sql._REFERENCE_SQL, "thresholds_found": extraction_sql._THRESHOLDS_SQL}
+_COUNTS_SQL = (f"WITH base AS ({_LEGAL} SELECT doc_id, count(*) AS chunks_created FROM lc GROUP BY 1), "
+               + ", ".join(_per_document(sql, n) for n, sql in _ITEM_SQL.items())
+               + " SELECT doc_id, chunks_created, " + ", ".join(f"coalesce({n}, 0) AS {'references' if n == 'refs' else n}" for n in _ITEM_SQL).replace("AS references", 'AS "references"')
+               + " FROM base " + " ".join(f"LEFT JOIN {n} USING (doc_id)" for n in _ITEM_SQL))
+_TOPIC_CASE = "CASE string_split(dl.topics, '|')[1] " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fv.TOPIC_LABELS.items()) + " END"
+_CHUNK_METADATA_SQL = f"""WITH lm AS ({_LEGAL} SELECT doc_id, n, content_type, citable_reference FROM lc), cl AS ({extraction_sql._LABELS_SQL.replace(GUIDANCE_CTE, _CHUNK_G, 1)}),
+dl AS ({extraction_sql._LABELS_SQL})
+SELECT lm.doc_id, n AS chunk_index, {_TOPIC_CASE} AS topic_primary, CASE WHEN content_type = 'general' THEN 'factual' ELSE 'procedural' END AS stored_content_type,
+  citable_reference, cl.tax_years, cl.topics FROM lm JOIN cl ON cl.doc_id = lm.doc_id * 10000 + n JOIN dl ON dl.doc_id = lm.doc_id"""
+
+
 # --- run log -------------------------------------------------------------------------------------------
 
 _LOG = [
@@ -228,9 +251,9 @@ SELECT coalesce(s.url, n.url) AS url, CASE WHEN s.url IS NOT NULL THEN 'GOV_UK'
 SELECT c.doc_id AS source_url, chunk_index, md5(content) AS content_md5, {_AUTH} AS source_authority, CASE {_AUTH} WHEN 'GOV_UK' THEN 2::BIGINT ELSE 1::BIGINT END AS tier
 FROM chunks c JOIN gat ON gat.url = c.doc_id
 UNION ALL SELECT url, 0, md5('old'), NULL, NULL FROM sto WHERE url NOT IN (SELECT url FROM cnt)"""),
-    "extraction_counts": (extraction_counts, None),
+    "extraction_counts": (extraction_counts, _COUNTS_SQL),
     "extraction_totals": (extraction_totals, None),
-    "chunk_metadata_rows": (chunk_metadata_rows, None),
+    "chunk_metadata_rows": (chunk_metadata_rows, _CHUNK_METADATA_SQL),
     "run_states": (run_states, f"""WITH {_RUNS} SELECT run_id, status, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started,
   strftime(completed_at, '%Y-%m-%d %H:%M:%S') AS completed, documents_processed, chunks_created, error_count FROM runs"""),
     "run_error_messages": (run_error_messages, f"WITH {_LOG_CTE} SELECT run_id, message, url FROM l WHERE kind = 'error'"),
