@@ -7,6 +7,7 @@ frame; the result is a new snapshot of both plus one outcome row per url.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import explode_rows, literal_map
 from guidemill.operators import chunk
 from guidemill.session import ensure_checkpoint_dir
+from guidemill.sources.tables import broadcast_if_small
 
 SKIP_EXISTING, UPDATE_IF_CHANGED, FORCE_UPDATE = "skip_existing", "update_if_changed", "force_update"
 
@@ -90,26 +92,65 @@ def decide(pages: DataFrame, stored: DataFrame, mode: str = UPDATE_IF_CHANGED) -
         .withColumn("is_stored", exists).drop("_stored", "_stored_hash")
 
 
+def _gate(settings: IngestSettings) -> Column:
+    """Why a page is not taken further; null when it is."""
+    return F.when(F.col("error").isNotNull(), F.col("error")) \
+        .when(~F.coalesce(F.col("has_content"), F.lit(False)), F.lit("No content found")) \
+        .when(F.col("word_count") < settings.min_content_length // 5,
+              F.concat(F.lit("Content too short ("), F.col("word_count").cast("string"), F.lit(" words)")))
+
+
+def _wanted() -> Column:
+    return F.col("gate").isNull() & F.col("reason").isin("new", "content_changed", "force_update")
+
+
+def _chunk_array(settings: IngestSettings) -> Column:
+    return F.flatten(F.transform("sections", lambda s: chunk.chunk_section(s, settings.sizes)))
+
+
 def process(pages: DataFrame, stored: DataFrame, settings: IngestSettings = IngestSettings(), materialize: bool = False) -> DataFrame:
     """Pages with decision, gates and their chunks (array ``chunks``, only for pages to process).
 
-    ``materialize`` writes the result to the checkpoint folder; use it when several outputs follow.
+    One pass: whole pages travel through the join with the stored keys, which suits a first load.  For
+    a large snapshot of which little changed use ``process_changed``.  ``materialize`` writes the
+    result to the checkpoint folder; use it when several outputs follow.
     """
-    df = decide(within_error_cap(pages, settings.max_errors), stored, settings.mode)
-    gate = F.when(F.col("error").isNotNull(), F.col("error")) \
-        .when(~F.coalesce(F.col("has_content"), F.lit(False)), F.lit("No content found")) \
-        .when(F.col("word_count") < settings.min_content_length // 5,
-              F.concat(F.lit("Content too short ("), F.col("word_count").cast("string"), F.lit(" words)")))
-    df = df.withColumn("gate", gate)
-    wanted = F.col("gate").isNull() & F.col("reason").isin("new", "content_changed", "force_update")
-    made = F.flatten(F.transform("sections", lambda s: chunk.chunk_section(s, settings.sizes)))
-    df = df.withColumn("chunks", F.when(wanted, made))
+    df = decide(within_error_cap(pages, settings.max_errors), stored, settings.mode).withColumn("gate", _gate(settings))
+    df = df.withColumn("chunks", F.when(_wanted(), _chunk_array(settings)))
     if materialize:
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint()
     return df
 
 
+def process_changed(
+    pages: DataFrame, stored: DataFrame, settings: IngestSettings = IngestSettings(), folder: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Two passes for snapshots with few changes: (decisions of all urls, processed changed pages).
+
+    The first pass joins only url, hash and gates with the stored keys and writes the decisions.  The
+    written size is known, so the urls to process are broadcast when they are few, and the second pass
+    reads just those pages without shuffling the snapshot.
+    """
+    spark = pages.sparkSession
+    capped = within_error_cap(pages, settings.max_errors)
+    slim = decide(capped.select("url", "full_text", "error", "word_count", "has_content"), stored, settings.mode)
+    path = folder or f"{ensure_checkpoint_dir(spark)}/decisions-{uuid.uuid4()}"
+    slim.withColumn("gate", _gate(settings)).drop("full_text").write.parquet(path)
+    decisions = spark.read.parquet(path)
+    todo = decisions.where(_wanted()).select("url", "content_hash", "document_id", "reason", "is_stored", "gate")
+    done = pages.join(broadcast_if_small(todo), "url").withColumn("chunks", _chunk_array(settings))
+    return decisions, done
+
+
+def outcomes_of_decisions(decisions: DataFrame, processed: DataFrame) -> DataFrame:
+    """``outcomes`` for the two-pass form."""
+    made = processed.select("url", F.size("chunks").alias("_n"))
+    df = decisions.join(made, "url", "left")
+    chunks = F.when(F.col("_n").isNotNull(), F.array_repeat(F.lit(1), F.col("_n")))
+    return outcomes(df.withColumn("chunks", chunks))
+
+
 def outcomes(processed: DataFrame) -> DataFrame:
     """One row per url: action, reason, success, chunk count, error."""
     n = F.coalesce(F.size("chunks"), F.lit(0))
@@ -165,6 +206,25 @@ def next_chunks(stored: DataFrame, processed: DataFrame) -> DataFrame:
     return stored.join(ids, "document_id", "left_anti").unionByName(new_chunks(processed), allowMissingColumns=True)
 
 
+def bucket(column: str, buckets: int) -> Column:
+    """Storage bucket of a document."""
+    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
+
+
+def replace_chunks(path: str, processed: DataFrame, buckets: int = 1024) -> None:
+    """Replace changed documents' chunks in a table partitioned by document bucket.
+
+    Only buckets that hold a changed document are read and rewritten; the rest of the table stays.
+    """
+    spark = processed.sparkSession
+    fresh = new_chunks(processed).withColumn("bucket", bucket("document_id", buckets))
+    touched = changed(processed).select(bucket("document_id", buckets).alias("bucket")).distinct()
+    stored = spark.read.schema(fresh.schema).parquet(path)
+    kept = stored.join(F.broadcast(touched), "bucket", "left_semi").join(changed(processed).select("document_id"), "document_id", "left_anti")
+    kept.unionByName(fresh).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("bucket").parquet(path)
+
+
 def run_summary(outcome: DataFrame, url_count: Column | None = None) -> DataFrame:
     """Counters and status of a run in one row."""
     def n(a: str) -> Column:

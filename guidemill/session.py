@@ -22,9 +22,10 @@ def local_session(cores: str = "*", app: str = "guidemill", memory: str = "12g")
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder named by the cluster; set one only where none is named (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="guidemill-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()

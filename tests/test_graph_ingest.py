@@ -113,6 +113,33 @@ def test_replaced_chunks(spark):
     assert {r.source_url[-1]: r.content.endswith("new") for r in got} == {"a": True, "b": False}
 
 
+def test_two_passes_equal_one(spark):
+    rows = [(i, f"https://x/{i}", "" if i == 3 else LONG + str(i), "gone" if i == 4 else None) for i in range(12)]
+    empty = spark.createDataFrame([], ingest_stream.DOCUMENT_DDL)
+    docs = ingest.next_documents(empty, ingest.process(pages(spark, rows[:8]), empty), F.current_timestamp()).checkpoint()
+    new = pages(spark, [(i, u, t + (" changed" if i < 2 else ""), e) for i, u, t, e in rows])
+    one = ingest.process(new, docs)
+    decisions, done = ingest.process_changed(new, docs)
+    cols = ["url", "reason", "action", "chunks_created", "error"]
+    a = sorted(tuple(str(v) for v in r) for r in ingest.outcomes(one).select(cols).collect())
+    b = sorted(tuple(str(v) for v in r) for r in ingest.outcomes_of_decisions(decisions, done).select(cols).collect())
+    assert a == b and any("content_changed" in x for x in a)
+    assert sorted(r.chunk_id for r in ingest.new_chunks(one).collect()) == sorted(r.chunk_id for r in ingest.new_chunks(done).collect())
+
+
+def test_bucketed_chunk_table(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    empty = spark.createDataFrame([], ingest_stream.DOCUMENT_DDL)
+    first = ingest.process(pages(spark, [(i, f"https://x/{i}", LONG + str(i), None) for i in range(9)]), empty)
+    ingest.new_chunks(first).withColumn("bucket", ingest.bucket("document_id", 4)).write.partitionBy("bucket").parquet(path)
+    docs = ingest.next_documents(empty, first, F.current_timestamp())
+    again = ingest.process(pages(spark, [(0, "https://x/0", LONG + "new", None), (1, "https://x/1", LONG + "1", None)]), docs)
+    ingest.replace_chunks(path, again, 4)
+    got = {r.source_url[-1]: r.content for r in spark.read.parquet(path).collect()}
+    assert len(got) == 9 and got["0"].endswith("new") and got["1"].endswith("1")
+    assert spark.read.parquet(path).count() == 9
+
+
 def test_store_changes(spark):
     s = spark.createDataFrame([(1, "a", None), (2, "b", "x")], "id int, name string, note string")
     ch = spark.createDataFrame([(1, None, "n1"), (3, "z", "n3")], "id int, name string, note string")
