@@ -79,7 +79,8 @@ def keywords(text: Column, found: Column) -> Column:
 def _labels(found: Column, dictionary: dict[str, list[str]], at_least: int) -> Column:
     table = F.array(*[
         F.struct(F.lit(k).alias("label"), literal_strings(ws).alias("words")) for k, ws in dictionary.items()])
-    hits = F.filter(table, lambda t: F.size(F.array_intersect(t["words"], found)) >= at_least)
+    # Bound first: the optimizer may put the expression behind ``found`` in its place, once per topic.
+    hits = let(found, lambda f: F.filter(table, lambda t: F.size(F.array_intersect(t["words"], f)) >= at_least))
     return F.transform(hits, lambda t: t["label"])
 
 
