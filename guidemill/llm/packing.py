@@ -3,7 +3,7 @@
 Documents follow each other in their order of reading as one token stream per block.  Cuts may be made behind a
 document or sentence for free, and elsewhere at a penalty for the truncation.  A window of L tokens is padded to
 ``window`` unless L is a power of two.  With best(p) the least cost of the stream up to cut p,
-best(q) = min over p of best(p) + penalty(q) + padding(q - p).  Padding is linear in p, so the minimum of
+best(q) = min over p of best(p) + penalty(q) + padding(q - p), and a price for one more window.  Padding is linear in p, so the minimum of
 best(p) + p over the last ``window`` tokens comes from a monotone queue; powers of two are eleven more choices.
 """
 
@@ -50,8 +50,11 @@ class Tokens:
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
 
-def choose_cuts(points: np.ndarray, penalty: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the best cuts; ``points`` ascend from 0 to the length, no two more than ``window`` apart."""
+def choose_cuts(points: np.ndarray, penalty: np.ndarray, window: int, opening: float = 0.0) -> np.ndarray:
+    """Positions of the best cuts; ``points`` ascend from 0 to the length, no two more than ``window`` apart.
+
+    ``opening`` is the price of one more window, without which powers of two would be cut into crumbs.
+    """
     where, fee = points.tolist(), penalty.tolist()
     exact: list[list[int]] = [[] for _ in where]
     size = 1
@@ -71,7 +74,7 @@ def choose_cuts(points: np.ndarray, penalty: np.ndarray, window: int) -> np.ndar
         for k in exact[j]:
             if best[k] < cost:
                 cost, i = best[k], k
-        best[j], came[j] = cost + fee[j], i
+        best[j], came[j] = cost + fee[j] + opening, i
         value = best[j] + q
         while queue and best[queue[-1]] + where[queue[-1]] >= value:
             queue.pop()
@@ -83,7 +86,7 @@ def choose_cuts(points: np.ndarray, penalty: np.ndarray, window: int) -> np.ndar
     return np.array(cuts[::-1], np.int64)
 
 
-def pack_block(lengths: np.ndarray, sentence_ends: np.ndarray, window: int, truncation: float) -> np.ndarray:
+def pack_block(lengths: np.ndarray, sentence_ends: np.ndarray, window: int, truncation: float, sentence: float = 0.5, opening: float = 64.0) -> np.ndarray:
     """Cuts of one stream of documents; ``sentence_ends`` are offsets behind a sentence."""
     total = int(lengths.sum())
     documents = np.cumsum(lengths)
@@ -93,14 +96,13 @@ def pack_block(lengths: np.ndarray, sentence_ends: np.ndarray, window: int, trun
         size = 1 << (window.bit_length() - 1 - bit)
         if rest & size:
             tail.append((tail[-1] if tail else total - rest) + size)
-    free = np.union1d(documents, sentence_ends)
-    points = np.unique(np.concatenate([[0, total], free, grid, np.array(tail, np.int64)]))
-    penalty = np.where(np.isin(points, free), 0.0, truncation)
-    return choose_cuts(points, penalty, window)
+    points = np.unique(np.concatenate([[0, total], documents, sentence_ends, grid, np.array(tail, np.int64)]))
+    penalty = np.where(np.isin(points, documents), 0.0, np.where(np.isin(points, sentence_ends), sentence, truncation))
+    return choose_cuts(points, penalty, window, opening)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                   window: int = 1024, truncation: float = 16.0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+                   window: int = 1024, truncation: float = 8.0, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per piece: id, start, length, ids (packed little-endian unsigned 32 bit), doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone; repeated rows and null ids are packed as any other row.  The work is

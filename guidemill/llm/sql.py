@@ -17,17 +17,17 @@ FROM split s LEFT JOIN fits f ON s.page_id = f.page_id AND f.k = 1
 
 SUBSTRING_DEDUP = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
-words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM w),
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
 windows AS (
-  SELECT doc_id, at, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS body,
-         count(*) OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM words),
+  SELECT doc_id, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS body,
+         count(*) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM words),
 first AS (SELECT body, min(doc_id) AS low FROM windows WHERE n = 13 GROUP BY body HAVING min(doc_id) < max(doc_id)),
-later AS (SELECT windows.doc_id, windows.at FROM windows JOIN first ON windows.body = first.body WHERE windows.n = 13 AND windows.doc_id > first.low),
-gone AS (SELECT DISTINCT later.doc_id, later.at + k.k AS at FROM later CROSS JOIN (SELECT unnest(range(13)) AS k) k),
+later AS (SELECT windows.doc_id, windows.pos FROM windows JOIN first ON windows.body = first.body WHERE windows.n = 13 AND windows.doc_id > first.low),
+gone AS (SELECT DISTINCT later.doc_id, later.pos + k.k AS pos FROM later CROSS JOIN (SELECT unnest(range(13)) AS k) k),
 kept AS (
-  SELECT words.doc_id, string_agg(words.word, ' ' ORDER BY words.at) FILTER (WHERE gone.at IS NULL) AS body, count(gone.at) AS n_removed
-  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.at = gone.at GROUP BY words.doc_id)
+  SELECT words.doc_id, string_agg(words.word, ' ' ORDER BY words.pos) FILTER (WHERE gone.pos IS NULL) AS body, count(gone.pos) AS n_removed
+  FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos GROUP BY words.doc_id)
 SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
@@ -37,17 +37,17 @@ WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 i AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
-iw AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at, least(13, len(ws)) AS size FROM i),
+iw AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, least(13, len(ws)) AS size FROM i),
 ir AS (
-  SELECT item_id, size, string_agg(word, ' ') OVER (PARTITION BY item_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS body,
-         count(*) OVER (PARTITION BY item_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM iw),
+  SELECT item_id, size, string_agg(word, ' ') OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS body,
+         count(*) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM iw),
 items AS (SELECT DISTINCT item_id, size, body FROM ir WHERE n = size),
-dw AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM d),
+dw AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
 dr AS (
-  SELECT doc_id, at, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS body,
-         count(*) OVER (PARTITION BY doc_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM dw),
-found AS (SELECT dr.doc_id, dr.at, items.item_id, items.size FROM dr JOIN items ON dr.body = items.body WHERE dr.n = items.size {short}),
-hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT found.doc_id, found.at + k.k AS at FROM found JOIN (SELECT unnest(range(13)) AS k) k ON k.k < found.size) GROUP BY doc_id),
+  SELECT doc_id, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS body,
+         count(*) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM dw),
+found AS (SELECT dr.doc_id, dr.pos, items.item_id, items.size FROM dr JOIN items ON dr.body = items.body WHERE dr.n = items.size {short}),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT found.doc_id, found.pos + k.k AS pos FROM found JOIN (SELECT unnest(range(13)) AS k) k ON k.k < found.size) GROUP BY doc_id),
 names AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS joined FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.ws) AS contaminated

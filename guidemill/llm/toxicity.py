@@ -8,25 +8,28 @@ repeat each other given the label.  Its posterior labels, not the voters, train
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guidemill.llm.common import bounded_sample, map_text, materialize
+from guidemill.llm.quality import isotonic
 
 # Word lists of the lexicon voters.
 LEXICONS = {
     "intellect": "idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass imbecile imbeciles cretin dimwit halfwit fool fools foolish brainless airhead dolt simpleton",
-    "worth": "worthless useless pathetic loser losers failure nobody waste pitiful hopeless inferior",
+    "worth": "worthless pathetic loser losers pitiful hopeless",
     "ridicule": "clown clowns joke laughingstock buffoon freak freaks weirdo weirdos creep creeps jerk jerks",
-    "filth": "trash garbage scum filth filthy vermin parasite parasites pig pigs rat rats cockroach cockroaches dirt slime sewage maggot maggots",
-    "disgust": "disgusting revolting repulsive vile sickening gross nasty hideous ugly despicable loathsome",
-    "profanity": "damn crap shit bullshit fuck fucking fucked fucker bitch bastard bastards ass asshole assholes dick prick piss slut whore cunt motherfucker",
+    "filth": "trash garbage scum filth filthy vermin parasite parasites cockroach cockroaches slime sewage maggot maggots",
+    "disgust": "disgusting revolting repulsive sickening nasty hideous ugly despicable loathsome",
+    "profanity": "damn crap shit bullshit fuck fucking fucked fucker bitch bastard bastards ass asshole assholes prick piss slut whore cunt motherfucker",
     "hate": "hate hated hateful despise detest loathe racist bigot nazi fascist subhuman",
-    "threat": "kill murder die strangle stab shoot destroy beat hurt punish lynch exterminate",
+    "threat": "murder strangle stab lynch exterminate",
 }
 # Phrases of the pattern voters.
 PHRASES = {
@@ -36,56 +39,114 @@ PHRASES = {
 SPELLED = str.maketrans("0134578@$", "oieastbas")  # digits and signs that stand for letters
 LETTERS = re.compile(r"[^\W\d_]+")
 SHOUT_SHARE, EXCLAIM_SHARE = 0.5, 0.01
-VOTERS = [*LEXICONS, *PHRASES, "disguised", "shouting", "exclaiming", "several", "no_word"]
+MINED = 8  # voters that share the stems learned from labels
+STEMS = (4, 5, 6, 7, 8, 64)  # lengths of word beginnings looked at; the last is a whole word
+RATE = 0.004  # hits per word from which a word voter speaks, so that length alone gives no vote
+VOTERS = [*LEXICONS, *(f"mined_{k}" for k in range(MINED)), *PHRASES, "disguised", "shouting", "exclaiming", "several", "no_word"]
+WORD_VOTERS = len(LEXICONS) + MINED
 _WORDS = {w: i for i, ws in enumerate(LEXICONS.values()) for w in ws.split()}
 
 
-def evidence(text: str) -> list[float]:
-    """Hits per voter and, last, the number of words.  The voter ``no_word`` is 1 where no lexicon word occurs."""
+def plain_words(low: str) -> dict[str, str]:
+    """Distinct blank-separated tokens of a lower-cased text, with the word in each."""
+    return {t: t.strip(".,;:!?\"'()[]{}<>*_-|") for t in set(low.split())}
+
+
+def stems_of(low: str) -> list[str]:
+    """Word beginnings, and whole words marked by ``$``, that occur at ``RATE`` or more."""
+    tokens = Counter(low.split())
+    counts: Counter = Counter()
+    for token, word in plain_words(low).items():
+        if len(word) >= STEMS[0]:
+            for stem in {word[:k] if len(word) > k else word + "$" for k in STEMS}:
+                counts[stem] += tokens[token]
+    least = RATE * sum(tokens.values())
+    return sorted(s for s, n in counts.items() if n >= least)
+
+
+def evidence(text: str, mined: dict[str, int]) -> list[float]:
+    """Hits per voter and, last, the number of words.  ``no_word`` is 1 where no listed or mined word occurs.
+
+    ``mined`` maps stems to the number of a mined voter.
+    """
     low = text.lower()
+    seen: dict[str, int] = {}
+    for token, word in plain_words(low).items():
+        place = _WORDS.get(word)
+        if place is None and mined and len(word) >= STEMS[0]:
+            number = next((mined[s] for k in STEMS if (s := word[:k] if len(word) > k else word + "$") in mined), None)
+            place = None if number is None else len(LEXICONS) + number
+        if place is None and not token.isalpha():
+            place = next((_WORDS[p] for p in LETTERS.findall(token) if p in _WORDS), None)
+            if place is None and len(word) < 24 and word.translate(SPELLED) in _WORDS and any(c.isalpha() for c in word):
+                place = -1
+        if place is not None:
+            seen[token] = place
     tokens = low.split()
     hits = [0.0] * len(VOTERS)
-    direct = disguised = 0
-    seen = {}
-    for t in set(tokens):
-        word = t.strip(".,;:!?\"'()[]{}<>*_-")
-        if word in _WORDS:
-            seen[t] = _WORDS[word]
-        elif not t.isalpha():
-            parts = LETTERS.findall(t)
-            found = next((_WORDS[p] for p in parts if p in _WORDS), None)
-            plain = word.translate(SPELLED) if found is None and len(word) < 24 else ""
-            if found is not None:
-                seen[t] = found
-            elif plain != word and plain in _WORDS and any(c.isalpha() for c in word):
-                seen[t] = -1
+    disguised = 0
     if seen:
-        for t in tokens:
-            if t in seen:
-                if seen[t] < 0:
-                    disguised += 1
-                else:
-                    direct += 1
-                    hits[seen[t]] += 1
-    at = len(LEXICONS)
+        for token in tokens:
+            place = seen.get(token)
+            if place is not None:
+                disguised += place < 0
+                hits[place] += place >= 0
+    at = len(LEXICONS) + MINED
     for k, pattern in enumerate(PHRASES.values()):
         if seen or k:
             hits[at + k] = float(sum(1 for _ in pattern.finditer(low)))
-    upper = sum(1 for t in text.split() if len(t) > 2 and t.isupper())
     hits[at + 2] = float(disguised)
-    hits[at + 3] = float(bool(seen) and upper > SHOUT_SHARE * len(tokens))
-    hits[at + 4] = float(bool(seen) and text.count("!") > EXCLAIM_SHARE * len(text))
-    hits[at + 5] = float(direct + disguised >= 2)
+    if seen:
+        hits[at + 3] = float(sum(1 for t in text.split() if len(t) > 2 and t.isupper()) > SHOUT_SHARE * len(tokens))
+        hits[at + 4] = float(text.count("!") > EXCLAIM_SHARE * len(text))
+    hits[at + 5] = float(sum(hits[:at]) + disguised >= max(2, 2 * RATE * len(tokens)))
     hits[at + 6] = float(not seen)
     return hits + [float(len(tokens))]
 
 
-def with_evidence(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def mine_stems(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, support: int = 5, lift: float = 10.0, most: int = 64, candidates: int = 20_000) -> dict[str, int]:
+    """Word stems that mark labelled toxic texts, each with the number of its voter.
+
+    ``known`` is a bounded sample of (id, label).  A candidate occurs in ``support`` toxic texts or more and in toxic
+    texts ``lift`` times as often as in others.  A greedy cover then takes the stem that explains most texts not yet
+    explained, so that the words of one much-copied text do not crowd in; stems that explain fewer than ``support`` end it.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # bounded sample
+
+    def stems(texts):
+        return [pa.array([stems_of(t.lower()) for t in texts], pa.list_(pa.string()))]
+
+    held = materialize(map_text(rows, "text", "stems array<string>", stems), "stems")
+    totals = {r["label"]: r["n"] for r in held.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, clean = totals.get(1, 0), sum(n for k, n in totals.items() if k != 1)
+    if not toxic:
+        return {}
+    counts = held.select("label", F.explode("stems").alias("stem")).groupBy("stem").agg(
+        F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") != 1).alias("c"))
+    chosen = counts.where((F.col("t") >= support) & (F.col("t") / toxic >= lift * (F.col("c") + 0.5) / max(1, clean)))
+    listed = {r["stem"] for r in chosen.orderBy(F.desc("t"), "stem").limit(candidates).collect()}
+    sets = [set(r["stems"]) & listed for r in held.where("label = 1").select("id", "stems").orderBy(F.xxhash64("id")).limit(5000).toLocalIterator()]
+    where: dict[str, set[int]] = {}
+    for i, own in enumerate(sets):
+        for stem in own:
+            where.setdefault(stem, set()).add(i)
+    mined: dict[str, int] = {}
+    while where and len(mined) < most:
+        stem = max(where, key=lambda w: (len(where[w]), len(w), w))
+        covered = where.pop(stem)
+        if len(covered) < support:
+            break
+        mined[stem] = len(mined) % MINED
+        where = {w: rest for w, own in where.items() if (rest := own - covered)}
+    return mined
+
+
+def with_evidence(docs: DataFrame, mined: dict[str, int], text_col: str = "text") -> DataFrame:
     """Replace the text by ``hits array<double>``."""
     width = len(VOTERS) + 1
 
     def run(texts):
-        flat = [x for t in texts for x in evidence(t)]
+        flat = [x for t in texts for x in evidence(t, mined)]
         return [pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, width, dtype=np.int32), pa.array(flat, pa.float64()))]
 
     return map_text(docs, text_col, "hits array<double>", run)
@@ -93,11 +154,18 @@ def with_evidence(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def votes(hits: np.ndarray) -> np.ndarray:
     """1 toxic, 0 no vote, -1 clean, per voter; only ``no_word`` votes for clean."""
-    out = (hits[:, : len(VOTERS)] > 0).astype(np.int8)
+    out = _spoken(hits).astype(np.int8)
     out[:, -1] *= -1
     return out
 
 
+def _spoken(hits: np.ndarray) -> np.ndarray:
+    """Voters that vote: a word voter needs its rate of hits."""
+    own = hits[:, : len(VOTERS)] > 0
+    own[:, :WORD_VOTERS] &= hits[:, :WORD_VOTERS] >= RATE * hits[:, -1:]
+    return own
+
+
 @dataclass
 class LabelModel:
     """Class prior, vote probabilities given the label, and weights against voters that repeat each other."""
@@ -149,7 +217,7 @@ class LinearModel:
     def features(hits: np.ndarray) -> np.ndarray:
         n = np.maximum(hits[:, -1:], 1)
         own = hits[:, : len(VOTERS)]
-        return np.hstack([np.log1p(own), np.minimum(own, 1), np.minimum(own / n * 100, 10) / 10, np.ones((len(hits), 1))])
+        return np.hstack([np.log1p(own), _spoken(hits), np.minimum(own / n * 100, 10) / 10, np.ones((len(hits), 1))])
 
     def score(self, hits: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(hits) @ self.weights, -30, 30)))
@@ -185,20 +253,24 @@ def fit_linear(rows: DataFrame, label_model: LabelModel, newton_steps: int = 8,
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                   sample_rows: int = 100_000) -> DataFrame:
+                   sample_rows: int = 50_000) -> DataFrame:
     """(id, score) for every row; null and empty texts count as texts without any word.
 
-    Texts are read once; the label model uses the vote combinations of all rows (at most 3^voters, in practice some
-    hundred).  The classifier learns from a hash-chosen sample of at most about ``sample_rows`` rows.  Labels for
-    which ``learn`` holds only check the label model: a voter that is more often wrong than right on them is left out.
+    Texts are read once; the label model uses the vote combinations of all rows (in practice some hundred,
+    whatever the number of rows).  The classifier learns from a hash-chosen sample of at most about ``sample_rows`` rows.  Labels for
+    which ``learn`` holds mine word stems for some voters and check the label model: a voter whose texts are toxic less than twice
+    as often as any is left out;
+    they also calibrate the final score.
     """
-    rows = materialize(with_evidence(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "evidence")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(learn & F.col("id").isNotNull() & F.col("label").isNotNull())
+    mined = mine_stems(docs, bounded_sample(known, "id", sample_rows), id_col, text_col)
+    rows = materialize(with_evidence(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), mined), "evidence")
     width = len(VOTERS)
-    vote = F.concat(*[F.when(F.col("hits")[j] > 0, "1").otherwise("0") for j in range(width)])
+    spoken = lambda j: (F.col("hits")[j] > 0) & (F.lit(j >= WORD_VOTERS) | (F.col("hits")[j] >= RATE * F.col("hits")[width]))
+    vote = F.concat(*[F.when(spoken(j), "1").otherwise("0") for j in range(width)])
     patterns = rows.groupBy(vote.alias("combo")).agg(F.count(F.lit(1)).alias("n")).orderBy("combo").collect()
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(learn & F.col("label").isNotNull())
     checked = rows.join(known, "id").groupBy(vote.alias("combo")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).orderBy("combo").collect()
-    decode = lambda found: votes(np.array([[float(c) for c in r["combo"]] for r in found]).reshape(-1, width))
+    decode = lambda found: np.array([[int(c) for c in r["combo"]] for r in found], np.int8).reshape(-1, width) * np.array([1] * (width - 1) + [-1], np.int8)
     if not patterns:
         return rows.select("id", F.lit(0.0).alias("score"))
     model = fit_label_model(decode(patterns), np.array([r["n"] for r in patterns], float))
@@ -208,7 +280,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
         for j in range(width):
             cast = combos[:, j] == (1 if j < width - 1 else -1)
             rate = ones[cast].sum() / n[cast].sum() if n[cast].sum() >= 20 else None
-            if rate is not None and ((rate <= base) if j < width - 1 else (rate >= base)):
+            if rate is not None and ((rate <= 2 * base) if j < width - 1 else (rate >= base)):
                 model.weights[j] = 0.0
     linear = fit_linear(materialize(bounded_sample(rows.where("id IS NOT NULL"), "id", sample_rows), "sample"), model)
 
@@ -216,4 +288,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(linear.score(_hits(batch)), pa.float64())], names=["id", "score"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    raw = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    table = raw.join(known, "id").groupBy(F.round(F.col("score") * 500).alias("bin")).agg(
+        F.avg("score").alias("x"), F.count(F.lit(1)).alias("w"), F.avg("label").alias("y")).orderBy("bin").collect()
+    if not table:
+        return raw
+    knots, values = (v.tolist() for v in isotonic(*(np.array([r[c] for r in table], float) for c in ("x", "w", "y"))))
+
+    @F.pandas_udf("double")
+    def calibrated(scores: pd.Series) -> pd.Series:
+        # A small share of the raw score keeps the order within a step.
+        return pd.Series(np.clip(0.98 * np.interp(scores, knots, values) + 0.02 * scores, 0.0, 1.0))
+
+    return raw.select("id", calibrated("score").alias("score"))
