@@ -124,8 +124,9 @@ def mine_stems(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, su
     counts = held.select("label", F.explode("stems").alias("stem")).groupBy("stem").agg(
         F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") != 1).alias("c"))
     chosen = counts.where((F.col("t") >= support) & (F.col("t") / toxic >= lift * (F.col("c") + 0.5) / max(1, clean)))
-    listed = {r["stem"] for r in chosen.orderBy(F.desc("t"), "stem").limit(candidates).collect()}
-    sets = [set(r["stems"]) & listed for r in held.where("label = 1").select("id", "stems").orderBy(F.xxhash64("id")).limit(5000).toLocalIterator()]
+    listed = F.broadcast(chosen.orderBy(F.desc("t"), "stem").limit(candidates).select("stem"))
+    toxic_docs = held.where("label = 1").select("id", F.explode("stems").alias("stem")).join(listed, "stem").groupBy("id").agg(F.collect_set("stem").alias("stems"))
+    sets = [r["stems"] for r in toxic_docs.orderBy(F.xxhash64("id")).limit(5000).collect()]
     where: dict[str, set[int]] = {}
     for i, own in enumerate(sets):
         for stem in own:
