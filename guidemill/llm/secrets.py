@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from statistics import mean, pstdev
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -161,22 +162,26 @@ def infer(values: list[str]) -> Automaton:
 
 
 class Formats:
-    """Automata of the credential kinds and of ordinary tokens, with the likelihood each kind must reach."""
+    """Automata of the credential kinds and of ordinary tokens, with the likelihood each kind must reach.
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], margin: float = 0.5):
+    A token is a credential if it lies within three deviations of the labelled values of a kind, and its whole
+    likelihood exceeds the ordinary one by ``margin`` (a natural logarithm).  Ordinary tokens may hold some unlabelled credentials.
+    """
+
+    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], margin: float = 2.0):
         self.margin = margin
         self.kinds = {}
         for kind, values in labelled.items():
             if len(values) >= 10:
                 automaton = infer(values)
-                scores = sorted(automaton.likelihood(symbols(v)) for v in values)
-                self.kinds[kind] = (automaton, scores[len(scores) // 50])
+                scores = [automaton.likelihood(symbols(v)) for v in values]
+                self.kinds[kind] = (automaton, mean(scores) - 3 * pstdev(scores))
         self.ordinary = infer(ordinary) if ordinary else None
 
     def is_credential(self, value: str) -> bool:
         text = symbols(value)
         usual = self.ordinary.likelihood(text) if self.ordinary else math.log(1 / 26)
-        return any(s >= floor and s - usual >= self.margin for a, floor in self.kinds.values() for s in [a.likelihood(text)])
+        return any(s >= floor and (s - usual) * (len(text) + 1) >= self.margin for a, floor in self.kinds.values() for s in [a.likelihood(text)])
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
