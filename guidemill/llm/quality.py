@@ -85,6 +85,7 @@ class QualityModel:
     weights: np.ndarray
     knots: np.ndarray
     values: np.ndarray
+    fitted: bool = True
 
     def features(self, stats: np.ndarray) -> np.ndarray:
         x = np.clip((stats - self.mean) / self.scale, -6, 6)
@@ -133,7 +134,7 @@ def fit_quality(rows: DataFrame, sample_rows: int = 100_000, waves: int = 256, r
     n = sum(r["n"] for r in parts)
     rng = np.random.default_rng(seed)
     if not n:
-        return QualityModel(np.zeros(STATISTICS), np.ones(STATISTICS), np.zeros((STATISTICS, 1)), np.zeros(1), np.zeros(2), np.zeros(1), np.full(1, 0.5))
+        return QualityModel(np.zeros(STATISTICS), np.ones(STATISTICS), np.zeros((STATISTICS, 1)), np.zeros(1), np.zeros(2), np.zeros(1), np.full(1, 0.5), fitted=False)
     mean = sum(np.array(r["total"]) for r in parts) / n
     scale = np.sqrt(np.maximum(sum(np.array(r["square"]) for r in parts) / n - mean**2, 0)) + 1e-6
     model = QualityModel(mean, scale, rng.normal(0, 1 / np.sqrt(STATISTICS), (STATISTICS, waves)), rng.uniform(0, 2 * np.pi, waves), np.zeros(waves + 1), np.zeros(1), np.zeros(1))
@@ -195,12 +196,16 @@ def filter_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     """The documents scored at ``threshold`` or more, with their columns.
 
     The model is fitted on a bounded sample of labels, whose texts alone are read for it; scoring is one narrow pass.
+    Without labels nothing is known to be bad and all documents stay.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(learn & F.col("id").isNotNull() & F.col("label").isNotNull())
     known = bounded_sample(known, "id", sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # bounded by sample_rows
     model = fit_quality(materialize(with_statistics(texts), "statistics"), sample_rows, **options)
 
+    if not model.fitted:
+        return docs
+
     def run(batches):
         for batch in batches:
             stats = np.array([statistics(t or "") for t in batch.column(text_col).to_pylist()]).reshape(-1, STATISTICS)
