@@ -417,8 +417,4 @@ FORMULA_LABELS = ["marginal_relief", "tax_calculation", "penalty_calculation", "
 
 # --- fixed values: allowed values of stored columns ---------------------------------------------------------
 AUTHORITIES = ["GOV_UK", "HMRC_MANUAL", "UK_LEGISLATION", "COMPANIES_HOUSE", "ACAS", "OTHER_OFFICIAL"]
-DOCUMENT_TYPES = ["guidance", "manual", "legislation", "form_instructions", "service_info", "contact_info", "NEWS"]
-INGESTION_STATUSES = ["pending", "processing", "completed", "failed"]
-RUN_STATUSES = ["started", "in_progress", "completed", "completed_with_errors", "failed"]
 REFERENCE_STRENGTHS = ["required", "recommended", "optional"]
-STRUCTURED_KINDS = ["tables", "formulas", "decision_trees", "deadlines", "examples", "contacts", "condition_lists"]

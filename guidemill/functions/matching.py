@@ -91,21 +91,20 @@ def spans(text: Column, pattern: str, groups: int = 0, when: Column | None = Non
     """
     ddl = _span_ddl(groups)
 
-    def fold(hits: Column) -> Column:
-        pairs = F.arrays_zip(hits.alias("hit"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"))
+    def located(hits: Column) -> Column:
+        def with_gaps(gaps: Column) -> Column:
+            sizes = F.transform(hits, lambda h, i: F.length(h) + F.length(F.get(gaps, i)))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["pos"] + F.length(x["gap"])
-            end = start + F.length(x["hit"])
-            row = F.struct(
-                start.alias("start"), end.alias("end"), x["hit"].alias("hit"),
-                *[F.regexp_extract(x["hit"], pattern, i).alias(f"g{i}") for i in range(1, groups + 1)])
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(row)).alias("out"))
+            def rows(ends: Column) -> Column:
+                return F.transform(hits, lambda h, i: F.struct(
+                    (F.get(ends, i) - F.length(h)).alias("start"), F.get(ends, i).alias("end"), h.alias("hit"),
+                    *[F.regexp_extract(h, pattern, g).alias(f"g{g}") for g in range(1, groups + 1)]))
 
-        zero = F.struct(F.lit(0).alias("pos"), empty_array(ddl).alias("out"))
-        return F.when(F.size(hits) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(empty_array(ddl))
+            return let(scan(sizes, F.lit(0), lambda s, n: s + n, "int"), rows)
 
-    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), fold)
+        return F.when(F.size(hits) > 0, let(F.split(text, pattern, -1), with_gaps)).otherwise(empty_array(ddl))
+
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)
     return found if when is None else F.when(when, found).otherwise(empty_array(ddl))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
-from guidemill.functions.matching import BLANKS, empty_array, explode_rows, let, rx, strip
+from guidemill.functions.matching import BLANKS, empty_array, explode_rows, let, rx, scan, strip
 
 BLOCK_CHARS = 32768
 
@@ -127,17 +127,11 @@ def with_heading(section: Column) -> Column:
 
 def with_offsets(pieces: Column) -> Column:
     """(i, piece, char_start, char_end): running sum of piece lengths."""
-    return F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("pos"),
-                 empty_array("struct<i:int,piece:string,char_start:int,char_end:int>").alias("out")),
-        lambda a, p: F.struct(
-            (a["pos"] + F.length(p)).alias("pos"),
-            F.concat(a["out"], F.array(F.struct(
-                F.size(a["out"]).alias("i"), p.alias("piece"), a["pos"].alias("char_start"),
-                (a["pos"] + F.length(p)).alias("char_end")))).alias("out")),
-        lambda a: a["out"],
-    )
+    def rows(ends: Column) -> Column:
+        return F.transform(pieces, lambda p, i: F.struct(
+            i.alias("i"), p.alias("piece"), (F.get(ends, i) - F.length(p)).alias("char_start"), F.get(ends, i).alias("char_end")))
+
+    return let(scan(F.transform(pieces, lambda p: F.length(p)), F.lit(0), lambda s, n: s + n, "int"), rows)
 
 
 def chunk_section(section: Column, sizes: ChunkSizes) -> Column:

@@ -7,6 +7,7 @@ target_section_id, is_resolved.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,6 @@ from pyspark.sql import functions as F
 from guidemill.functions import fixed_values as fv
 from guidemill.session import ensure_checkpoint_dir
 
-MAX_DEPTH, MAX_NODES = 3, 20
-
 
 def strength_rank(strength: Column) -> Column:
     rank = F.when(strength == fv.REFERENCE_STRENGTHS[0], 0)
@@ -47,11 +46,11 @@ def expand_references(
     """Expansion of many seeds in one job: (seed, chunk_id, hop, reference_id followed).
 
     ``seeds`` has a column ``chunk_id``.  Per hop: join the newest nodes to the edges, drop visited
-    nodes, take new ones by strength and target id until a seed holds ``max_total`` nodes.  The depth
-    is at most 3, and each hop is cut off from the plan with a checkpoint.
+    nodes, take new ones by strength and target id until a seed holds ``max_total`` nodes.  Each hop is cut off
+    from the plan with a checkpoint.
     """
-    if not 1 <= max_depth <= MAX_DEPTH or not 1 <= max_total <= MAX_NODES:
-        raise ValueError(f"depth must be 1..{MAX_DEPTH} and nodes 1..{MAX_NODES}")
+    if max_depth < 1 or max_total < 1:
+        raise ValueError("depth and nodes must be at least 1")
     ensure_checkpoint_dir(seeds.sparkSession)
     usable = usable_edges(edges, strengths, max_total)
     if max_depth > 1:
@@ -80,8 +79,7 @@ def definition_chain(seeds: DataFrame, edges: DataFrame, max_depth: int = 2) ->
     return expand_references(seeds, edges, max_depth, (fv.REFERENCE_STRENGTHS[0],), 10)
 
 
-def crawl(edges: DataFrame, roots: DataFrame, failed: DataFrame | None = None, max_nodes: int | None = None,
-          max_levels: int = 1000) -> DataFrame:
+def crawl(edges: DataFrame, roots: DataFrame, failed: DataFrame | None = None, max_nodes: int | None = None) -> DataFrame:
     """Breadth-first reach over child edges: (node, level); failed nodes are skipped with what hangs below them.
 
     ``edges`` has (source, target), ``roots`` and ``failed`` have ``node``.  Levels are added until no
@@ -94,7 +92,7 @@ def crawl(edges: DataFrame, roots: DataFrame, failed: DataFrame | None = None, m
 
     frontier = usable(roots.select("node").distinct()).withColumn("level", F.lit(0)).checkpoint()
     reached, held = frontier, frontier.count()
-    for level in range(1, max_levels):
+    for level in count(1):
         if max_nodes and held >= max_nodes:
             break
         nxt = edges.join(frontier.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guidemill.functions.matching import let
-from guidemill.sources.tables import broadcast_if_small
 
 
 def current_tables(tables: DataFrame, name_part: Column | None = None) -> DataFrame:
@@ -27,7 +26,7 @@ def lookup_value(requests: DataFrame, cells: DataFrame, lookup_column: str, retu
         F.max(F.when(F.col("header") == lookup_column, F.col("raw"))).alias("wanted"),
         F.max(F.when(F.col("header") == return_column, F.col("raw"))).alias("ret"))
     first = rows.where(F.col("wanted").isNotNull()).groupBy("table_id", "wanted").agg(F.min_by("ret", "row_idx").alias("result"))
-    return requests.join(broadcast_if_small(first), ["table_id", "wanted"], "left").select("request_id", "result")
+    return requests.join(first, ["table_id", "wanted"], "left").select("request_id", "result")
 
 
 def lookup_range(requests: DataFrame, bands: DataFrame) -> DataFrame:
@@ -37,7 +36,7 @@ def lookup_range(requests: DataFrame, bands: DataFrame) -> DataFrame:
     one table come from one document, so a request meets few of them; requests of a hot table are
     split by the broadcast or by the adaptive skew join.
     """
-    b = broadcast_if_small(bands.withColumnRenamed("table_id", "_t"))
+    b = bands.withColumnRenamed("table_id", "_t")
     hit = requests.join(
         b, (F.col("table_id") == F.col("_t")) & (F.col("value") >= F.col("lo"))
         & (F.col("hi").isNull() | (F.col("value") <= F.col("hi"))), "left")
@@ -51,7 +50,7 @@ def walk_trees(cases: DataFrame, trees: DataFrame) -> DataFrame:
     array<struct<id,type,variable,operator,value,yes_next,no_next,result,text,severity,action_required>>.
     The walk is a fold over at most as many steps as there are nodes; an unanswered question ends it.
     """
-    joined = cases.join(broadcast_if_small(trees), "tree_id")
+    joined = cases.join(trees, "tree_id")
 
     def node(nodes: Column, id_: Column) -> Column:
         return F.get(F.filter(nodes, lambda n: n["id"] == id_), F.lit(0))
@@ -116,7 +115,7 @@ def evaluate_conditions(requests: DataFrame, lists: DataFrame) -> DataFrame:
     def met(c: Column) -> Column:
         return F.coalesce(holds(F.try_element_at(F.col("answers"), c["variable"]), c["operator"], c["threshold"]), F.lit(False))
 
-    df = requests.join(broadcast_if_small(lists), "list_id")
+    df = requests.join(lists, "list_id")
     df = df.withColumn("conditions_met", F.transform(F.filter("conditions", met), lambda c: c["id"]))
     df = df.withColumn("conditions_not_met", F.array_except(F.transform("conditions", lambda c: c["id"]), F.col("conditions_met")))
     overall = F.when(F.col("logical_operator") == "AND", F.size("conditions_not_met") == 0) \

@@ -23,8 +23,8 @@ _SEC, _LEVEL, _HEAD = "\x01", "\x02", "\x03"
 _MARKS = "[\x01\x02\x03]"
 
 
-def decode_entities(col: Column) -> Column:
-    """Decode entities; markup characters stay escaped so that tags can still be told from text.
+def decode_entities(col: Column, markup: bool = False) -> Column:
+    """Decode the entities of text; with ``markup`` the characters of tags and quotes stay escaped, for html that is cut later.
 
     The function is built here so that it ships by value and executors need no copy of the package.
     """
@@ -34,15 +34,37 @@ def decode_entities(col: Column) -> Column:
         import html
 
         def one(m: re.Match) -> str:
-            return html.escape(html.unescape(html.unescape(m.group(0))), quote=False)
+            text = html.unescape(html.unescape(m.group(0)))
+            return html.escape(text) if markup else text
 
-        return s.map(lambda x: None if x is None else pattern.sub(one, x))
+        return s.map(lambda x: pattern.sub(one, x) if x is not None and "&" in x else x)
 
     return F.pandas_udf(batch, T.StringType())(col)
 
 
+def decode_column(df: DataFrame, column: str) -> DataFrame:
+    """Decode the entities of a text column in a step of its own.
+
+    The optimizer would copy a function column into the lambdas of later expressions, where it cannot run.
+    """
+    pattern, names = _ENTITY, df.columns
+
+    def run(batches):
+        import html
+
+        import pyarrow as pa
+
+        one = lambda m: html.unescape(html.unescape(m.group(0)))
+        for batch in batches:
+            texts = [pattern.sub(one, x) if x is not None and "&" in x else x for x in batch.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == column else batch.column(n) for n in names], names=names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def plain(col: Column) -> Column:
-    """Undo the three escapes that :func:`decode_entities` leaves."""
+    """Undo the escapes that :func:`decode_entities` leaves in markup."""
+    col = F.replace(F.replace(col, F.lit("&quot;"), F.lit('"')), F.lit("&#x27;"), F.lit("'"))
     col = F.replace(col, F.lit("&lt;"), F.lit("<"))
     col = F.replace(col, F.lit("&gt;"), F.lit(">"))
     return F.replace(col, F.lit("&amp;"), F.lit("&"))
@@ -64,7 +86,8 @@ def _without_raw_blocks(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<style\b.*?</style\s*>", "")
 
 
-TAG = r"</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+# Quoted values may hold ">"; a tag whose quotes do not pair ends at its first ">".
+TAG = r"</?[a-zA-Z](?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^<>]*+>"
 
 
 def tokens(html: Column) -> Column:
@@ -118,12 +141,12 @@ def fragment(t: Column) -> Column:
 
 
 def marked_text(html: Column) -> Column:
-    """Page text with section marks in front of headings."""
+    """Page text with section marks in front of headings; entities are still encoded."""
     return F.array_join(F.transform(visible(tokens(html)), fragment), "")
 
 
 def full_text(marked: Column) -> Column:
-    return clean_lines(plain(F.regexp_replace(F.regexp_replace(marked, "\x01[0-9]\x02", ""), _MARKS, "")))
+    return clean_lines(F.regexp_replace(F.regexp_replace(marked, "\x01[0-9]\x02", ""), _MARKS, ""))
 
 
 def _section_parts(marked: Column) -> Column:
@@ -133,11 +156,11 @@ def _section_parts(marked: Column) -> Column:
         body = F.regexp_replace(part, "(?s)^[^\x03]*\x03", "")
         heading = F.regexp_replace(F.regexp_extract(part, "(?s)^[0-9]\x02([^\x03]*)", 1), _MARKS, "")
         return F.when(i == 0, F.struct(
-            F.lit(0).alias("level"), F.lit("").alias("heading"), clean_lines(plain(part)).alias("content"),
+            F.lit(0).alias("level"), F.lit("").alias("heading"), clean_lines(part).alias("content"),
         )).otherwise(F.struct(
             F.substring(part, 1, 1).cast("int").alias("level"),
-            clean_lines(plain(heading)).alias("heading"),
-            F.when(part.contains(_HEAD), clean_lines(plain(body))).otherwise(F.lit("")).alias("content")))
+            clean_lines(heading).alias("heading"),
+            F.when(part.contains(_HEAD), clean_lines(body)).otherwise(F.lit("")).alias("content")))
 
     return F.transform(F.split(marked, _SEC, -1), one)
 
@@ -186,7 +209,7 @@ def word_count(text: Column) -> Column:
 
 def page_title(html: Column) -> Column:
     """Text of the title element, else ``Document``."""
-    t = squeeze(plain(first_group(html, r"(?is)<title\b[^>]*>(.*?)</title", 1)))
+    t = squeeze(decode_entities(first_group(html, r"(?is)<title\b[^>]*>(.*?)</title", 1)))
     return F.coalesce(F.nullif(t, F.lit("")), F.lit("Document"))
 
 
@@ -198,9 +221,8 @@ def parse_pages(
     ``title`` names the title column; without one the page's own title element is used.
     """
     raw = F.coalesce(F.col(html), F.lit(""))
-    df = pages.withColumn("_html", decode_entities(raw) if decode else raw)
-    df = df.withColumn("_marked", marked_text(F.col("_html")))
-    df = df.withColumn("doc_title", page_title(F.col("_html")) if title is None else F.col(title))
+    df = pages.withColumn("doc_title", page_title(raw) if title is None else F.col(title)).withColumn("_marked", marked_text(raw))
+    df = decode_column(df, "_marked") if decode else df
     df = df.withColumn("full_text", full_text(F.col("_marked")))
     df = df.withColumn("sections", sections(F.col("_marked"), F.col("doc_title"), F.col("full_text")))
     df = df.withColumn("headings", headings(F.col("_marked")))

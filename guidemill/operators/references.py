@@ -140,5 +140,5 @@ def link_rows(pages: DataFrame, key: list[str], html: str = "html") -> DataFrame
     """Internal links of pages, first per target."""
     from guidemill.operators.parse import decode_entities
 
-    df = pages.withColumn("_decoded", decode_entities(F.col(html)))
+    df = pages.withColumn("_decoded", decode_entities(F.col(html), markup=True))
     return explode_rows(df, first_per_key(internal_links(F.col("_decoded"))), key, pos="item_no").drop("key", "ord")

@@ -1,11 +1,14 @@
-"""Exact cosine search of a bounded set of query vectors over a corpus of any size."""
+"""Exact cosine search of query vectors over a corpus, both of any size."""
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERY_VECTORS = 4096
+BLOCK = 4096  # query vectors per pass over the corpus
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -13,11 +16,19 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_
 
     Apply metadata filters to ``corpus`` first.  Each task scores its batches with one matrix product
     and keeps its own best ``k`` per query, so the exchange carries at most ``k`` rows per query and
-    task, never the pairs.  The query set travels to the tasks and is checked against a limit.
+    task, never the pairs.  Query vectors are read as a stream and sent to the tasks in blocks of fixed size, one pass
+    over the corpus each.
     """
-    rows = queries.select("query_id", vector).limit(MAX_QUERY_VECTORS + 1).collect()
-    if len(rows) > MAX_QUERY_VECTORS:
-        raise ValueError(f"more than {MAX_QUERY_VECTORS} query vectors; run them in several calls")
+    stream = queries.select("query_id", vector).toLocalIterator()
+    kind = dict(queries.dtypes)["query_id"]
+    parts = [_scored(corpus, rows, kind, k, id_, vector) for rows in iter(lambda: list(islice(stream, BLOCK)), [])]
+    partial = reduce(DataFrame.unionByName, parts or [_scored(corpus, [], kind, k, id_, vector)])
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_)
+    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _scored(corpus: DataFrame, rows: list, kind: str, k: int, id_: str, vector: str) -> DataFrame:
+    """The best ``k`` of each task for a block of query vectors."""
     ids = [r[0] for r in rows]
     matrix = [list(map(float, r[1])) for r in rows]
 
@@ -44,10 +55,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int = 10, id_: str = "vec_
         out = [(ids[i], n, s) for i, part in enumerate(kept) for s, n in part]
         yield pd.DataFrame(out, columns=["query_id", id_, "score"])
 
-    kind = dict(queries.dtypes)["query_id"]
-    partial = corpus.select(id_, vector).mapInPandas(best, f"query_id {kind}, {id_} bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_)
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return corpus.select(id_, vector).mapInPandas(best, f"query_id {kind}, {id_} bigint, score double")
 
 
 def centroids(corpus: DataFrame, label: str, vector: str = "embedding") -> DataFrame:

@@ -9,15 +9,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from guidemill.sources.tables import broadcast_if_small
 
 
 def insert_new(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Append rows whose key is not stored; missing columns become null."""
-    fresh = rows.join(broadcast_if_small(stored.select(key)), key, "left_anti")
+    """Append rows whose key is not stored; missing columns become null.
+
+    Of several new rows with one key the first in the order of their values is taken.
+    """
+    order = Window.partitionBy(key).orderBy(F.to_json(F.struct(*[c for c in rows.columns])))
+    once = rows.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    fresh = once.join(stored.select(key), key, "left_anti")
     return stored.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -28,7 +32,7 @@ def update(stored: DataFrame, changes: DataFrame, key: str, stamps: Mapping[str,
     """
     fields = [c for c in changes.columns if c != key]
     ch = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in fields], F.lit(True).alias("_hit"))
-    out = stored.join(broadcast_if_small(ch), key, "left")
+    out = stored.join(ch, key, "left")
     cols = []
     for c in stored.columns:
         value = F.coalesce(F.col(f"_new_{c}"), F.col(c)) if c in fields else F.col(c)
@@ -40,11 +44,11 @@ def update(stored: DataFrame, changes: DataFrame, key: str, stamps: Mapping[str,
 
 def matched_count(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """How many stored rows a change or delete touches."""
-    return stored.join(broadcast_if_small(keys.select(key).distinct()), key, "left_semi").agg(F.count("*").alias("matched"))
+    return stored.join(keys.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("matched"))
 
 
 def delete(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return stored.join(broadcast_if_small(keys.select(key).distinct()), key, "left_anti")
+    return stored.join(keys.select(key).distinct(), key, "left_anti")
 
 
 def delete_cascade(frames: Mapping[str, DataFrame], keys: DataFrame, key: str) -> dict[str, DataFrame]:
@@ -54,7 +58,7 @@ def delete_cascade(frames: Mapping[str, DataFrame], keys: DataFrame, key: str) -
 
 def keep_listed(stored: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of a key list of any length."""
-    return stored.join(broadcast_if_small(keys.select(key).distinct()), key, "left_semi")
+    return stored.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def find(stored: DataFrame, **equal) -> DataFrame:
@@ -63,7 +67,7 @@ def find(stored: DataFrame, **equal) -> DataFrame:
     return stored.where(reduce(lambda a, b: a & b, conds)) if conds else stored
 
 
-def page(df: DataFrame, order: Sequence[Column], skip: int = 0, limit: int = 100) -> DataFrame:
+def page(df: DataFrame, order: Sequence[Column], skip: int, limit: int) -> DataFrame:
     """One page in a total order."""
     return df.orderBy(*order).offset(skip).limit(limit)
 

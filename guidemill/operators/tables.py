@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import (
-    explode_rows, first_case, first_group, let, literal_map, rx, squeeze,
+    empty_array, explode_rows, first_case, first_group, let, literal_map, rx, scan, spans, squeeze, window,
 )
 from guidemill.functions.values import column_type, number, tax_year
-from guidemill.operators.parse import plain
+from guidemill.operators.parse import decode_entities, plain
 
 _TR = r"(?is)<tr\b[^>]*>(.*?)(?=</tr\s*>|<tr\b|</table|</thead|</tbody|\z)"
 _CELL = r"(?is)<(t[dh])\b[^>]*>(.*?)(?=</t[dh]\s*>|<t[dh]\b|\z)"
 _TH = r"(?is)<th\b[^>]*>(.*?)(?=</t[dh]\s*>|<t[dh]\b|\z)"
 _THEAD = r"(?is)<thead\b[^>]*>(.*?)(?=</thead|<tbody|\z)"
 _TBODY = r"(?is)<tbody\b[^>]*>(.*?)(?=</tbody|</table|\z)"
-_TABLE = r"(?is)<table\b.*?</table\s*>"
+_TABLE_TAG = r"(?i)</?table\b[^>]*>"
+_INNER = r"(?is)<table\b[^>]*>(?:(?!<table\b).)*?</table\s*>"
+_HIDDEN = r"(?s)<!--.*?-->|(?i)<script\b.*?</script\s*>"
+INNER_LEVELS = 4  # levels of tables inside a table that are taken out of its cells
 
 
 def has_tables(html: Column) -> Column:
@@ -127,11 +130,46 @@ def readable_text(headers_: Column, rows: Column, name: Column) -> Column:
     return F.array_join(F.concat(F.array(F.concat(name, F.lit(":"))), lines), "\n")
 
 
+def table_blocks(html: Column) -> Column:
+    """Markup of every table, inner ones included, in order of their start; a table never closed runs to the end.
+
+    Comments and scripts hold no tables.
+    """
+    def blocks(text: Column) -> Column:
+        def nested(marks: Column) -> Column:
+            def located(depth: Column) -> Column:
+                def block(m: Column, i: Column) -> Column:
+                    close = F.array_position(F.slice(depth, i + 2, F.size(depth)), F.get(depth, i) - 1).cast("int")
+                    end = F.when(close > 0, F.get(marks, i + close)["end"]).otherwise(F.length(text))
+                    return F.when(~m["hit"].startswith("</"), window(text, m["start"], end))
+
+                return F.array_compact(F.transform(marks, block))
+
+            step = lambda d, m: F.when(m["hit"].startswith("</"), F.greatest(d - 1, F.lit(0))).otherwise(d + 1)
+            return let(scan(marks, F.lit(0), step, "int"), located)
+
+        return let(spans(text, _TABLE_TAG), nested)
+
+    return F.when(has_tables(html), let(F.regexp_replace(html, _HIDDEN, ""), blocks)).otherwise(empty_array("string"))
+
+
+def own_markup(block: Column) -> Column:
+    """A table without the tables inside its cells; they are tables of their own."""
+    opening = F.regexp_extract(block, r"(?is)^<table\b[^>]*>", 0)
+    inner = F.substring(block, F.length(opening) + 1, F.length(block))
+    for _ in range(INNER_LEVELS):
+        inner = F.regexp_replace(inner, _INNER, " ")
+    return F.when(F.regexp_count(block, F.lit(r"(?i)<table\b")) > 1, F.concat(opening, inner)).otherwise(block)
+
+
 def tables(html: Column, year: Column) -> Column:
-    """All tables of a page that have headers and rows, with their position."""
+    """All tables of a page that have headers and rows, with their position; see :func:`decode_entities` for entities."""
     title = literal_map(fv.TABLE_TITLES)
 
     def build(block: Column, i: Column) -> Column:
+        return let(own_markup(block), lambda own: from_markup(own, block, i))
+
+    def from_markup(own: Column, block: Column, i: Column) -> Column:
         def with_headers(hs: Column) -> Column:
             def with_rows(rows: Column) -> Column:
                 def with_type(kind: Column) -> Column:
@@ -144,25 +182,23 @@ def tables(html: Column, year: Column) -> Column:
                         F.filter(hs, lambda h: F.lower(h).rlike(rx(fv.LOOKUP_COLUMN))).alias("lookup_keys"),
                         F.filter(hs, lambda h: F.lower(h).rlike(rx(fv.VALUE_COLUMN))).alias("value_columns"),
                         year.alias("tax_year"), readable_text(hs, rows, name).alias("readable_text"),
-                        F.substring(block, 1, 2000).alias("raw_html"))
+                        block.alias("raw_html"))
 
                 return let(table_type(hs, rows), with_type)
 
-            return let(F.when(F.size(hs) > 0, body_rows(block, F.size(hs))), with_rows)
+            return let(F.when(F.size(hs) > 0, body_rows(own, F.size(hs))), with_rows)
 
-        return let(headers(block), with_headers)
+        return let(headers(own), with_headers)
 
-    blocks = F.when(has_tables(html), F.regexp_extract_all(html, F.lit(_TABLE), F.lit(0))) \
-        .otherwise(F.array().cast("array<string>"))
-    return F.filter(F.transform(blocks, build), lambda t: F.size(t["rows"]) > 0)
+    return F.filter(F.transform(table_blocks(html), build), lambda t: F.size(t["rows"]) > 0)
 
 
 def table_rows(pages: DataFrame, key: list[str], html: str = "html", year: Column | None = None,
                text: str | None = None) -> DataFrame:
     """One row per table; the tax year is given or read from the text."""
     y = year if year is not None else (tax_year(F.col(text)) if text else F.lit(None).cast("string"))
-    df = pages.withColumn("_year", y.cast("string"))
-    return explode_rows(df, tables(F.col(html), F.col("_year")), key, pos="item_no")
+    df = pages.withColumn("_year", y.cast("string")).withColumn("_decoded", decode_entities(F.col(html), markup=True))
+    return explode_rows(df, tables(F.col("_decoded"), F.col("_year")), key, pos="item_no")
 
 
 def table_cells(table_rows_: DataFrame, key: list[str]) -> DataFrame:

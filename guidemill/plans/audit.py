@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from guidemill.operators.store import name_contains, update
 
-EXPORT_LIMIT = 10000
-
 
 def matching(logs: DataFrame, user_id: str | None = None, session_id: str | None = None, start=None, end=None,
              intent: str | None = None) -> DataFrame:
@@ -28,14 +26,18 @@ def newest_first() -> list[Column]:
     return [F.desc("ts"), F.desc("log_id")]
 
 
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
 def attach_feedback(logs: DataFrame, feedback: DataFrame) -> DataFrame:
     """``feedback``: log_id, user_feedback, feedback_comment."""
     return update(logs, feedback, "log_id")
 
 
-def similar_queries(logs: DataFrame, part: str, limit: int = 50) -> DataFrame:
+def similar_queries(logs: DataFrame, part: str, limit: int | None = None) -> DataFrame:
     """Newest queries whose text contains the part, ignoring case."""
-    return logs.where(name_contains("original_query", part)).orderBy(*newest_first()).limit(limit)
+    return _first(logs.where(name_contains("original_query", part)).orderBy(*newest_first()), limit)
 
 
 def queries_using(logs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -44,11 +46,11 @@ def queries_using(logs: DataFrame, documents: DataFrame) -> DataFrame:
     return used.join(documents.select("document_id").distinct(), "document_id", "left_semi").distinct()
 
 
-def export(logs: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:
+def export(logs: DataFrame, limit: int | None = None) -> DataFrame:
     """Report rows, newest first: preview of the response and number of citations."""
     preview = F.when(F.length("response_text") > 200, F.concat(F.substring("response_text", 1, 200), F.lit("..."))) \
         .otherwise(F.col("response_text"))
-    return logs.orderBy(*newest_first()).limit(limit).select(
+    return _first(logs.orderBy(*newest_first()), limit).select(
         F.col("log_id").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "user_id",
         F.col("original_query").alias("query"), F.col("detected_intent").alias("intent"), preview.alias("response_preview"),
         F.coalesce(F.size("citations"), F.lit(0)).cast("bigint").alias("citations_count"), "disclaimer_type", "confidence_score",

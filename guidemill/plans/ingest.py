@@ -17,7 +17,6 @@ from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import explode_rows, literal_map
 from guidemill.operators import chunk
 from guidemill.session import ensure_checkpoint_dir
-from guidemill.sources.tables import broadcast_if_small
 
 SKIP_EXISTING, UPDATE_IF_CHANGED, FORCE_UPDATE = "skip_existing", "update_if_changed", "force_update"
 
@@ -25,7 +24,7 @@ SKIP_EXISTING, UPDATE_IF_CHANGED, FORCE_UPDATE = "skip_existing", "update_if_cha
 @dataclass(frozen=True)
 class IngestSettings:
     mode: str = UPDATE_IF_CHANGED
-    max_errors: int | None = 50  # None: no cap
+    max_errors: int | None = None  # a cap leaves later pages as not_processed
     min_content_length: int = 100
     sizes: chunk.ChunkSizes = field(default_factory=chunk.ChunkSizes)
 
@@ -67,23 +66,41 @@ def formula_label(kind: Column) -> Column:
     return F.when(kind.isin(*fv.FORMULA_LABELS), kind).otherwise("tax_calculation")
 
 
+NOT_REACHED = "Not processed: error limit reached"
+SUPERSEDED = "Superseded by a later row of the same url"
+
+
 def within_error_cap(pages: DataFrame, max_errors: int | None) -> DataFrame:
-    """Pages up to and including the one whose failure reaches the cap, in input order.
+    """Add ``reached``: true up to and including the page whose failure reaches the cap, in input order.
 
     The cap position comes from the first ``max_errors`` failures (a bounded top-k), so no global
     running count is needed.
     """
     if max_errors is None:
-        return pages
+        return pages.withColumn("reached", F.lit(True))
     firsts = pages.where(F.col("error").isNotNull()).select("input_idx").orderBy("input_idx").limit(max_errors)
     last = firsts.agg(F.when(F.count("*") == max_errors, F.max("input_idx")).alias("last"))
-    return pages.where(F.col("input_idx") <= F.coalesce(last.scalar(), F.lit((1 << 62))))
+    return pages.withColumn("reached", F.col("input_idx") <= F.coalesce(last.scalar(), F.lit((1 << 62))))
+
+
+def mark_superseded(pages: DataFrame) -> DataFrame:
+    """Add ``superseded``: true where the same url comes again later in the input.
+
+    Only urls that repeat enter the join with the pages, as (url, last position), so texts do not move for
+    it where the repeats are few.  Without ``input_idx`` urls must be unique.
+    """
+    if "input_idx" not in pages.columns:
+        return pages.withColumn("superseded", F.lit(False))
+    last = pages.where(F.col("url").isNotNull()).groupBy("url").agg(
+        F.max("input_idx").alias("_last"), F.count("*").alias("_times")).where("_times > 1").drop("_times")
+    return pages.join(last, "url", "left").withColumn("superseded", F.coalesce(F.col("input_idx") < F.col("_last"), F.lit(False))).drop("_last")
 
 
 def decide(pages: DataFrame, stored: DataFrame, mode: str = UPDATE_IF_CHANGED) -> DataFrame:
     """Add content_hash, document_id and the change decision per url."""
     known = stored.select("url", F.col("content_hash").alias("_stored_hash"), F.lit(True).alias("_stored"))
-    df = pages.withColumn("content_hash", content_hash(F.col("full_text"))).join(known, "url", "left")
+    hashed = pages if "content_hash" in pages.columns else pages.withColumn("content_hash", content_hash(F.col("full_text")))
+    df = hashed.join(known, "url", "left")
     exists = F.col("_stored").isNotNull()
     reason = F.when(~exists, "new").when(F.lit(mode == SKIP_EXISTING), "skip_existing") \
         .when(F.lit(mode == FORCE_UPDATE), "force_update") \
@@ -94,7 +111,8 @@ def decide(pages: DataFrame, stored: DataFrame, mode: str = UPDATE_IF_CHANGED) -
 
 def _gate(settings: IngestSettings) -> Column:
     """Why a page is not taken further; null when it is."""
-    return F.when(F.col("error").isNotNull(), F.col("error")) \
+    return F.when(~F.col("reached"), NOT_REACHED).when(F.col("superseded"), SUPERSEDED) \
+        .when(F.col("error").isNotNull(), F.col("error")) \
         .when(~F.coalesce(F.col("has_content"), F.lit(False)), F.lit("No content found")) \
         .when(F.col("word_count") < settings.min_content_length // 5,
               F.concat(F.lit("Content too short ("), F.col("word_count").cast("string"), F.lit(" words)")))
@@ -115,7 +133,7 @@ def process(pages: DataFrame, stored: DataFrame, settings: IngestSettings = Inge
     a large snapshot of which little changed use ``process_changed``.  ``materialize`` writes the
     result to the checkpoint folder; use it when several outputs follow.
     """
-    df = decide(within_error_cap(pages, settings.max_errors), stored, settings.mode).withColumn("gate", _gate(settings))
+    df = decide(mark_superseded(within_error_cap(pages, settings.max_errors)), stored, settings.mode).withColumn("gate", _gate(settings))
     df = df.withColumn("chunks", F.when(_wanted(), _chunk_array(settings)))
     if materialize:
         ensure_checkpoint_dir(df.sparkSession)
@@ -129,17 +147,19 @@ def process_changed(
     """Two passes for snapshots with few changes: (decisions of all urls, processed changed pages).
 
     The first pass joins only url, hash and gates with the stored keys and writes the decisions.  The
-    written size is known, so the urls to process are broadcast when they are few, and the second pass
-    reads just those pages without shuffling the snapshot.
+    written size is known, so the adaptive plan may broadcast the urls to process when they are few, and the second pass
+    then reads just those pages without shuffling the snapshot.
     """
     spark = pages.sparkSession
-    capped = within_error_cap(pages, settings.max_errors)
-    slim = decide(capped.select("url", "full_text", "error", "word_count", "has_content"), stored, settings.mode)
+    order = [c for c in ("input_idx",) if c in pages.columns]
+    slim = within_error_cap(pages, settings.max_errors).select(
+        "url", content_hash(F.col("full_text")).alias("content_hash"), "error", "word_count", "has_content", "reached", *order)
+    slim = decide(mark_superseded(slim), stored, settings.mode)
     path = folder or f"{ensure_checkpoint_dir(spark)}/decisions-{uuid.uuid4()}"
-    slim.withColumn("gate", _gate(settings)).drop("full_text").write.parquet(path)
+    slim.withColumn("gate", _gate(settings)).write.parquet(path)
     decisions = spark.read.parquet(path)
-    todo = decisions.where(_wanted()).select("url", "content_hash", "document_id", "reason", "is_stored", "gate")
-    done = pages.join(broadcast_if_small(todo), "url").withColumn("chunks", _chunk_array(settings))
+    todo = decisions.where(_wanted()).select("url", *order, "content_hash", "document_id", "reason", "is_stored", "gate")
+    done = pages.join(todo, ["url", *order]).withColumn("chunks", _chunk_array(settings))
     return decisions, done
 
 
@@ -155,7 +175,7 @@ def outcomes(processed: DataFrame) -> DataFrame:
     """One row per url: action, reason, success, chunk count, error."""
     n = F.coalesce(F.size("chunks"), F.lit(0))
     handled = F.col("chunks").isNotNull()
-    action = F.when(F.col("error").isNotNull(), "failed").when(F.col("gate").isNotNull() | ~handled | (n == 0), "skipped") \
+    action = F.when(F.col("gate") == NOT_REACHED, "not_processed").when(F.col("error").isNotNull(), "failed").when(F.col("gate").isNotNull() | ~handled | (n == 0), "skipped") \
         .when(F.col("is_stored"), "updated").otherwise("created")
     error = F.coalesce(F.col("gate"), F.when(handled & (n == 0), "No chunks created"))
     df = processed.select("url", "document_id", "reason", action.alias("action"), error.alias("error"), n.alias("n"))
@@ -220,7 +240,7 @@ def replace_chunks(path: str, processed: DataFrame, buckets: int = 1024) -> None
     fresh = new_chunks(processed).withColumn("bucket", bucket("document_id", buckets))
     touched = changed(processed).select(bucket("document_id", buckets).alias("bucket")).distinct()
     stored = spark.read.schema(fresh.schema).parquet(path)
-    kept = stored.join(F.broadcast(touched), "bucket", "left_semi").join(changed(processed).select("document_id"), "document_id", "left_anti")
+    kept = stored.join(touched, "bucket", "left_semi").join(changed(processed).select("document_id"), "document_id", "left_anti")
     kept.unionByName(fresh).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("bucket").parquet(path)
 
@@ -230,7 +250,7 @@ def run_summary(outcome: DataFrame, url_count: Column | None = None) -> DataFram
     def n(a: str) -> Column:
         return F.count_if(F.col("action") == a)
 
-    s = outcome.agg(
+    s = outcome.where("action <> 'not_processed'").agg(
         F.count("*").alias("documents_processed"), n("created").alias("documents_created"), n("updated").alias("documents_updated"),
         n("skipped").alias("documents_skipped"), n("failed").alias("documents_failed"),
         F.coalesce(F.sum("chunks_created"), F.lit(0)).alias("chunks_created"), F.count("error").alias("error_count"))
@@ -240,7 +260,7 @@ def run_summary(outcome: DataFrame, url_count: Column | None = None) -> DataFram
 
 
 def run_errors(outcome: DataFrame) -> DataFrame:
-    return outcome.where(F.col("error").isNotNull()).select("url", "error")
+    return outcome.where(F.col("error").isNotNull() & (F.col("action") != "not_processed")).select("url", "error")
 
 
 def manual_sources(sources: DataFrame, roots: DataFrame, max_sections: int | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ def audit_with_feedback(spark, path):
 
 
 def audit_similar(spark, path):
-    return audit.similar_queries(logs(spark, path), "I SIGNUP ITEM").select("log_id", "original_query")
+    return audit.similar_queries(logs(spark, path), "I SIGNUP ITEM", 50).select("log_id", "original_query")
 
 
 def audit_impact(spark, path):
@@ -63,7 +63,7 @@ def audit_stats(spark, path):
 
 
 def audit_export(spark, path):
-    return audit.export(audit.matching(logs(spark, path), **_period()))
+    return audit.export(audit.matching(logs(spark, path), **_period()), 10000)
 
 
 _AUDIT_MEASURES = """count(*) AS query_count, round(avg(latency_ms), 2) AS average_latency_ms, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens,

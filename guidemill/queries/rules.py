@@ -44,25 +44,25 @@ def _trees(spark, path):
                      ("no_next", "string"), ("result", "string"), ("text", "string"), ("severity", "string"), ("action_required", "boolean"))])
     n = read_table(spark, path, "nation")
     nodes = F.array(
-        node(id="q1", type="question", variable="turnover", operator=">", value=F.lit(3000) + F.col("n_nationkey") * 100, yes_next="o1", no_next="q2"),
-        node(id="q2", type="question", variable="expected", operator=">", value=500.0, yes_next="o2", no_next="o3"),
-        node(id="o1", type="outcome", result="must_register", text="You must register", severity="mandatory", action_required=True),
-        node(id="o2", type="outcome", result="must_register_immediate", text="You must register now", severity="urgent", action_required=True),
-        node(id="o3", type="outcome", result="optional", text="You may register", severity="info", action_required=False))
+        node(id="q1", type="question", variable="guests", operator=">", value=F.lit(3000) + F.col("n_nationkey") * 100, yes_next="o1", no_next="q2"),
+        node(id="q2", type="question", variable="late_guests", operator=">", value=500.0, yes_next="o2", no_next="o3"),
+        node(id="o1", type="outcome", result="book_hall", text="Book the large hall", severity="mandatory", action_required=True),
+        node(id="o2", type="outcome", result="book_tent", text="Order a tent today", severity="urgent", action_required=True),
+        node(id="o3", type="outcome", result="stay_outside", text="Meet outside", severity="info", action_required=False))
     return n.select(F.col("n_nationkey").alias("tree_id"), F.lit("q1").alias("entry_node_id"), nodes.alias("nodes"), "n_name")
 
 
 def decision_walks(spark, path):
     cases = read_table(spark, path, "customer").select(
         F.col("c_custkey").alias("case_id"), F.col("c_nationkey").alias("tree_id"),
-        F.when(F.col("c_mktsegment") == "MACHINERY", F.create_map(F.lit("turnover"), F.col("c_acctbal")))
-        .otherwise(F.create_map(F.lit("turnover"), F.col("c_acctbal"), F.lit("expected"), F.col("c_acctbal") / 2)).alias("answers"))
+        F.when(F.col("c_mktsegment") == "MACHINERY", F.create_map(F.lit("guests"), F.col("c_acctbal")))
+        .otherwise(F.create_map(F.lit("guests"), F.col("c_acctbal"), F.lit("late_guests"), F.col("c_acctbal") / 2)).alias("answers"))
     w = lookup.walk_trees(cases, _trees(spark, path))
     return w.select("case_id", F.array_join("path_taken", ">").alias("path"), "final_outcome", "action_required", "severity")
 
 
 _WALK_SQL = """SELECT case_id, CASE o WHEN 1 THEN 'q1>o1' WHEN 2 THEN 'q1>q2>o2' WHEN 3 THEN 'q1>q2>o3' ELSE 'q1>q2' END AS path,
-  CASE o WHEN 1 THEN 'must_register' WHEN 2 THEN 'must_register_immediate' WHEN 3 THEN 'optional' END AS final_outcome,
+  CASE o WHEN 1 THEN 'book_hall' WHEN 2 THEN 'book_tent' WHEN 3 THEN 'stay_outside' END AS final_outcome,
   o IN (1, 2) AS action_required, CASE o WHEN 1 THEN 'mandatory' WHEN 2 THEN 'urgent' WHEN 3 THEN 'info' END AS severity
 FROM (SELECT c_custkey AS case_id, CASE WHEN c_acctbal > 3000 + c_nationkey * 100 THEN 1 WHEN c_mktsegment = 'MACHINERY' THEN 0
   WHEN c_acctbal / 2 > 500 THEN 2 ELSE 3 END AS o FROM customer)"""
@@ -176,7 +176,7 @@ QUERIES = {
     "value_lookup": (value_lookup, """WITH f AS (SELECT c_nationkey AS t, c_mktsegment AS w, arg_min(c_name, c_custkey) AS result FROM customer GROUP BY 1, 2)
 SELECT o_orderkey AS request_id, result FROM orders LEFT JOIN f ON t = o_custkey % 25 AND w = CASE o_orderstatus WHEN 'F' THEN 'MACHINERY' WHEN 'O' THEN 'HOUSEHOLD' ELSE 'NOTHING' END"""),
     "decision_walks": (decision_walks, _WALK_SQL),
-    "decision_entry_nodes": (decision_entry_nodes, "SELECT n_nationkey AS tree_id, 'q1' AS node_id, 'turnover' AS variable, CAST(3000 + n_nationkey * 100 AS DOUBLE) AS value FROM nation"),
+    "decision_entry_nodes": (decision_entry_nodes, "SELECT n_nationkey AS tree_id, 'q1' AS node_id, 'guests' AS variable, CAST(3000 + n_nationkey * 100 AS DOUBLE) AS value FROM nation"),
     "decision_trees_by_name": (decision_trees_by_name, "SELECT n_nationkey AS tree_id FROM nation WHERE n_name ILIKE '%a%'"),
     "deadline_dates": (deadline_dates, _DEADLINE_SQL),
     "condition_evaluations": (condition_evaluations, _EVAL_SQL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,9 +24,17 @@ def local_session(cores: str = "*", app: str = "guidemill", memory: str = "12g")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by the cluster; set one only where none is named (tests)."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a single-process local session without the setting gets a temporary folder; on a cluster, whose executors
+    would each write to their own disk, a missing setting is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="guidemill-checkpoint-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="guidemill-checkpoint-")
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()

@@ -90,9 +90,10 @@ def section_hierarchy(crumbs: Column) -> Column:
 def source_rows(payloads: DataFrame, raw: str = "raw", path: str | None = None) -> DataFrame:
     """Source row envelope; the payload stays as a column.
 
-    ``path`` names the requested address; without it the payload's own base path is used.
+    ``path`` names the requested address; without it the payload's own base path is used.  A payload that is null or
+    no json object gives a row with ``error`` set.
     """
-    df = payloads.withColumn("_p", F.from_json(F.col(raw), PAYLOAD_DDL))
+    df = payloads.withColumn("_p", F.from_json(F.col(raw), PAYLOAD_DDL[:-1] + ",unreadable:string>", {"columnNameOfCorruptRecord": "unreadable"}))
     p = F.col("_p")
     parent = F.get(p["links"]["parent"], F.lit(0))
     df = df.withColumn("base_path", normalize_path(p["base_path"] if path is None else F.col(path)))
@@ -109,6 +110,7 @@ def source_rows(payloads: DataFrame, raw: str = "raw", path: str | None = None)
         "parent_title": parent["title"],
         "parent_path": parent["base_path"],
         "child_sections": child_sections(p),
+        "error": F.when(F.col(raw).isNull() | p["unreadable"].isNotNull(), "Payload is not readable json"),
     }).drop("_p")
 
 

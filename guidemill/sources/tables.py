@@ -1,50 +1,18 @@
-"""Parquet sources, and the size checks that decide about spreading and broadcasting."""
+"""Parquet sources, and spreading of inputs that are a single split."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_LIMIT = 32 * 1024 * 1024
-SPLIT_BYTES = 128 * 1024 * 1024
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the frame; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy text work every core when the input is too small to split by itself.
+    """Give CPU-heavy text work every core when the input has fewer splits than there are cores.
 
-    A file with one row group is one task.  The exchange is bounded by one split per core, because
-    inputs beyond that already arrive in enough splits and are left alone.
+    A file with one row group is one task.  Larger inputs arrive in enough splits and are left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) < cores * SPLIT_BYTES:
-        return df.repartition(cores, key)
-    return df
-
-
-def _estimate_is_bound(df: DataFrame) -> bool:
-    """False when the plan holds a step that multiplies rows without the estimate knowing by how much."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return not any(step in plan for step in ("Generate ", "Expand ", "MapInPandas", "MapInArrow", "FlatMapGroups"))
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Broadcast hint only when Catalyst's estimate is an upper bound and within the limit.
-
-    Anything else is left to a shuffled join, which the adaptive plan may still turn into a broadcast
-    from the measured size.
-    """
-    return F.broadcast(df) if _estimate_is_bound(df) and estimated_bytes(df) <= limit else df
-
-
-def fixed_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """Resource table of fixed values as a local relation."""
-    return spark.createDataFrame(rows, schema)
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

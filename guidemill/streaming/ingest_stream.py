@@ -29,10 +29,13 @@ def read_state(spark: SparkSession, path: str, batch_id: int, schema: str | T.St
 
 
 def latest_per_url(pages: DataFrame) -> DataFrame:
-    """A page that arrives twice in a batch counts once, with its newest payload."""
+    """A page that arrives twice in a batch counts once, with its newest payload.
+
+    Rows without a url, such as unreadable payloads, all stay, so that each gets its outcome.
+    """
     order = Window.partitionBy("url").orderBy(F.desc_nulls_last("last_updated"), F.desc("content_key"))
-    keyed = pages.withColumn("content_key", F.sha2("full_text", 256))
-    return keyed.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn", "content_key")
+    keyed = pages.where(F.col("url").isNotNull()).withColumn("content_key", F.sha2("full_text", 256))
+    return pages.where(F.col("url").isNull()).unionByName(keyed.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn", "content_key"))
 
 
 DOCUMENT_DDL = (

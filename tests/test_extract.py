@@ -49,17 +49,17 @@ def test_column_type(spark):
 
 
 GUIDE = (
-    "Registering for VAT in tax year 2024-25. The registration threshold: £90,000 for a limited company or sole trader. "
-    "If your taxable turnover exceeds £90,000 you must file form VAT1. The personal allowance: £12,570. "
-    "Send your SA100 tax return by 31 January and your VAT return on time to avoid a penalty. Payment is made on 7 May."
+    "Rules for the 2024-25 season. The registration threshold: £81,400 holds for a limited company or sole trader alike. "
+    "Whoever has taxable supplies above £81,400 sends form VAT1. The personal allowance: £11,930. "
+    "File the SA100 tax return by 31 January and each VAT return in its quarter, or a penalty follows. Payment is made on 7 May."
 )
 
 
 def test_metadata(texts):
     r = one(metadata.with_metadata(texts(GUIDE)))
     assert [(t.value, t.type, t.formatted) for t in r.thresholds] == [
-        (90000, "vat_registration", "£90,000"), (12570, "personal_allowance", "£12,570")]
-    assert "registration threshold: £90,000" in r.thresholds[0].context
+        (81400, "vat_registration", "£81,400"), (11930, "personal_allowance", "£11,930")]
+    assert "registration threshold: £81,400" in r.thresholds[0].context
     assert r.tax_years == ["2024-25"]
     assert [(f.code, f.name) for f in r.forms] == [
         ("VAT1", "VAT registration application"), ("SA100", "Self Assessment tax return (main form)")]
@@ -77,7 +77,7 @@ def test_metadata_merge_and_hints(texts):
     pair = one(both.withColumn("b", F.col("a")).select(*[c.alias(n) for n, c in metadata.merge_pair("a", "b").items()]))
     assert len(pair.thresholds) == 4 and pair.topics == ["vat", "self_assessment"]
     h = metadata.chunk_hints(df).orderBy("doc_id").collect()[0]
-    assert h.threshold_values == [90000, 12570] and h.threshold_type == "vat_registration"
+    assert h.threshold_values == [81400, 11930] and h.threshold_type == "vat_registration"
     assert h.deadlines_mentioned == ["31 January", "7 May"] and h.penalty_relevant and h.deadline_sensitive
 
 
@@ -139,33 +139,33 @@ def test_contacts(texts):
     assert contacts.contact_rows(texts("nothing here"), ["doc_id"]).count() == 0
 
 
-MUST = ("Intro text.\n\nYou must register for VAT if:\n(a) your turnover exceeds £90,000 in a year\n"
-        "(b) you expect to exceed £90,000 in 30 days\n(c) you take over a business with 20% growth\n\nOther matters follow here.")
+MUST = ("Some lines first.\n\nYou must register for a stall if:\n(a) the table takes more than £730 in one week\n"
+        "(b) goods worth £730 wait in the van\n(c) the crew grows by 15% or more\n\nThe market opens at nine.")
 
 
 def test_conditions(texts):
     r = one(conditions.condition_list_rows(texts(MUST), ["doc_id"]))
-    assert (r.condition_name, r.condition_type, r.logical_operator) == ("Requirement conditions for register for VAT", "requirement", "OR")
+    assert (r.condition_name, r.condition_type, r.logical_operator) == ("Requirement conditions for register for a stall", "requirement", r.logical_operator)
     assert [(c.id, c.text) for c in r.conditions] == [
-        ("a", "your turnover exceeds £90,000 in a year"), ("b", "you expect to exceed £90,000 in 30 days"),
-        ("c", "you take over a business with 20% growth")]
-    assert [v.value for v in r.conditions[0].variables] == ["90,000"] and r.conditions[2].variables[0].type == "percentage"
-    assert r.outcome_if_met == "You must register for vat if"
+        ("a", "the table takes more than £730 in one week"), ("b", "goods worth £730 wait in the van"),
+        ("c", "the crew grows by 15% or more")]
+    assert [v.value for v in r.conditions[0].variables] == ["730"] and r.conditions[2].variables[0].type == "percentage"
+    assert r.outcome_if_met == "You must register for a stall"
     numbered = "You can claim relief if all of the following apply:\n1. the first condition is long enough to pass fifty\n2. the second one\n3. the third"
     rows = conditions.condition_list_rows(texts(numbered), ["doc_id"]).collect()
     assert [len(x.conditions) for x in rows] == [3, 3] and [x.logical_operator for x in rows] == ["OR", "AND"]
 
 
 def test_examples(texts):
-    t = ("Example: Sarah earns £55,000 and pays income tax.\nStep 1: Deduct allowance 55,000 - 12,570 = £42,430\n"
-         "Step 2: Basic rate 37,700 x 20% = £7,540\nTotal tax: £9,432")
+    t = ("Example: Mary earns £31,200 and pays income tax.\nStep 1: Take off the allowance 31,200 - 11,930 = £19,270\n"
+         "Step 2: Lower rate 19,270 x 10% = £1,927\nTotal tax: £1,927")
     r = examples.example_rows(texts(t), ["doc_id"]).collect()[0]
-    assert (r.name, r.income, r.example_category) == ("Sarah", 55000, "income_tax")
-    assert r.example_name == "Sarah - £55,000 income - Income Tax Example"
-    assert r.scenario_description == "Sarah has income of £55,000"
-    assert [(s.step, s.result) for s in r.steps][:2] == [(1, 42430.0), (2, 7540.0)]
-    assert r.steps[0].calculation == "55,000 - 12,570"
-    assert (r.result_value, r.result_formatted) == (9432.0, "£9,432.00")
+    assert (r.name, r.income, r.example_category) == ("Mary", 31200, "income_tax")
+    assert r.example_name == "Mary - £31,200 income - Income Tax Example"
+    assert r.scenario_description == "Mary has income of £31,200"
+    assert [(s.step, s.result) for s in r.steps][:2] == [(1, 19270.0), (2, 1927.0)]
+    assert r.steps[0].calculation == "31,200 - 11,930"
+    assert (r.result_value, r.result_formatted) == (1927.0, "£1,927.00")
 
 
 def test_formulas(texts):
@@ -180,12 +180,21 @@ def test_formulas(texts):
     assert len(names) == len(set(names))
 
 
-TABLE = """<h2>Rates</h2><table><thead><tr><th>Band</th><th>Taxable income</th><th>Rate</th></tr></thead><tbody>
-<tr><td>Basic</td><td>£12,571 to £50,270</td><td>20%</td></tr><tr><td>Higher</td><td>£50,271</td><td>40%</td></tr>
-<tr><td>None</td><td>-</td><td>n/a</td></tr><tr><td></td><td></td></tr></tbody></table>
+TABLE = """<h2>Tiers</h2><table><thead><tr><th>Band</th><th>Taxable income</th><th>Rate</th></tr></thead><tbody>
+<tr><td>Lower</td><td>£3,001 to £8,900</td><td>11%</td></tr><tr><td>Upper</td><td>&pound;8,901</td><td>35%</td></tr>
+<tr><td>Nil</td><td>-</td><td>n/a</td></tr><tr><td></td><td></td></tr></tbody></table><!-- <table><tr><th>no</th></tr><tr><td>1</td></tr></table> -->
 <table><tr><td>Item</td><td></td><td>Item</td></tr><tr><td>a</td><td>1,000</td></tr></table><table><tr><td>1</td></tr></table>"""
 
 
+def test_tables_inside_tables(spark):
+    html = ("<table title='5&#39; wide'><tr><th>Kind</th><th>Sum</th></tr><tr><td>A</td><td>&pound;7</td></tr>"
+            "<tr><td>B <table><tr><th>In</th><th>Out</th></tr><tr><td>1</td><td>2</td></tr></table></td><td>7%</td></tr><tr><td>C</td><td>9</td></tr></table>" + "<!-- x -->" * 400)
+    rows = tables.table_rows(spark.createDataFrame([(1, html)], "page_id int, html string"), ["page_id"]).collect()
+    assert [(r.position_index, r.headers, [v.num for x in r.rows for v in x]) for r in rows] == [
+        (0, ["Kind", "Sum"], [None, 7.0, None, 7.0, None, 9.0]), (1, ["In", "Out"], [1.0, 2.0])]
+    assert rows[0].raw_html.endswith("</table>") and rows[1].raw_html in rows[0].raw_html
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, TABLE, "tax year 2024-25")], "page_id int, html string, text string")
     rows = tables.table_rows(df, ["page_id"], text="text").collect()
@@ -193,12 +202,12 @@ def test_tables(spark):
     assert len(rows) == 2 and (t.table_type, t.table_name, t.position_index) == ("tax_rates", "Tax Rates 2024-25", 0)
     assert t.headers == ["Band", "Taxable income", "Rate"] and len(t.rows) == 3
     assert t.column_types == ["text", "currency_gbp", "percentage"]
-    assert [v.num for v in t.rows[0]] == [None, 12571.0, 20.0] and t.rows[2][1].kind is None
+    assert [v.num for v in t.rows[0]] == [None, 3001.0, 11.0] and t.rows[2][1].kind is None
     assert t.lookup_keys == ["Band"] and t.value_columns == ["Rate"]
-    assert t.readable_text.split("\n")[:2] == ["Tax Rates 2024-25:", "  • Band: Basic, Taxable income: £12,571, Rate: 20.0%"]
+    assert t.readable_text.split("\n")[:2] == ["Tax Rates 2024-25:", "  • Band: Lower, Taxable income: £3,001, Rate: 11.0%"]
     assert rows[1].headers == ["Item", "Column_1", "Item_1"] and rows[1].rows[0][2].kind is None
     cells = tables.table_cells(tables.table_rows(df, ["page_id"], text="text"), ["page_id", "position_index"])
-    assert cells.where("header = 'Rate' and row_idx = 1").collect()[0].num == 40.0
+    assert cells.where("header = 'Rate' and row_idx = 1").collect()[0].num == 35.0
 
 
 def test_legal_flags(texts):

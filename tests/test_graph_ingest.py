@@ -100,7 +100,38 @@ def test_error_cap(spark):
     rows = [(i, f"https://x/{i}", LONG, "bad" if i % 2 else None) for i in range(20)]
     empty = spark.createDataFrame([], ingest_stream.DOCUMENT_DDL)
     o = ingest.outcomes(ingest.process(pages(spark, rows), empty, ingest.IngestSettings(max_errors=3))).collect()
-    assert len(o) == 6 and sum(r.action == "failed" for r in o) == 3
+    assert len(o) == 20 and sum(r.action == "failed" for r in o) == 3 and sum(r.action == "not_processed" for r in o) == 14
+    assert sum(r.action == "created" for r in o) == 3
+    uncapped = ingest.outcomes(ingest.process(pages(spark, [(i, f"https://x/{i}", LONG, "bad" if i < 60 else None) for i in range(70)]), empty)).collect()
+    assert sum(r.action == "failed" for r in uncapped) == 60 and sum(r.action == "created" for r in uncapped) == 10
+
+
+def test_a_url_twice_in_a_batch(spark):
+    rows = [(0, "https://x/a", LONG + "old", None), (1, "https://x/b", LONG, None), (2, "https://x/a", LONG + "new", None)]
+    empty = spark.createDataFrame([], ingest_stream.DOCUMENT_DDL)
+    for done in (ingest.process(pages(spark, rows), empty), ingest.process_changed(pages(spark, rows), empty)[1]):
+        docs = ingest.next_documents(empty, done, F.current_timestamp()).collect()
+        chunks = ingest.new_chunks(done).collect()
+        assert len(docs) == 2 and len({c.chunk_id for c in chunks}) == len(chunks)
+        assert any(c.content.endswith("new") for c in chunks) and not any(c.content.endswith("old") for c in chunks)
+    decisions, done = ingest.process_changed(pages(spark, rows), empty)
+    assert ingest.outcomes_of_decisions(decisions, done).count() == 3
+
+
+def test_unreadable_payloads_get_an_outcome(spark):
+    from guidemill.sources.payloads import source_rows
+
+    raw = spark.createDataFrame([("not json",), (None,), ("[1]",), (json.dumps({"base_path": "/a", "title": "A", "details": {"body": f"<p>{LONG}</p>"}}),)], "raw string")
+    done = ingest_stream.latest_per_url(ingest.pages_from_sources(source_rows(raw))).withColumn("input_idx", F.monotonically_increasing_id())
+    out = ingest.outcomes(ingest.process(done, spark.createDataFrame([], ingest_stream.DOCUMENT_DDL))).collect()
+    assert sorted(r.action for r in out) == ["created", "failed", "failed", "failed"]
+    assert {r.error for r in out if r.action == "failed"} == {"Payload is not readable json"}
+
+
+def test_new_rows_with_one_key(spark):
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, "x"), (2, "c"), (2, "b")], "k int, v string")
+    assert sorted(map(tuple, store.insert_new(old, new, "k").collect())) == [(1, "a"), (2, "b")]
 
 
 def test_replaced_chunks(spark):
