@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guidemill.functions.matching import explode_rows
+from guidemill.functions.matching import explode_rows, strip
 from guidemill.operators import conditions, contacts, deadlines, examples, formulas, legal, metadata, references, tables
 from guidemill.plans.ingest import formula_label, table_label, topic_label
 
@@ -71,7 +71,8 @@ def edges(extracted: DataFrame) -> DataFrame:
 
 def bad_rows(chunks: DataFrame, text: str = "content") -> DataFrame:
     """Errors frame of an extraction: rows that no extractor can read."""
-    return chunks.where(F.col(text).isNull()).select("chunk_id", F.lit("no text").alias("error"))
+    t = F.col(text)
+    return chunks.where(t.isNull() | (strip(t) == "")).select("chunk_id", F.when(t.isNull(), "no text").otherwise("blank text").alias("error"))
 
 
 def document_counts(extracted: DataFrame, key: str) -> DataFrame:

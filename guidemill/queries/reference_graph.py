@@ -38,6 +38,13 @@ def expand_references(spark, path):
     return r.select("seed", "chunk_id", F.col("hop").cast("bigint").alias("hop"), "reference_id")
 
 
+def expand_requests(spark, path):
+    """The parts of one brand and size are one request, expanded under one cap."""
+    seeds = read_table(spark, path, "part").selectExpr("p_brand || '/' || p_size AS request", "p_partkey AS chunk_id")
+    r = graph.expand_references(seeds, edges(spark, path), max_depth=2, max_total=30, request="request")
+    return r.select("seed", "chunk_id", F.col("hop").cast("bigint").alias("hop"), "reference_id")
+
+
 def definition_chains(spark, path):
     r = graph.definition_chain(chunks(spark, path).select("chunk_id"), edges(spark, path))
     return r.select("seed", "chunk_id", F.col("hop").cast("bigint").alias("hop"), "reference_id")
@@ -62,6 +69,28 @@ SELECT seed, chunk_id, 0::BIGINT AS hop, NULL::BIGINT AS reference_id FROM h0 UN
 UNION ALL SELECT seed, chunk_id, 2, reference_id FROM h2"""
 
 
+# All seeds of a request count as visited and against the cap from the start.
+_REQUEST_SQL = f"""WITH {_EDGES},
+u AS (SELECT source_chunk_id AS s, target_chunk_id AS t, rank, reference_id FROM (
+  SELECT *, CASE reference_strength WHEN 'required' THEN 0 WHEN 'recommended' THEN 1 ELSE 2 END AS rank,
+    row_number() OVER (PARTITION BY source_chunk_id, target_chunk_id ORDER BY CASE reference_strength WHEN 'required' THEN 0 WHEN 'recommended' THEN 1 ELSE 2 END, reference_id) AS rn
+  FROM e WHERE is_resolved AND reference_strength IN ('required', 'recommended')) WHERE rn = 1),
+h0 AS (SELECT DISTINCT p_brand || '/' || p_size AS seed, p_partkey AS chunk_id FROM part),
+n0 AS (SELECT seed, count(*) AS held FROM h0 GROUP BY seed),
+f1 AS (SELECT h0.seed, u.t, min(rank * 1000000000000 + u.reference_id) AS best FROM h0 JOIN u ON u.s = h0.chunk_id
+    WHERE NOT EXISTS (SELECT 1 FROM h0 v WHERE v.seed = h0.seed AND v.chunk_id = u.t) GROUP BY h0.seed, u.t),
+h1 AS (SELECT seed, t AS chunk_id, best % 1000000000000 AS reference_id FROM (SELECT f1.*, n0.held, row_number() OVER (PARTITION BY f1.seed ORDER BY best // 1000000000000, t) AS rn
+    FROM f1 JOIN n0 ON n0.seed = f1.seed) WHERE rn + held <= 30),
+a1 AS (SELECT seed, chunk_id FROM h0 UNION ALL SELECT seed, chunk_id FROM h1),
+n1 AS (SELECT seed, count(*) AS held FROM a1 GROUP BY seed),
+f2 AS (SELECT h1.seed, u.t, min(rank * 1000000000000 + u.reference_id) AS best FROM h1 JOIN u ON u.s = h1.chunk_id
+    WHERE NOT EXISTS (SELECT 1 FROM a1 v WHERE v.seed = h1.seed AND v.chunk_id = u.t) GROUP BY h1.seed, u.t),
+h2 AS (SELECT seed, t AS chunk_id, best % 1000000000000 AS reference_id FROM (SELECT f2.*, n1.held, row_number() OVER (PARTITION BY f2.seed ORDER BY best // 1000000000000, t) AS rn
+    FROM f2 JOIN n1 ON n1.seed = f2.seed) WHERE rn + held <= 30)
+SELECT seed, chunk_id, 0::BIGINT AS hop, NULL::BIGINT AS reference_id FROM h0 UNION ALL SELECT seed, chunk_id, 1, reference_id FROM h1
+UNION ALL SELECT seed, chunk_id, 2, reference_id FROM h2"""
+
+
 def resolve_references(spark, path):
     return graph.resolve_references(edges(spark, path), chunks(spark, path)).select("reference_id", "target_chunk_id", "is_resolved")
 
@@ -96,6 +125,11 @@ def most_referenced(spark, path):
     return graph.most_referenced(edges(spark, path), 10)
 
 
+def circles(spark, path):
+    """Chunks on circles of required references of any length."""
+    return graph.circle_members(edges(spark, path).where("reference_strength = 'required' AND reference_type = 'definition'"))
+
+
 def most_referencing(spark, path):
     return graph.most_referencing(edges(spark, path), 10)
 
@@ -146,6 +180,8 @@ SELECT node, level FROM r"""
 
 _FOLLOW = "is_resolved AND reference_strength IN ('required', 'recommended')"
 QUERIES = {
+    "expand_requests": (expand_requests, _REQUEST_SQL),
+    "circles": (circles, None),
     "expand_references": (expand_references, _expand_sql("'required', 'recommended'", 10)),
     "definition_chains": (definition_chains, _expand_sql("'required'", 10)),
     "resolve_references": (resolve_references, f"""WITH {_EDGES}, f AS (SELECT section_id, min(chunk_id) AS found FROM c WHERE section_id IS NOT NULL GROUP BY 1)

@@ -54,7 +54,10 @@ CONTACTS_ = ["s_suppkey AS contact_id", _ID.format("s_suppkey", 2) + " AS chunk_
 LISTS_ = ["o_orderkey AS list_id", _ID.format("o_orderkey", 60) + " AS chunk_id",
           "CASE o_orderstatus WHEN 'F' THEN 'requirement' WHEN 'O' THEN 'eligibility' ELSE 'exemption' END AS condition_type",
           "CASE WHEN o_totalprice > 200000 THEN 'vat,paye' ELSE 'vat' END AS tax_types"]
-_SOURCE = {"d": (DOCS, "pages"), "c": (CHUNKS, "documents"), "tb": (TABLES_, "part"), "fm": (FORMULAS_, "supplier"), "dl": (DEADLINES_, "orders"),
+TREES_ = ["s_suppkey AS tree_id", _ID.format("s_suppkey", 3) + " AS chunk_id", "'Tree ' || s_suppkey AS tree_name",
+          "CASE s_nationkey % 3 WHEN 0 THEN 'registration' WHEN 1 THEN 'relief' ELSE 'payment' END AS category",
+          "CASE WHEN s_acctbal > 3000 THEN 'vat,paye' ELSE 'vat' END AS tax_types"]
+_SOURCE = {"dt": (TREES_, "supplier"), "d": (DOCS, "pages"), "c": (CHUNKS, "documents"), "tb": (TABLES_, "part"), "fm": (FORMULAS_, "supplier"), "dl": (DEADLINES_, "orders"),
            "ex": (EXAMPLES_, "customer"), "ct": (CONTACTS_, "supplier"), "cl": (LISTS_, "orders")}
 
 
@@ -188,7 +191,7 @@ def chunks_with_deadlines(spark, path):
 def chunk_content_flags(spark, path):
     """Flags derived from the structured rows instead of stored by hand; keys are reduced before the join."""
     kinds = {"contains_table": "tb", "contains_formula": "fm", "contains_deadline": "dl", "contains_example": "ex", "contains_contact": "ct",
-             "contains_condition_list": "cl"}
+             "contains_condition_list": "cl", "contains_decision_tree": "dt"}
     marks = None
     for flag, name in kinds.items():
         one = _frame(spark, path, name).select("chunk_id", F.lit(flag).alias("flag"))
@@ -249,7 +252,7 @@ def condition_lists_by_type(spark, path):
 
 
 _KINDS = {"tables": ("tb", "table_id", "table_type"), "formulas": ("fm", "formula_id", "formula_type"), "deadlines": ("dl", "deadline_id", "deadline_type"),
-          "examples": ("ex", "example_id", "example_category"), "contacts": ("ct", "contact_id", "categories"), "condition_lists": ("cl", "list_id", "condition_type")}
+          "examples": ("ex", "example_id", "example_category"), "contacts": ("ct", "contact_id", "categories"), "condition_lists": ("cl", "list_id", "condition_type"), "decision_trees": ("dt", "tree_id", "category")}
 _ALL_KINDS = _w(*[v[0] for v in _KINDS.values()])
 
 
@@ -304,9 +307,10 @@ UNION ALL SELECT document_id, 'size' FROM d WHERE size > 3000 UNION ALL SELECT d
     "documents_by_topic": (documents_by_topic, _w("c") + " SELECT coalesce(topic_primary, 'unknown') AS topic, count(DISTINCT document_id) AS document_count FROM c GROUP BY 1"),
     "chunks_with_tables": (chunks_with_tables, _w("c") + " SELECT chunk_id FROM c WHERE contains_table AND topic_primary = 'VAT'"),
     "chunks_with_deadlines": (chunks_with_deadlines, _w("c", "dl") + " SELECT chunk_id FROM c WHERE chunk_id IN (SELECT chunk_id FROM dl WHERE tax_category = 'paye')"),
-    "chunk_content_flags": (chunk_content_flags, _w("c", "tb", "fm", "dl", "ex", "ct", "cl") + """ SELECT chunk_id, chunk_id IN (SELECT chunk_id FROM tb) AS contains_table,
+    "chunk_content_flags": (chunk_content_flags, _w("c", "tb", "fm", "dl", "ex", "ct", "cl", "dt") + """ SELECT chunk_id, chunk_id IN (SELECT chunk_id FROM tb) AS contains_table,
   chunk_id IN (SELECT chunk_id FROM fm) AS contains_formula, chunk_id IN (SELECT chunk_id FROM dl) AS contains_deadline, chunk_id IN (SELECT chunk_id FROM ex) AS contains_example,
-  chunk_id IN (SELECT chunk_id FROM ct) AS contains_contact, chunk_id IN (SELECT chunk_id FROM cl) AS contains_condition_list FROM c"""),
+  chunk_id IN (SELECT chunk_id FROM ct) AS contains_contact, chunk_id IN (SELECT chunk_id FROM cl) AS contains_condition_list,
+  chunk_id IN (SELECT chunk_id FROM dt) AS contains_decision_tree FROM c"""),
     "chunk_vector_metadata": (chunk_vector_metadata, _w("c") + """ SELECT chunk_id, CAST(8 + CASE WHEN terms <> '' THEN 1 ELSE 0 END AS BIGINT) AS key_count,
   coalesce(topic_primary, 'Other') AS topic_primary, coalesce(content_type, 'factual') AS content_type,
   CASE WHEN terms <> '' THEN '["' || replace(terms, ',', '","') || '"]' END AS keywords, CAST(has_outgoing_references AS VARCHAR) AS has_outgoing_references FROM c"""),

@@ -96,6 +96,25 @@ def test_ingest_twice_is_unchanged(spark):
     assert (summary.documents_created, summary.documents_skipped, summary.documents_failed, summary.status) == (2, 2, 1, "completed_with_errors")
 
 
+def test_circles_of_any_length(spark):
+    rnd = random.Random(3)
+    for seed in range(3):
+        pairs = {(rnd.randrange(40), rnd.randrange(40)) for _ in range(30 + 10 * seed)} | {(100 + i, 100 + (i + 1) % 9) for i in range(9)} | {(200, 200), (300, 301), (301, 302)}
+        df = spark.createDataFrame([(i, a, b, "see_also", "optional", None, True) for i, (a, b) in enumerate(sorted(pairs))] + [(999, 302, 300, "see_also", "optional", None, False)], EDGE)
+        reach = {a: {b for x, b in pairs if x == a} for a in {n for p in pairs for n in p}}
+        for _ in range(6):
+            reach = {a: bs | {c for b in bs for c in reach[b]} for a, bs in reach.items()}
+        want = {a: max(b for b in bs if a in reach[b]) for a, bs in reach.items() if a in bs}
+        assert {r.chunk_id: r.circle for r in graph.circle_members(df).collect()} == want
+
+
+def test_seeds_of_a_request_share_the_cap(spark):
+    df = spark.createDataFrame([(i, a, b, "see_also", "required", None, True) for i, (a, b) in enumerate([(1, 2), (1, 10), (1, 11), (2, 12), (3, 13)])], EDGE)
+    seeds = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "request string, chunk_id int")
+    got = {(r.seed, r.chunk_id, r.hop) for r in graph.expand_references(seeds, df, max_total=4, request="request").collect()}
+    assert got == {("x", 1, 0), ("x", 2, 0), ("x", 10, 1), ("x", 11, 1), ("y", 3, 0), ("y", 13, 1)}
+
+
 def test_error_cap(spark):
     rows = [(i, f"https://x/{i}", LONG, "bad" if i % 2 else None) for i in range(20)]
     empty = spark.createDataFrame([], ingest_stream.DOCUMENT_DDL)
