@@ -11,11 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guidemill.llm.common import map_text
+from guidemill.llm.common import map_text, materialize
 
 SHINGLE = 3
 # A-Z lower-cased; ASCII other than letters and digits separates; bytes of other characters stay.
@@ -149,28 +150,32 @@ def _chunks(items: DataFrame, id_col: str, text_col: str, chunk_chars: int) -> l
     return [rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k) for k in range(parts)]
 
 
-def _searcher(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str, width: int, chunk_chars: int):
-    """Function from texts to (words, covered words, items found) of each."""
-    texts = docs.select(F.col(text_col).alias("text"))
-    shared = []
-    for chunk in _chunks(items, item_col, item_text_col, chunk_chars):
-        windows = Windows.build([(r["item"], r["text"]) for r in chunk.toLocalIterator()], width)
-        prefixes = Prefixes.choose(windows, shingle_counts(texts, windows))
-        lengths = sorted({min(SHINGLE, len(w)) for w in windows.words})
-        shared.append(docs.sparkSession.sparkContext.broadcast((windows, prefixes, lengths)))
+def _tables(texts: DataFrame, chunk: DataFrame, width: int):
+    """Broadcast of one chunk's windows, prefixes and shingle lengths."""
+    windows = Windows.build([(r["item"], r["text"]) for r in chunk.toLocalIterator()], width)
+    prefixes = Prefixes.choose(windows, shingle_counts(texts, windows))
+    lengths = sorted({min(SHINGLE, len(w)) for w in windows.words})
+    return texts.sparkSession.sparkContext.broadcast((windows, prefixes, lengths))
+
+
+def _search(rows: DataFrame, shared) -> DataFrame:
+    """Replace ``text`` by n_words, covered (bits, null if none) and items."""
+    def run(texts):
+        sizes, covered, items = [], [], []
+        for text in texts:
+            words = words_of(text)
+            mask, found = find_hits(words, *shared.value)
+            sizes.append(len(words))
+            covered.append(np.packbits(mask).tobytes() if found else None)
+            items.append(found)
+        return [pa.array(sizes, pa.int64()), pa.array(covered, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+
+    return map_text(rows, "text", "n_words long, covered binary, items array<string>", run)
 
-    def search(found: list[str]) -> tuple[list[int], list[int], list[list[str]]]:
-        words = [words_of(t) for t in found]
-        covered = [np.zeros(len(w), bool) for w in words]
-        hits: list[set[str]] = [set() for _ in words]
-        for part in shared:
-            for i, w in enumerate(words):
-                mask, own = find_hits(w, *part.value)
-                covered[i] |= mask
-                hits[i].update(own)
-        return [len(w) for w in words], [int(c.sum()) for c in covered], [sorted(h) for h in hits]
 
-    return search
+def _bits(covered: pd.Series) -> pd.Series:
+    """Words covered by any of several bit strings of one document."""
+    return covered.map(lambda masks: sum(map(int.bit_count, np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in masks]).tolist())) if masks is not None and len(masks) else 0)
 
 
 def mark_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -178,27 +183,51 @@ def mark_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     """(id, n_words, n_hit, items): hit words and the item ids found, as sorted strings; one row per input row.
 
     A null or empty text has no words and no hits; an item without words or with a null id has no windows.
-    The windows are broadcast: ``chunk_chars`` characters of items bound one broadcast, and more items take more chunks,
-    each counted in a pass of its own and searched batch by batch.
+    The windows are broadcast: ``chunk_chars`` characters of items bound one broadcast.  More items take more chunks, one
+    after the other with passes of their own, and what they found is joined by document without moving texts.
     """
-    search = _searcher(docs, items, text_col, item_col, item_text_col, width, chunk_chars)
-
-    def run(texts):
-        sizes, covered, found = search(texts)
-        return [pa.array(sizes, pa.int64()), pa.array(covered, pa.int64()), pa.array(found, pa.list_(pa.string()))]
-
-    return map_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "n_words long, n_hit long, items array<string>", run)
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    count = F.pandas_udf(_bits, "long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    chunks = _chunks(items, item_col, item_text_col, chunk_chars)
+    if len(chunks) == 1:
+        return _search(rows, _tables(rows.select("text"), chunks[0], width)).select(
+            "id", "n_words", count(F.array_compact(F.array("covered"))).alias("n_hit"), "items")
+    rows = rows.withColumn("key", _row_key("id", "text"))
+    hits = None
+    for chunk in chunks:
+        shared = _tables(rows.select("text"), chunk, width)
+        found = materialize(_search(rows, shared), "contamination")
+        shared.destroy()
+        sizes = found.select("id", "key", "n_words")
+        part = found.where(F.size("items") > 0).select("key", "covered", "items").distinct()
+        hits = part if hits is None else hits.unionByName(part)
+    both = hits.groupBy("key").agg(F.collect_list("covered").alias("covered"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return sizes.join(both, "key", "left").select("id", "n_words", count("covered").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _row_key(id_col: str, text_col: str):
+    """Equal for rows with equal id and text, nulls included."""
+    return F.sha2(F.to_json(F.struct(F.col(id_col).alias("i"), F.col(text_col).alias("t"))), 256)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                       width: int = 13, chunk_chars: int = 4_000_000) -> DataFrame:
     """The documents, with all their columns, of which less than a twentieth of the words is hit."""
-    search = _searcher(docs, items, text_col, item_col, item_text_col, width, chunk_chars)
+    chunks = _chunks(items, item_col, item_text_col, chunk_chars)
+    if len(chunks) > 1:
+        keyed = docs.select(_row_key(id_col, text_col).alias("__key"), F.col(text_col).alias("text"))
+        marked = mark_contamination(keyed, items, "__key", "text", item_col, item_text_col, width, chunk_chars)
+        gone = marked.where(is_contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("id").alias("__key")).distinct()
+        return docs.withColumn("__key", _row_key(id_col, text_col)).join(gone, "__key", "left_anti").select(*docs.columns)
+    shared = _tables(docs.select(F.col(text_col).alias("text")), chunks[0], width)
 
     def run(batches):
         for batch in batches:
-            sizes, covered, _ = search([t or "" for t in batch.column(text_col).to_pylist()])
-            yield batch.filter(pa.array([not is_contaminated(n, h) for n, h in zip(sizes, covered)], pa.bool_()))
+            keep = []
+            for text in batch.column(text_col).to_pylist():
+                words = words_of(text)
+                keep.append(not is_contaminated(len(words), int(find_hits(words, *shared.value)[0].sum())))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

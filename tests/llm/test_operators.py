@@ -383,3 +383,6 @@ def test_contamination(spark, folder, base_docs, tmp_path):
 
     chunked = contamination.mark_contamination(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"), chunk_chars=2000)
     assert {tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "n_items")) for r in rows_of(contamination.digest_columns(chunked))} == {w[:4] for w in want}
+    docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    one, many = (sorted(str(r) for r in contamination.drop_contaminated(docs, bench, **o).collect()) for o in ({}, {"chunk_chars": 2000}))
+    assert one == many and len(one) < docs.count()
