@@ -9,11 +9,12 @@ best(p) + p over the last ``window`` tokens comes from a monotone queue; powers
 
 from __future__ import annotations
 
-import zlib
+import base64
 from collections import deque
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 import tokenizers
 from pyspark.sql import DataFrame
@@ -32,8 +33,6 @@ class Tokens:
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str, pattern: str):
-        import base64
-
         self.slow = tokenizers.Tokenizer.from_file(tokenizer_path)
         self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
         with open(ranks_path, "rb") as lines:
@@ -149,8 +148,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
         if held:
             yield flush(part)
 
-    import pyarrow as pa
-
     names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
