@@ -99,8 +99,3 @@ def condition_lists(text: Column) -> Column:
 
 def condition_list_rows(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     return explode_rows(df, condition_lists(F.col(text)), key, pos="item_no")
-
-
-def condition_rows(lists: DataFrame, key: list[str]) -> DataFrame:
-    """One row per item of each list."""
-    return explode_rows(lists, F.col("conditions"), [*key, "condition_name", "logical_operator"], pos="condition_no")

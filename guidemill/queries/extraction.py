@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
 from guidemill.functions import values
-from guidemill.functions.matching import BLANKS, explode_rows, rx, with_context
-from guidemill.operators import conditions, contacts, deadlines, examples, formulas, metadata, references, tables
-from guidemill.queries.base import GUIDANCE_CTE, around_sql, guidance, pages, spans_sql, sql_pattern
+from guidemill.functions.matching import explode_rows, rx, with_context
+from guidemill.operators import conditions, contacts, deadlines, examples, formulas, metadata, references
+from guidemill.queries.base import GUIDANCE_CTE, around_sql, guidance, spans_sql, sql_pattern
 
 
 def _all(p: str, g: int = 1, flags: str = "", text: str = "text") -> str:

@@ -55,8 +55,8 @@ def _stored_documents(spark, path):
 _ALL = ingest.IngestSettings(max_errors=None)
 
 
-def _processed(spark, path, settings=_ALL):
-    return ingest.process(_incoming(spark, path), _stored(spark, path), settings)
+def _processed(spark, path, settings=_ALL, materialize=False):
+    return ingest.process(_incoming(spark, path), _stored(spark, path), settings, materialize)
 
 
 def classify_documents(spark, path):
@@ -79,6 +79,25 @@ def ingest_outcomes(spark, path):
         "url", "reason", "action", "success", F.col("chunks_created").cast("bigint").alias("chunks_created"), "error")
 
 
+def change_decisions_force(spark, path):
+    return ingest.decide(_incoming(spark, path), _stored(spark, path), ingest.FORCE_UPDATE).select("url", "reason")
+
+
+def ingest_two_pass(spark, path):
+    """Decisions from url and hash alone, then only the pages to process."""
+    decisions, done = ingest.process_changed(_incoming(spark, path), _stored(spark, path), _ALL)
+    return ingest.outcomes_of_decisions(decisions, done).select(
+        "url", "reason", "action", "success", F.col("chunks_created").cast("bigint").alias("chunks_created"), "error")
+
+
+def ingest_duplicate_urls(spark, path):
+    """Every tenth page comes a second time with an older position: the later row counts."""
+    new = _incoming(spark, path)
+    older = new.where("input_idx % 10 = 0").withColumns({"input_idx": F.col("input_idx") - 1000000000, "full_text": F.concat(F.lit("Earlier text. "), "full_text")})
+    done = ingest.process(older.unionByName(new), _stored(spark, path), _ALL)
+    return ingest.outcomes(done).select("url", "action", F.col("chunks_created").cast("bigint").alias("chunks_created"), "error")
+
+
 def ingest_run_summary(spark, path):
     return ingest.run_summary(ingest.outcomes(_processed(spark, path)))
 
@@ -102,7 +121,7 @@ def next_documents(spark, path):
 def next_chunks(spark, path):
     old = _stored_documents(spark, path).select("document_id", F.col("url").alias("source_url"), F.lit("old").alias("content"),
                                                 F.lit(0).alias("chunk_index"))
-    c = ingest.next_chunks(old, _processed(spark, path))
+    c = ingest.next_chunks(old, _processed(spark, path, materialize=True))  # ids and rows come from one result
     return c.select("source_url", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.md5("content").alias("content_md5"),
                     "source_authority", F.col("reliability_tier").cast("bigint").alias("tier"))
 
@@ -236,6 +255,11 @@ QUERIES = {
     "classify_documents": (classify_documents, f"SELECT url, {_AUTH} AS authority, {_KIND} AS document_kind, CASE {_AUTH} WHEN 'HMRC_MANUAL' THEN 1::BIGINT ELSE 2::BIGINT END AS tier, sha256(full_text) AS content_hash FROM (SELECT {', '.join(_INCOMING)} FROM documents)"),
     "change_decisions": (change_decisions, f"WITH {_IN} SELECT url, reason, content_hash FROM dec"),
     "change_decisions_skip_existing": (change_decisions_skip_existing, f"WITH {_IN} SELECT url, CASE WHEN stored THEN 'skip_existing' ELSE 'new' END AS reason FROM dec"),
+    "change_decisions_force": (change_decisions_force, f"WITH {_IN} SELECT url, CASE WHEN stored THEN 'force_update' ELSE 'new' END AS reason FROM dec"),
+    "ingest_two_pass": (ingest_two_pass, f"{_OUT} SELECT url, reason, action, error IS NULL AS success, chunks_created, error FROM outc"),
+    "ingest_duplicate_urls": (ingest_duplicate_urls, f"""{_OUT} SELECT url, action, chunks_created, error FROM outc UNION ALL
+SELECT outc.url, 'failed', 0, 'Superseded by a later row of the same url' FROM outc JOIN documents ON doc_id % 10 = 0 AND outc.url LIKE '%/' || doc_id WHERE outc.error = 'not found'
+UNION ALL SELECT outc.url, 'skipped', 0, 'Superseded by a later row of the same url' FROM outc JOIN documents ON doc_id % 10 = 0 AND outc.url LIKE '%/' || doc_id WHERE outc.error IS DISTINCT FROM 'not found'"""),
     "ingest_outcomes": (ingest_outcomes, f"{_OUT} SELECT url, reason, action, error IS NULL AS success, chunks_created, error FROM outc"),
     "ingest_run_summary": (ingest_run_summary, f"{_OUT} SELECT {_SUMMARY} FROM outc"),
     "ingest_with_error_cap": (ingest_with_error_cap, f"""{_OUT} SELECT {_SUMMARY} FROM outc WHERE input_idx <= coalesce(
