@@ -231,18 +231,21 @@ def bucket(column: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
-def replace_chunks(path: str, processed: DataFrame, buckets: int = 1024) -> None:
+def replace_chunks(path: str, processed: DataFrame, buckets: int = 1024, files: int = 8) -> None:
     """Replace changed documents' chunks in a table partitioned by document bucket.
 
-    Only buckets that hold a changed document are read and rewritten; the rest of the table stays.
+    Only buckets that hold a changed document are read and rewritten; the rest of the table stays.  A bucket is
+    written by up to ``files`` tasks.  The new rows are held in the checkpoint folder before the first one is
+    replaced, so a write that fails half-way can be repeated.
     """
     spark = processed.sparkSession
-    fresh = new_chunks(processed).withColumn("bucket", bucket("document_id", buckets))
-    touched = changed(processed).select(bucket("document_id", buckets).alias("bucket")).distinct()
-    stored = spark.read.schema(fresh.schema).parquet(path)
-    kept = stored.join(touched, "bucket", "left_semi").join(changed(processed).select("document_id"), "document_id", "left_anti")
-    kept.unionByName(fresh).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("bucket").parquet(path)
+    ensure_checkpoint_dir(spark)
+    fresh = new_chunks(processed).withColumn("bucket", bucket("document_id", buckets)).checkpoint()
+    ids = fresh.select("document_id", "bucket").distinct()
+    stored = spark.read.schema(fresh.schema).parquet(path).join(ids.select("bucket").distinct(), "bucket", "left_semi")
+    rows = stored.join(ids.select("document_id"), "document_id", "left_anti").unionByName(fresh).checkpoint()
+    rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(files))).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def run_summary(outcome: DataFrame, url_count: Column | None = None) -> DataFrame:

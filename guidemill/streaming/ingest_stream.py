@@ -1,8 +1,9 @@
 """Run mode: ingest payload files as they arrive.
 
-A file source stream hands each micro-batch to the batch ingest; the stored state is a pair of
-snapshot folders, and a batch writes the next version before it becomes current.  A batch that is
-replayed after a failure writes the same version again, so the result does not change.
+A file source stream hands each micro-batch to the batch ingest.  Each batch writes one version: the documents
+snapshot (one slim row a document), its outcomes, and only the chunks of documents that changed.  A document's
+current chunks are those of its latest version, so texts are written once and no batch overwrites what it
+reads.  A batch that is replayed after a failure writes the same version again, so the result does not change.
 """
 
 from __future__ import annotations
@@ -46,19 +47,31 @@ DOCUMENT_DDL = (
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, state: str, settings: ingest.IngestSettings = ingest.IngestSettings()) -> None:
-    """One micro-batch: payloads to the next documents, chunks and outcomes snapshots."""
+    """One micro-batch: payloads to the next documents snapshot, the chunks that changed and the outcomes."""
     spark = batch.sparkSession
     pages = ingest.pages_from_sources(source_rows(batch.withColumnRenamed("value", "raw"), "raw"))
     pages = latest_per_url(pages).withColumn("input_idx", F.monotonically_increasing_id())
     stored = read_state(spark, f"{state}/documents", batch_id, DOCUMENT_DDL)
     done = ingest.process(pages, stored, settings, materialize=True)
     ingest.next_documents(stored, done, F.current_timestamp()).write.mode("overwrite").parquet(_version(f"{state}/documents", batch_id))
-    fresh = ingest.new_chunks(done)
-    chunks = read_state(spark, f"{state}/chunks", batch_id, fresh.schema)
-    ingest.next_chunks(chunks, done).write.mode("overwrite").parquet(_version(f"{state}/chunks", batch_id))
+    ingest.new_chunks(done).write.mode("overwrite").parquet(_version(f"{state}/chunks", batch_id))
     ingest.outcomes(done).write.mode("overwrite").parquet(_version(f"{state}/outcomes", batch_id))
 
 
+def current_chunks(spark: SparkSession, state: str, batch_id: int | None = None) -> DataFrame:
+    """Chunks as of a batch (default: the last one): per document those of its latest version."""
+    chunks = spark.read.parquet(f"{state}/chunks")
+    if batch_id is not None:
+        chunks = chunks.where(F.col("version") <= batch_id)
+    latest = chunks.groupBy("document_id").agg(F.max("version").alias("version"))
+    return chunks.join(latest, ["document_id", "version"], "left_semi")
+
+
+def compact_chunks(spark: SparkSession, state: str, target: str) -> None:
+    """Write the current chunks as a table of their own, for readers that do not want to look at versions."""
+    current_chunks(spark, state).drop("version").write.mode("overwrite").parquet(target)
+
+
 def start(spark: SparkSession, source: str, state: str, checkpoint: str, files_per_batch: int = 1000,
           settings: ingest.IngestSettings = ingest.IngestSettings()):
     """Start the stream over a folder of json-line payload files and stop when all present files are read."""
