@@ -56,9 +56,12 @@ def map_text(df: DataFrame, text_col: str, added: str, fn: Callable[[list[str]],
 
 
 def bounded_sample(df: DataFrame, id_col: str, bound: int) -> DataFrame:
-    """About ``bound`` rows chosen by a hash of the id (all rows if there are no more)."""
+    """About ``bound`` rows chosen by a hash of the id (all rows if there are no more).
+
+    The share is taken in steps of 2^-40, so that the sample does not run empty on very large tables.
+    """
     share = min(1.0, bound / max(1, df.count()))
-    return df if share >= 1 else df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return df if share >= 1 else df.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
 def sorted_groups(batches: Iterator, keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:

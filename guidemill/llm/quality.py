@@ -121,7 +121,7 @@ def fit_quality(rows: DataFrame, sample_rows: int = 100_000, waves: int = 256, r
     Learns from at most about ``sample_rows`` labelled rows chosen by a hash of their id; a fifth of them, by another
     hash, only calibrates.  Without any labelled row every text scores 0.5; with one class, that class.
     """
-    kept = bounded_sample(rows.where("id IS NOT NULL AND stats IS NOT NULL AND label IS NOT NULL"), "id", sample_rows).coalesce(16)
+    kept = bounded_sample(rows.where("id IS NOT NULL AND stats IS NOT NULL AND label IS NOT NULL"), "id", sample_rows).repartition(16, "id")  # bounded, so few rows move
     kept = materialize(kept.select("stats", F.col("label").cast("double").alias("label"), (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0).alias("hold")), "labelled")
 
     def moments(batches):
@@ -179,15 +179,21 @@ def score_statistics(rows: DataFrame, model: QualityModel) -> DataFrame:
     return rows.mapInArrow(run, rows.drop("stats").withColumn("score", F.lit(0.0)).schema)
 
 
-def train_and_score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DataFrame:
+def _sampled_labels(labels: DataFrame, learn: Column, id_col: str, label_col: str, sample_rows: int) -> DataFrame:
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(learn & F.col("id").isNotNull() & F.col("label").isNotNull())
+    return bounded_sample(known, "id", sample_rows)
+
+
+def train_and_score(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+                    sample_rows: int = 100_000, **options) -> DataFrame:
     """(id, learn, score) for every row of the documents, empty and null texts included.
 
-    ``learn`` (over ``id``) says which labels may be used; the text is read once.  Several labels of one id all count;
-    repeated documents are scored each.
+    ``learn`` (over ``id``) says which labels may be used, at most about ``sample_rows`` of them; the text is read once.  Several
+    labels of one id all count; repeated documents are scored each.
     """
     stats = materialize(with_statistics(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "statistics")
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(learn)
-    model = fit_quality(stats.join(known, "id"), **options)
+    known = _sampled_labels(labels, learn, id_col, label_col, sample_rows)
+    model = fit_quality(stats.join(F.broadcast(known), "id"), sample_rows, **options)  # bounded by sample_rows
     return score_statistics(stats, model)
 
 
@@ -198,8 +204,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     The model is fitted on a bounded sample of labels, whose texts alone are read for it; scoring is one narrow pass.
     Without labels nothing is known to be bad and all documents stay.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(learn & F.col("id").isNotNull() & F.col("label").isNotNull())
-    known = bounded_sample(known, "id", sample_rows)
+    known = _sampled_labels(labels, learn, id_col, label_col, sample_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # bounded by sample_rows
     model = fit_quality(materialize(with_statistics(texts), "statistics"), sample_rows, **options)
 

@@ -104,12 +104,15 @@ def evidence(text: str, mined: dict[str, int]) -> list[float]:
     return hits + [float(len(tokens))]
 
 
-def mine_stems(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, support: int = 5, lift: float = 10.0, most: int = 64, candidates: int = 20_000) -> dict[str, int]:
+def mine_stems(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, support: int = 5, lift: float = 10.0, most: int = 64, candidates: int = 20_000,
+               cover_rows: int = 5_000) -> dict[str, int]:
     """Word stems that mark labelled toxic texts, each with the number of its voter.
 
     ``known`` is a bounded sample of (id, label).  A candidate occurs in ``support`` toxic texts or more and in toxic
     texts ``lift`` times as often as in others.  A greedy cover then takes the stem that explains most texts not yet
     explained, so that the words of one much-copied text do not crowd in; stems that explain fewer than ``support`` end it.
+    The cover is bounded by parameters: the ``candidates`` stems of most toxic texts, ``cover_rows`` toxic texts chosen by a
+    hash of their id, and ``most`` stems found.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # bounded sample
 
@@ -126,7 +129,7 @@ def mine_stems(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, su
     chosen = counts.where((F.col("t") >= support) & (F.col("t") / toxic >= lift * (F.col("c") + 0.5) / max(1, clean)))
     listed = F.broadcast(chosen.orderBy(F.desc("t"), "stem").limit(candidates).select("stem"))
     toxic_docs = held.where("label = 1").select("id", F.explode("stems").alias("stem")).join(listed, "stem").groupBy("id").agg(F.collect_set("stem").alias("stems"))
-    sets = [r["stems"] for r in toxic_docs.orderBy(F.xxhash64("id")).limit(5000).collect()]
+    sets = [r["stems"] for r in toxic_docs.orderBy(F.xxhash64("id")).limit(cover_rows).collect()]
     where: dict[str, set[int]] = {}
     for i, own in enumerate(sets):
         for stem in own:
@@ -244,7 +247,7 @@ def fit_linear(rows: DataFrame, label_model: LabelModel, newton_steps: int = 8,
         yield pa.RecordBatch.from_arrays([pa.array([gram.ravel().tolist()]), pa.array([right.tolist()])], names=["gram", "target"])
 
     for _ in range(newton_steps):
-        sums = rows.select("hits").coalesce(16).mapInArrow(step, "gram array<double>, target array<double>").collect()
+        sums = rows.select("hits").mapInArrow(step, "gram array<double>, target array<double>").collect()
         gram = sum(np.array(r["gram"]).reshape(width, width) for r in sums) + ridge * np.eye(width)
         change = np.linalg.solve(gram, sum(np.array(r["target"]) for r in sums) - ridge * model.weights)
         model = LinearModel(model.weights + change)
@@ -283,7 +286,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
             rate = ones[cast].sum() / n[cast].sum() if n[cast].sum() >= 20 else None
             if rate is not None and ((rate <= 2 * base) if j < width - 1 else (rate >= base)):
                 model.weights[j] = 0.0
-    linear = fit_linear(materialize(bounded_sample(rows.where("id IS NOT NULL"), "id", sample_rows), "sample"), model)
+    linear = fit_linear(materialize(bounded_sample(rows.where("id IS NOT NULL"), "id", sample_rows).repartition(16, "id"), "sample"), model)
 
     def run(batches):
         for batch in batches:
