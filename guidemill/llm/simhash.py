@@ -29,19 +29,21 @@ def covering_masks(radius: int) -> list[int]:
     return [sum(1 << p for p in range(BITS) if (vectors[p] & v).bit_count() % 2) for v in range(1, count + 1)]
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """SimHash of the word shingles of one text; no words: zero."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the word shingles of one text in order; a shorter text is one shingle, no words give none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # on bytes: A-Z, and the six ASCII spaces
-    if not words:
-        return 0
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
-    joined = b" ".join(words)
+        return np.array([digest(joined, 42)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1:].tolist())
-    hashes = np.array([digest(joined[i:j], 42) for i, j in spans], np.uint64)
+    return np.array([digest(joined[i:j], 42) for i, j in spans], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """SimHash of the word shingles of one text; no words: zero."""
+    hashes = shingle_hashes(text, width)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at: at + (1 << 16)]
