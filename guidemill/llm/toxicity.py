@@ -40,10 +40,10 @@ SPELLED = str.maketrans("0134578@$", "oieastbas")  # digits and signs that stand
 LETTERS = re.compile(r"[^\W\d_]+")
 SHOUT_SHARE, EXCLAIM_SHARE = 0.5, 0.01
 MINED = 8  # voters that share the stems learned from labels
+RATE = 0.004  # hits per word from which a stem is mined from a labelled text, so that length alone mines none
 STEMS = (4, 5, 6, 7, 8, 64)  # lengths of word beginnings looked at; the last is a whole word
-RATE = 0.004  # hits per word from which a word voter speaks, so that length alone gives no vote
+WINDOW = 250  # words; hits count as many as any run of so many words holds, so that length neither makes nor hides evidence
 VOTERS = [*LEXICONS, *(f"mined_{k}" for k in range(MINED)), *PHRASES, "disguised", "shouting", "exclaiming", "several", "no_word"]
-WORD_VOTERS = len(LEXICONS) + MINED
 _WORDS = {w: i for i, ws in enumerate(LEXICONS.values()) for w in ws.split()}
 
 
@@ -64,9 +64,20 @@ def stems_of(low: str) -> list[str]:
     return sorted(s for s, n in counts.items() if n >= least)
 
 
+def densest(places: list[int]) -> int:
+    """Most of the ascending word positions that any ``WINDOW`` words in a row hold."""
+    most = first = 0
+    for last, place in enumerate(places):
+        while place - places[first] >= WINDOW:
+            first += 1
+        most = max(most, last - first + 1)
+    return most
+
+
 def evidence(text: str, mined: dict[str, int]) -> list[float]:
-    """Hits per voter and, last, the number of words.  ``no_word`` is 1 where no listed or mined word occurs.
+    """Hits per voter and, last, the number of words, ``WINDOW`` at most.  ``no_word`` is 1 where no listed or mined word occurs.
 
+    Hits of word voters, and those of ``several``, are those of the densest ``WINDOW`` words.
     ``mined`` maps stems to the number of a mined voter.
     """
     low = text.lower()
@@ -84,13 +95,15 @@ def evidence(text: str, mined: dict[str, int]) -> list[float]:
             seen[token] = place
     tokens = low.split()
     hits = [0.0] * len(VOTERS)
-    disguised = 0
+    found: dict[int, list[int]] = {}
     if seen:
-        for token in tokens:
-            place = seen.get(token)
-            if place is not None:
-                disguised += place < 0
-                hits[place] += place >= 0
+        for k, token in enumerate(tokens):
+            if token in seen:
+                found.setdefault(seen[token], []).append(k)
+    disguised = len(found.get(-1, ()))
+    for place, positions in found.items():
+        if place >= 0:
+            hits[place] = float(densest(positions))
     at = len(LEXICONS) + MINED
     for k, pattern in enumerate(PHRASES.values()):
         if seen or k:
@@ -99,9 +112,9 @@ def evidence(text: str, mined: dict[str, int]) -> list[float]:
     if seen:
         hits[at + 3] = float(sum(1 for t in text.split() if len(t) > 2 and t.isupper()) > SHOUT_SHARE * len(tokens))
         hits[at + 4] = float(text.count("!") > EXCLAIM_SHARE * len(text))
-    hits[at + 5] = float(sum(hits[:at]) + disguised >= max(2, 2 * RATE * len(tokens)))
+    hits[at + 5] = float(densest(sorted(k for positions in found.values() for k in positions)) >= 2)
     hits[at + 6] = float(not seen)
-    return hits + [float(len(tokens))]
+    return hits + [float(min(len(tokens), WINDOW))]
 
 
 def mine_stems(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, support: int = 5, lift: float = 10.0, most: int = 64, candidates: int = 20_000,
@@ -164,10 +177,8 @@ def votes(hits: np.ndarray) -> np.ndarray:
 
 
 def _spoken(hits: np.ndarray) -> np.ndarray:
-    """Voters that vote: a word voter needs its rate of hits."""
-    own = hits[:, : len(VOTERS)] > 0
-    own[:, :WORD_VOTERS] &= hits[:, :WORD_VOTERS] >= RATE * hits[:, -1:]
-    return own
+    """Voters that vote: those with a hit."""
+    return hits[:, : len(VOTERS)] > 0
 
 
 @dataclass
@@ -270,8 +281,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: st
     mined = mine_stems(docs, bounded_sample(known, "id", sample_rows), id_col, text_col)
     rows = materialize(with_evidence(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), mined), "evidence")
     width = len(VOTERS)
-    spoken = lambda j: (F.col("hits")[j] > 0) & (F.lit(j >= WORD_VOTERS) | (F.col("hits")[j] >= RATE * F.col("hits")[width]))
-    vote = F.concat(*[F.when(spoken(j), "1").otherwise("0") for j in range(width)])
+    vote = F.concat(*[F.when(F.col("hits")[j] > 0, "1").otherwise("0") for j in range(width)])
     patterns = rows.groupBy(vote.alias("combo")).agg(F.count(F.lit(1)).alias("n")).orderBy("combo").collect()
     checked = rows.join(known, "id").groupBy(vote.alias("combo")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("ones")).orderBy("combo").collect()
     decode = lambda found: np.array([[int(c) for c in r["combo"]] for r in found], np.int8).reshape(-1, width) * np.array([1] * (width - 1) + [-1], np.int8)
