@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guidemill.llm import contamination, language, packing, quality, repeats, secrets, simhash, toxicity, url_rules, vectors
+from guidemill.llm import bpe, contamination, language, packing, prefixes, quality, ranked, repeats, secrets, simhash, toxicity, url_rules, vectors
 from guidemill.llm.common import held_out
 from guidemill.sources.tables import read_table
 
@@ -77,6 +77,22 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.digest_columns(contamination.mark_contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")))
 
 
+def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search_documents(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+def conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns, ids = prefixes.share_openings(prefixes.number_turns(read_table(spark, folder, "conversations")))
+    return prefixes.ends_digest(*prefixes.prefix_trie(prefixes.sequences(turns, ids, ["section", "pos"])))
+
+
+def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    path = vocabulary_files()[0]
+    encoded = bpe.encode_documents(read_table(spark, folder, "documents").select("doc_id", "text"), path)
+    packed = encoded.select("doc_id", "ids", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+    return bpe.decode_documents(packed, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,9 +101,10 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, tuple]:
     """Name to (query, SQL or None)."""
-    from guidemill.llm.sql import DECONTAMINATION, SUBSTRING_DEDUP, URL_FILTER
+    from guidemill.llm.sql import DECONTAMINATION, PREFIX_TRIE, RANKED_SEARCH, SUBSTRING_DEDUP, URL_FILTER
 
     return {
         "op1_secret_scan": (secret_scan, None), "op2_packing": (packing_, None), "op3_url_filter": (url_filter, URL_FILTER), "op4_simhash": (simhash_groups, None),
         "op5_language": (language_id, None), "op6_near_vectors": (near_vectors, None), "op7_quality": (quality_scores, None), "op8_toxicity": (toxicity_scores, None),
-        "op9_substring_dedup": (substring_dedup, SUBSTRING_DEDUP), "op10_decontamination": (decontamination, DECONTAMINATION), "pipeline": (pipeline, None)}
+        "op9_substring_dedup": (substring_dedup, SUBSTRING_DEDUP), "op10_decontamination": (decontamination, DECONTAMINATION),
+        "op11_ranked_search": (ranked_search, RANKED_SEARCH), "op12_conversation_trie": (conversation_trie, PREFIX_TRIE), "op13_bpe": (bpe_round_trip, None), "pipeline": (pipeline, None)}

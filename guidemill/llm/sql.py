@@ -53,3 +53,58 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
        sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.ws) AS contaminated
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN names ON d.doc_id = names.doc_id
 """.replace(" {short}", "")
+
+PREFIX_TRIE = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+tab AS (
+  SELECT list(v ORDER BY k) AS tab FROM (
+    SELECT k, list_reduce(list_prepend(k, range(8)), lambda v, s: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END) AS v FROM (SELECT unnest(range(256)) AS k))),
+ids AS (
+  SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+                            lambda crc, b: xor(crc // 256, tab[xor(crc, b) % 256 + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t), tab),
+rebuilt AS (
+  SELECT ids.c, 0 AS section, t.pos, r, x FROM ids JOIN t ON t.c = ids.c - ids.c % 20 AND t.pos <= ids.h
+  UNION ALL
+  SELECT ids.c, 1, t.pos, r, x FROM ids JOIN t ON t.c = ids.c AND t.pos > ids.h),
+p AS (
+  SELECT c, row_number() OVER w AS d, md5(string_agg(length(r) || ':' || length(x) || ':' || r || x, '') OVER w) AS prefix,
+         CAST(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words
+  FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY section, pos)
+  UNION ALL
+  SELECT c, 0, '', 0 FROM ids),
+q AS (SELECT *, lag(prefix) OVER (PARTITION BY c ORDER BY d) AS above, max(d) OVER (PARTITION BY c) AS size FROM p),
+nodes AS (
+  SELECT d, prefix, any_value(above) AS above, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = size), '')) AS ends_sha256
+  FROM q GROUP BY d, prefix),
+kids AS (SELECT d - 1 AS d, above AS prefix, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY d, above),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids ON nodes.d = kids.d AND nodes.prefix = kids.prefix),
+sums AS (
+  SELECT a.d, a.prefix, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.words) AS saved_tokens
+  FROM full_nodes v JOIN p a ON a.c = v.conv_id AND a.d <= v.d GROUP BY a.d, a.prefix)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums s ON n.d = s.d AND n.prefix = s.prefix LEFT JOIN nodes u ON u.d = n.d - 1 AND u.prefix = n.above
+"""
+
+RANKED_SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (
+  SELECT row_number() OVER () AS q, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+totals AS (SELECT count(*) FILTER (WHERE len(ws) > 0) AS n, CAST(sum(len(ws)) AS BIGINT) AS l FROM d),
+tf AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(ws) AS term FROM d) GROUP BY k, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, totals GROUP BY term),
+m AS (SELECT k, doc_id, 75 + (25 * len(ws) * n) // l AS m FROM d, totals WHERE len(ws) > 0),
+asked AS (SELECT q, term, count(*) AS qtf FROM (SELECT q, unnest(ws) AS term FROM i) GROUP BY q, term),
+scores AS (
+  SELECT q, k, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN m USING (k) GROUP BY q, k, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN i USING (q) WHERE rank <= 20
+"""
