@@ -14,12 +14,14 @@ import codecs
 import functools
 import heapq
 import json
+import re
 import struct
 import unicodedata
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tokenizers
@@ -30,7 +32,8 @@ from guidemill.llm.common import map_text
 CHUNK = 1 << 16  # characters read at a time
 LONG = 4096  # characters of an unfinished word from which on it is streamed through the window
 BLOCK = 1024  # bytes a window takes beyond the lookahead
-CACHE = 200_000  # words remembered per worker; the cache starts anew beyond it
+SHORT = 64  # bytes of a word up to which ranks are kept in a plain list
+CACHE = 500_000  # words, and stretches, remembered per worker; a cache starts anew beyond it
 
 
 def byte_letters() -> dict[str, int]:
@@ -62,34 +65,52 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 
 @dataclass(frozen=True)
 class Merges:
-    """A vocabulary file: single bytes, rules by pair of ids as (rank, id of the result), bytes of each id, special strings."""
+    """A vocabulary file: ids of single bytes, rank of each pair of ids, id made by the rule of a rank, bytes of each id, special strings."""
 
     of_byte: list[int]
-    rules: dict[tuple[int, int], tuple[int, int]]
+    rank: dict[tuple[int, int], int]
+    made: list[int]
     token: dict[int, bytes]
     special: dict[str, int]
     lookahead: int
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one word or window: always the rule of the lowest rank, the leftmost place first."""
-        rules, size = self.rules, len(data)
-        ids: list[int | None] = [self.of_byte[b] for b in data]
+        ids = [self.of_byte[b] for b in data]
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
+        find, none = self.rank.get, len(self.made)
+        ranks = [find(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks and (low := min(ranks)) < none:
+            k = ranks.index(low)
+            ids[k: k + 2] = [self.made[low]]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = find((ids[k - 1], ids[k]), none)
+            if k < len(ranks):
+                ranks[k] = find((ids[k], ids[k + 1]), none)
+        return ids
+
+    def _merge_long(self, ids: list[int | None]) -> list[int]:
+        """The same with a heap of places, for windows."""
+        rank, size = self.rank, len(ids)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        heap = [(*rules[pair], k, pair) for k in range(size - 1) if (pair := (ids[k], ids[k + 1])) in rules]
+        heap = [(rank[pair], k, pair) for k in range(size - 1) if (pair := (ids[k], ids[k + 1])) in rank]
         heapq.heapify(heap)
         while heap:
-            _, made, k, pair = heapq.heappop(heap)
+            low, k, pair = heapq.heappop(heap)
             follower = after[k]
             if ids[k] != pair[0] or follower >= size or ids[follower] != pair[1]:
                 continue
+            made = self.made[low]
             ids[k], ids[follower] = made, None
             nearest = after[k] = after[follower]
             if nearest < size:
                 before[nearest] = k
-                if (new := (made, ids[nearest])) in rules:
-                    heapq.heappush(heap, (*rules[new], k, new))
-            if (previous := before[k]) >= 0 and (new := (ids[previous], made)) in rules:
-                heapq.heappush(heap, (*rules[new], previous, new))
+                if (new := (made, ids[nearest])) in rank:
+                    heapq.heappush(heap, (rank[new], k, new))
+            if (previous := before[k]) >= 0 and (new := (ids[previous], made)) in rank:
+                heapq.heappush(heap, (rank[new], previous, new))
         return [i for i in ids if i is not None]
 
 
@@ -114,7 +135,7 @@ def load_merges(path: str) -> Merges:
             raise ValueError("the merge list uses a token before it is made, or makes it twice")
         known.add(left + right)
     special = {t["content"]: t["id"] for t in parts["added_tokens"]}
-    return Merges([of[bytes([b])] for b in range(256)], {(of[a], of[b]): (rank, of[a + b]) for rank, (a, b) in enumerate(pairs)},
+    return Merges([of[bytes([b])] for b in range(256)], {(of[a], of[b]): rank for rank, (a, b) in enumerate(pairs)}, [of[a + b] for a, b in pairs],
                   {i: t for t, i in of.items()} | {i: t.encode() for t, i in special.items()}, special, sufficient_lookahead(pairs))
 
 
@@ -125,28 +146,31 @@ def _ranges(points: list[int]) -> str:
         last = k
         while last + 1 < len(points) and points[last + 1] == points[last] + 1:
             last += 1
-        out.append(f"\\U{points[k]:08X}-\\U{points[last]:08X}")
+        out.append(f"\\U{points[k]:08X}" + (f"-\\U{points[last]:08X}" if last > k else ""))
         k = last + 1
     return "".join(out)
 
 
 @functools.lru_cache(maxsize=4)
-def word_classes(path: str) -> tuple[str, str]:
-    """Classes of letters and of numbers as the tokenizer's own splitter sees them.
+def word_classes(path: str) -> tuple[str, str, str]:
+    """Letters, numbers and white space, as the insides of character classes, as the tokenizer's own splitter sees them.
 
     Libraries carry different Unicode versions, so every code point that this Python does not know is shown to the splitter.
     """
     splitter = tokenizers.Tokenizer.from_file(path).pre_tokenizer
-    joined = lambda first, c: len(splitter.pre_tokenize_str(first + chr(c))) == 1
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     classes = []
-    for name, first in (("L", "a"), ("N", "1")):
-        mine = regex.compile(rf"\p{{{name}}}")
-        new = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn" and mine.match(chr(c))]
-        gone = [c for c in new if not joined(first, c)]
-        classes.append(rf"[\p{{{name}}}--[{_ranges(gone)}]]" if gone else rf"\p{{{name}}}")
+    for name, first in ((r"\p{L}", "a"), (r"\p{N}", "1"), (r"\s", None)):
+        mine = regex.compile(name)
+        members = [c for c in every if mine.match(chr(c))]
+        classes.append(_ranges([c for c in members if first is None or unicodedata.category(chr(c)) != "Cn" or len(splitter.pre_tokenize_str(first + chr(c))) == 1]))
     return tuple(classes)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes() if len(ids) > SHORT else struct.pack("<%dI" % len(ids), *ids)
+
+
 class _Words(dict):
     """Packed ids of a word, merged when it is first seen."""
 
@@ -154,21 +178,37 @@ class _Words(dict):
         self.merges = merges
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self.merges.merge(word.encode("utf-8", "surrogatepass"))
-        packed = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return self.keep(word, _packed(self.merges.merge(word.encode("utf-8", "surrogatepass"))))
+
+    def keep(self, text: str, packed: bytes) -> bytes:
+        if len(text) <= SHORT:
+            if len(self) >= CACHE:
+                self.clear()
+            self[text] = packed
         return packed
 
 
+class _Stretches(_Words):
+    """Packed ids of a stretch, white space and what follows it up to the next white space; no word goes beyond one."""
+
+    def __init__(self, words: _Words, split: re.Pattern):
+        self.words, self.split = words, split
+
+    def __missing__(self, stretch: str) -> bytes:
+        if stretch[0] == " " and stretch[1:].isalpha():  # the common case, one word
+            return self.keep(stretch, _packed(self.words.merges.merge(stretch.encode())))
+        words = self.split.findall(stretch)
+        return self.keep(stretch, b"".join(map(self.words.__getitem__, words)))
+
+
 @functools.lru_cache(maxsize=4)
-def _tables(path: str, classes: tuple[str, str]):
-    merges, (letter, number) = load_merges(path), classes
-    other = rf"[^\s{letter}{number}]"
-    split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|\s+(?!\S)|\s+", regex.V1)
-    runs = [regex.compile(rf"{c}+", regex.V1) for c in (r"\s", letter, number, other)]
-    mark = regex.compile("|".join(map(regex.escape, merges.special))) if merges.special else None
-    return merges, split, runs, mark, _Words(merges)
+def _tables(path: str, classes: tuple[str, str, str]):
+    merges, (letter, number, blank) = load_merges(path), classes
+    runs = [f"[{blank}]+", f"[{letter}]+", f"[{number}]+", f"[^{blank}{letter}{number}]+"]
+    split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{runs[1]}| ?{runs[2]}| ?{runs[3]}|{runs[0]}(?![^{blank}])|{runs[0]}")
+    runs = [re.compile(r) for r in runs]
+    mark = re.compile("|".join(map(re.escape, merges.special))) if merges.special else None
+    return merges, split, runs, mark, re.compile(f"[{blank}]*[^{blank}]+|[{blank}]+"), _Stretches(_Words(merges), split)
 
 
 class Encoder:
@@ -178,8 +218,8 @@ class Encoder:
     bytes; and a tail that may open a special string.
     """
 
-    def __init__(self, path: str, classes: tuple[str, str]):
-        self.merges, self.split, self.runs, self.mark, self.words = _tables(path, classes)
+    def __init__(self, path: str, classes: tuple[str, str, str]):
+        self.merges, self.split, self.runs, self.mark, self.stretch, self.ids = _tables(path, classes)
         self.held = max(map(len, self.merges.special), default=1) - 1
         self.tail, self.open, self.run, self.window = "", "", None, b""
 
@@ -198,26 +238,32 @@ class Encoder:
         return self.feed("", True)
 
     def _words(self, piece: str, last: bool) -> bytes:
-        """Ids of the words that end in this piece, where a word is decided three characters behind its end."""
+        """Ids of the stretches that end in this piece; of a long one, of the words that are decided, three characters behind their end."""
         out = b""
         if self.run is not None:
             out, piece = self._continue(piece, last)
             if self.run is not None:
                 return out
         text = self.open + piece
-        words, size = self.split.findall(text), len(text)
         if last:
             self.open = ""
-        else:
-            stable = size
-            while words and stable > size - 3:
-                stable -= len(words.pop())
-            self.open = text[stable:]
-            if len(self.open) > LONG:
-                self.run = next(r for r in self.runs if r.match(self.open[LONG // 2]))
-                rest, self.open = self.open, ""
-                return out + b"".join(map(self.words.__getitem__, words)) + self._start(rest)
-        return out + b"".join(map(self.words.__getitem__, words))
+            return out + b"".join(map(self.ids.__getitem__, self.stretch.findall(text)))
+        parts = self.stretch.findall(text)
+        stable = len(text) - len(parts.pop()) if parts else 0
+        out += b"".join(map(self.ids.__getitem__, parts))
+        self.open = text[stable:]
+        if len(self.open) <= LONG:
+            return out
+        words, size = self.split.findall(self.open), len(self.open)
+        stable = size
+        while words and stable > size - 3:
+            stable -= len(words.pop())
+        rest, self.open = self.open[stable:], self.open[stable:]
+        out += b"".join(map(self.ids.words.__getitem__, words))
+        if len(rest) <= LONG:
+            return out
+        self.run, self.open = next(r for r in self.runs if r.match(rest[LONG // 2])), ""
+        return out + self._start(rest)
 
     def _start(self, rest: str) -> bytes:
         lead = " " if rest[0] == " " and not self.run.match(" ") else ""

@@ -10,7 +10,8 @@ import pytest
 import corpus_pipeline
 from guidemill.llm.queries import vocabulary_files
 
-from test_operators import SPACES, base_docs, folder, held, plain_components, plain_fingerprint  # noqa: F401
+from test_operators import base_docs, folder  # noqa: F401
+from test_similar import plain_groups
 
 
 @pytest.fixture(scope="module")
@@ -43,9 +44,9 @@ def test_quality_keeps_the_good(spark, folder, steps):  # noqa: F811
 
 
 def test_one_of_each_near_duplicate_group(steps):
+    """Five-word Jaccard similarity of 0.8 or more, by brute force over all pairs."""
     before = steps[1].collect()
-    prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in before if r["doc_id"] is not None}
-    groups = plain_components(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    groups = plain_groups([(r["doc_id"], r["text"]) for r in before if r["doc_id"] is not None])
     want = sorted(key(r) for r in before if r["doc_id"] is None or groups[r["doc_id"]] == r["doc_id"])
     assert sorted(map(key, steps[2].collect())) == want and len(want) < len(before)
 
