@@ -33,7 +33,7 @@ CHUNK = 1 << 16  # characters read at a time
 LONG = 4096  # characters of an unfinished word from which on it is streamed through the window
 BLOCK = 1024  # bytes a window takes beyond the lookahead
 SHORT = 64  # bytes of a word up to which ranks are kept in a plain list
-CACHE = 500_000  # words, and stretches, remembered per worker; a cache starts anew beyond it
+CACHE = 100_000  # stretches remembered per worker; beyond it the older half goes, but for those in use
 
 
 def byte_letters() -> dict[str, int]:
@@ -171,36 +171,34 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes() if len(ids) > SHORT else struct.pack("<%dI" % len(ids), *ids)
 
 
-class _Words(dict):
-    """Packed ids of a word, merged when it is first seen."""
+class _Stretches(dict):
+    """Packed ids of a stretch, white space and what follows it up to the next white space; no word goes beyond one.
 
-    def __init__(self, merges: Merges):
-        self.merges = merges
+    Two generations of at most CACHE stretches: what is asked for again moves to the younger one, the older one is forgotten when
+    the younger is full.
+    """
+
+    def __init__(self, merges: Merges, split: re.Pattern):
+        self.merges, self.split, self.older = merges, split, {}
 
-    def __missing__(self, word: str) -> bytes:
-        return self.keep(word, _packed(self.merges.merge(word.encode("utf-8", "surrogatepass"))))
+    def word(self, word: str) -> bytes:
+        return _packed(self.merges.merge(word.encode("utf-8", "surrogatepass")))
 
-    def keep(self, text: str, packed: bytes) -> bytes:
-        if len(text) <= SHORT:
+    def __missing__(self, stretch: str) -> bytes:
+        packed = self.older.get(stretch)
+        if packed is None:
+            if stretch[0] == " " and stretch[1:].isalpha():  # the common case, one word
+                packed = self.word(stretch)
+            else:
+                packed = b"".join(map(self.word, self.split.findall(stretch)))
+        if len(stretch) <= SHORT:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
-            self[text] = packed
+            self[stretch] = packed
         return packed
 
 
-class _Stretches(_Words):
-    """Packed ids of a stretch, white space and what follows it up to the next white space; no word goes beyond one."""
-
-    def __init__(self, words: _Words, split: re.Pattern):
-        self.words, self.split = words, split
-
-    def __missing__(self, stretch: str) -> bytes:
-        if stretch[0] == " " and stretch[1:].isalpha():  # the common case, one word
-            return self.keep(stretch, _packed(self.words.merges.merge(stretch.encode())))
-        words = self.split.findall(stretch)
-        return self.keep(stretch, b"".join(map(self.words.__getitem__, words)))
-
-
 @functools.lru_cache(maxsize=4)
 def _tables(path: str, classes: tuple[str, str, str]):
     merges, (letter, number, blank) = load_merges(path), classes
@@ -208,7 +206,7 @@ def _tables(path: str, classes: tuple[str, str, str]):
     split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{runs[1]}| ?{runs[2]}| ?{runs[3]}|{runs[0]}(?![^{blank}])|{runs[0]}")
     runs = [re.compile(r) for r in runs]
     mark = re.compile("|".join(map(re.escape, merges.special))) if merges.special else None
-    return merges, split, runs, mark, re.compile(f"[{blank}]*[^{blank}]+|[{blank}]+"), _Stretches(_Words(merges), split)
+    return merges, split, runs, mark, re.compile(f"[{blank}]*[^{blank}]+|[{blank}]+"), _Stretches(merges, split)
 
 
 class Encoder:
@@ -259,7 +257,7 @@ class Encoder:
         while words and stable > size - 3:
             stable -= len(words.pop())
         rest, self.open = self.open[stable:], self.open[stable:]
-        out += b"".join(map(self.ids.words.__getitem__, words))
+        out += b"".join(map(self.ids.word, words))
         if len(rest) <= LONG:
             return out
         self.run, self.open = next(r for r in self.runs if r.match(rest[LONG // 2])), ""
