@@ -44,7 +44,7 @@ class Windows:
         for item, text in items:
             ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
             for at in range(max(1, len(ids) - width + 1) if ids else 0):
-                found.setdefault(tuple(ids[at: at + width]), set()).add(item)
+                found.setdefault(tuple(ids[at: at + width]), set()).update([] if item is None else [item])
         words = [np.array(w, np.int64) for w in found]
         codes = [shingle_codes(w, len(vocabulary), min(SHINGLE, len(w))) for w in words]
         keys = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
@@ -144,10 +144,10 @@ def find_hits(words: list[bytes], windows: Windows, prefixes: Prefixes, lengths:
 
 def _chunks(items: DataFrame, id_col: str, text_col: str, chunk_chars: int) -> list[DataFrame]:
     """Item frames of about ``chunk_chars`` characters each, by a hash of the item."""
-    rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-total // chunk_chars) or 1
-    return [rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k) for k in range(parts)]
+    return [rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) for k in range(parts)]
 
 
 def _tables(texts: DataFrame, chunk: DataFrame, width: int):
@@ -166,7 +166,7 @@ def _search(rows: DataFrame, shared) -> DataFrame:
             words = words_of(text)
             mask, found = find_hits(words, *shared.value)
             sizes.append(len(words))
-            covered.append(np.packbits(mask).tobytes() if found else None)
+            covered.append(np.packbits(mask).tobytes() if mask.any() else None)
             items.append(found)
         return [pa.array(sizes, pa.int64()), pa.array(covered, pa.binary()), pa.array(items, pa.list_(pa.string()))]
 
@@ -182,7 +182,8 @@ def mark_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
                        width: int = 13, chunk_chars: int = 4_000_000) -> DataFrame:
     """(id, n_words, n_hit, items): hit words and the item ids found, as sorted strings; one row per input row.
 
-    A null or empty text has no words and no hits; an item without words or with a null id has no windows.
+    A null or empty text has no words and no hits; an item without words has no windows.  Words that only an item with a null id covers
+    are hit, but such an item is not listed.
     The windows are broadcast: ``chunk_chars`` characters of items bound one broadcast.  More items take more chunks, one
     after the other with passes of their own, and what they found is joined by document without moving texts.
     """
@@ -199,7 +200,7 @@ def mark_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         found = materialize(_search(rows, shared), "contamination")
         shared.destroy()
         sizes = found.select("id", "key", "n_words")
-        part = found.where(F.size("items") > 0).select("key", "covered", "items").distinct()
+        part = found.where("covered IS NOT NULL").select("key", "covered", "items").distinct()
         hits = part if hits is None else hits.unionByName(part)
     both = hits.groupBy("key").agg(F.collect_list("covered").alias("covered"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return sizes.join(both, "key", "left").select("id", "n_words", count("covered").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

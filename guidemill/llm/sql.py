@@ -37,10 +37,10 @@ WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 i AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
-iw AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, least(13, len(ws)) AS size FROM i),
+iw AS (SELECT k, item_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, least(13, len(ws)) AS size FROM (SELECT row_number() OVER () AS k, * FROM i)),
 ir AS (
-  SELECT item_id, size, string_agg(word, ' ') OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS body,
-         count(*) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM iw),
+  SELECT item_id, size, string_agg(word, ' ') OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS body,
+         count(*) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM iw),
 items AS (SELECT DISTINCT item_id, size, body FROM ir WHERE n = size),
 dw AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
 dr AS (
@@ -48,7 +48,7 @@ dr AS (
          count(*) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM dw),
 found AS (SELECT dr.doc_id, dr.pos, items.item_id, items.size FROM dr JOIN items ON dr.body = items.body WHERE dr.n = items.size {short}),
 hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT found.doc_id, found.pos + k.k AS pos FROM found JOIN (SELECT unnest(range(13)) AS k) k ON k.k < found.size) GROUP BY doc_id),
-names AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS joined FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found) GROUP BY doc_id)
+names AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS joined FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.ws) AS contaminated
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN names ON d.doc_id = names.doc_id

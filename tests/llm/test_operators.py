@@ -359,14 +359,14 @@ def test_contamination(spark, folder, base_docs, tmp_path):
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = lambda t: re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
-    items += [(900, None), (901, ""), (902, "one"), (903, "One two"), (904, "same " * 13), (905, items[0][1]), (906, base_docs[5][1][:200]), (907, "\u00c9t\u00c9 x"), (None, "three")]
+    items += [(900, None), (901, ""), (902, "one"), (903, "One two"), (904, "same " * 13), (905, items[0][1]), (906, base_docs[5][1][:200]), (907, "\u00c9t\u00c9 x"), (None, "three"), (None, base_docs[9][1][300:600])]
     spark.createDataFrame([(*i, 0) for i in items], "item_id long, text string, n_hit int").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.read.parquet(f"{folder}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
     windows = defaultdict(set)
     for i, t in items:
         ws = re.findall(word, lower(t))
-        for k in range(max(1, len(ws) - 12) if ws and i is not None else 0):
-            windows[tuple(ws[k: k + 13])].add(str(i))
+        for k in range(max(1, len(ws) - 12) if ws else 0):
+            windows[tuple(ws[k: k + 13])].update([] if i is None else [str(i)])
     sizes = {len(w) for w in windows}
     want = set()
     for d, t, *_ in base_docs:
