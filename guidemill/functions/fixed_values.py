@@ -373,6 +373,26 @@ KNOWN_FORMULAS = {
             ["net_amount", "vat_rate"], "simple_multiplication", "VAT Rates"),
 }
 
+# --- fixed values: inputs of the known formulas as (name, unit, default) --------------------------------
+FORMULA_INPUTS = {
+    "marginal_relief": [("augmented_profits", "currency_gbp", None), ("taxable_profits", "currency_gbp", None),
+                        ("upper_limit", "currency_gbp", 250000), ("fraction", "fraction", None)],
+    "income_tax": [("taxable_income", "currency_gbp", None), ("personal_allowance", "currency_gbp", 12570), ("tax_rate", "percentage", None)],
+    "corporation_tax": [("taxable_profits", "currency_gbp", None), ("tax_rate", "percentage", None)],
+    "penalty": [("base_penalty", "currency_gbp", None), ("daily_penalty", "currency_gbp", None), ("days_late", "number", None)],
+    "vat": [("net_amount", "currency_gbp", None), ("vat_rate", "percentage", 20)],
+}
+
+# --- fixed values: steps of the known formulas as (result, operation, operands) --------------------------
+FORMULA_STEPS = {
+    "marginal_relief": [("excess", "subtract", ["upper_limit", "augmented_profits"]), ("ratio", "divide", ["taxable_profits", "augmented_profits"]),
+                        ("product", "multiply", ["excess", "ratio"]), ("relief", "multiply", ["product", "fraction"])],
+    "income_tax": [("taxed", "subtract", ["taxable_income", "personal_allowance"]), ("tax", "percent", ["taxed", "tax_rate"])],
+    "corporation_tax": [("tax", "percent", ["taxable_profits", "tax_rate"])],
+    "penalty": [("daily_total", "multiply", ["daily_penalty", "days_late"]), ("penalty", "add", ["base_penalty", "daily_total"])],
+    "vat": [("vat", "percent", ["net_amount", "vat_rate"])],
+}
+
 # --- fixed values: html tables -------------------------------------------------------------------------
 TABLE_TYPES = [
     ("tax_rates", r"\brate\b|\bband\b|\btax\s+rate|\bincome\s+tax|\bcorporation\s+tax|\btaxable\s+income"),

@@ -12,10 +12,11 @@ from guidemill.functions.matching import (
     around, empty_array, explode_rows, first_at, first_group, let, literal_strings, rx, spans, squeeze, window,
 )
 from guidemill.functions.values import number, tax_year
+from guidemill.operators.formula_program import INPUT_DDL, STEP_DDL, inputs_of, literal_value, steps_of
 
 FORMULA_DDL = (
     "struct<formula_name:string,formula_type:string,formula_text:string,variables:array<string>,"
-    "formula_logic:string,tables_used:array<string>,context_text:string>"
+    f"formula_logic:string,tables_used:array<string>,context_text:string,inputs:array<{INPUT_DDL}>,steps:array<{STEP_DDL}>>"
 )
 
 
@@ -23,11 +24,13 @@ def has_formulas(text: Column) -> Column:
     return text.rlike(rx(fv.FORMULA_PROBE))
 
 
-def _formula(name, kind, text, variables, logic, tables, context) -> Column:
+def _formula(name, kind, text, variables, logic, tables, context, inputs=None, steps=None) -> Column:
+    """A found formula; ``inputs`` and ``steps`` are its definition for :mod:`guidemill.operators.formula_program`."""
     return F.struct(
         name.alias("formula_name"), kind.alias("formula_type"), text.alias("formula_text"),
         variables.alias("variables"), logic.alias("formula_logic"), tables.alias("tables_used"),
-        context.alias("context_text")).cast(FORMULA_DDL)
+        context.alias("context_text"), (empty_array(INPUT_DDL) if inputs is None else inputs).alias("inputs"),
+        (empty_array(STEP_DDL) if steps is None else steps).alias("steps")).cast(FORMULA_DDL)
 
 
 def _first_match(text: Column, pattern: str, before: int, after: int, body) -> Column:
@@ -58,7 +61,9 @@ def marginal_relief(text: Column) -> Column:
         return _formula(
             F.lit("Corporation Tax Marginal Relief"), F.lit("marginal_relief"), label,
             literal_strings(["augmented_profits", "taxable_profits", "upper_limit", "fraction"]), logic,
-            literal_strings(["Corporation Tax Rates"]), context)
+            literal_strings(["Corporation Tax Rates"]), context, inputs_of(*[
+                (n, u, limit if n == "upper_limit" else literal_value(fraction) if n == "fraction" else v) for n, u, v in fv.FORMULA_INPUTS["marginal_relief"]]),
+            steps_of(*fv.FORMULA_STEPS["marginal_relief"]))
 
     return _first_match(text, fv.MARGINAL_RELIEF, 200, 200, body)
 
@@ -68,7 +73,7 @@ def _known(key: str, context: Column) -> Column:
     extra = {"uses_table": table} if logic != "simple_multiplication" else {}
     return _formula(
         F.lit(name), F.lit(kind), F.lit(text), literal_strings(variables),
-        F.lit(json.dumps({"type": logic, **extra})), literal_strings([table]), context)
+        F.lit(json.dumps({"type": logic, **extra})), literal_strings([table]), context, inputs_of(*fv.FORMULA_INPUTS[key]), steps_of(*fv.FORMULA_STEPS[key]))
 
 
 def tax_calculation(text: Column) -> Column:
@@ -114,16 +119,26 @@ def generic_formulas(text: Column) -> Column:
     return F.concat(*out)
 
 
+def known_formulas(text: Column) -> Column:
+    return F.array_compact(F.array(marginal_relief(text), tax_calculation(text), penalty_calculation(text), vat_calculation(text)))
+
+
 def formulas(text: Column) -> Column:
-    """All kinds; a generic one is dropped when its name or text was already taken."""
-    known = F.array_compact(F.array(
-        marginal_relief(text), tax_calculation(text), penalty_calculation(text), vat_calculation(text)))
+    """All kinds; a generic one is dropped when its name or text was already taken.
+
+    Whether one is taken depends on all before it, so the array is folded; names and texts taken are held as plain arrays, which are
+    searched without a lambda per element.
+    """
+    ddl = f"struct<taken:array<{FORMULA_DDL}>,names:array<string>,texts:array<string>>"
 
     def add(acc: Column, f: Column) -> Column:
-        seen = F.exists(acc, lambda a: (a["formula_name"] == f["formula_name"]) | (a["formula_text"] == f["formula_text"]))
-        return F.when(seen, acc).otherwise(F.concat(acc, F.array(f)))
+        seen = F.array_contains(acc["names"], f["formula_name"]) | F.array_contains(acc["texts"], f["formula_text"])
+        return F.when(seen, acc).otherwise(F.struct(
+            F.concat(acc["taken"], F.array(f)).alias("taken"), F.concat(acc["names"], F.array(f["formula_name"])).alias("names"),
+            F.concat(acc["texts"], F.array(f["formula_text"])).alias("texts")).cast(ddl))
 
-    everything = F.aggregate(generic_formulas(text), known, add)
+    everything = let(known_formulas(text), lambda known: F.aggregate(generic_formulas(text), F.struct(
+        known.alias("taken"), F.transform(known, lambda k: k["formula_name"]).alias("names"), F.transform(known, lambda k: k["formula_text"]).alias("texts")).cast(ddl), add)["taken"])
     return F.when(has_formulas(text) | text.rlike(rx(r"amounts?\s+to|is\s+calculated|marginal\s+relief|small\s+profits\s+rate|=")),
                   everything).otherwise(empty_array(FORMULA_DDL))
 

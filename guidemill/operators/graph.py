@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
+from guidemill.operators.circles import circle_members  # noqa: F401  part of the graph's interface
 from guidemill.session import ensure_checkpoint_dir
 
 
@@ -189,64 +190,6 @@ def circular_references(edges: DataFrame) -> DataFrame:
     return both.where((F.col("chunk_a") == F.col("chunk_b")) | (F.col("f") & F.col("r"))).select("chunk_a", "chunk_b")
 
 
-def circle_members(edges: DataFrame) -> DataFrame:
-    """(chunk_id, circle): chunks on a circle of any length; ``circle`` is the largest chunk of the mutually reachable set.
-
-    Edges that cannot lie on a circle are trimmed first.  Then the largest id that reaches a chunk becomes its
-    colour; within a colour, what reaches back to its namesake is one set, and the rest goes into the next round.
-    Nothing is collected; every step is a join or aggregate over edges and cut off with a checkpoint.
-    """
-    ensure_checkpoint_dir(edges.sparkSession)
-    pairs = edges.where(F.col("is_resolved") & F.col("target_chunk_id").isNotNull()).select(
-        F.col("source_chunk_id").alias("a"), F.col("target_chunk_id").alias("b")).distinct().checkpoint()
-    found = pairs.where("a = b").select(F.col("a").alias("chunk_id"), F.col("a").alias("circle"))
-    rest = pairs.where("a <> b")
-    while True:
-        rest = _trimmed(rest)
-        if rest.isEmpty():
-            break
-        colours = _colours(rest)
-        inside = rest.join(colours.select(F.col("node").alias("a"), F.col("colour").alias("ca")), "a").join(
-            colours.select(F.col("node").alias("b"), F.col("colour").alias("cb")), "b").where("ca = cb").select("a", "b", "ca").checkpoint()
-        sets = colours.where("node = colour")
-        frontier = sets
-        while not frontier.isEmpty():
-            back = inside.join(frontier.select(F.col("node").alias("b"), F.col("colour").alias("ca")), ["b", "ca"]).select(
-                F.col("a").alias("node"), F.col("ca").alias("colour")).distinct()
-            frontier = back.join(sets, ["node", "colour"], "left_anti").checkpoint()
-            sets = sets.unionByName(frontier)
-        sets = sets.checkpoint()
-        grown = sets.groupBy("colour").count().where("count > 1").select("colour")
-        found = found.unionByName(sets.join(grown, "colour", "left_semi").select(F.col("node").alias("chunk_id"), F.col("colour").alias("circle")))
-        done = sets.select("node")
-        rest = rest.join(done.withColumnRenamed("node", "a"), "a", "left_anti").join(done.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b").checkpoint()
-    return found.groupBy("chunk_id").agg(F.max("circle").alias("circle"))
-
-
-def _trimmed(pairs: DataFrame) -> DataFrame:
-    """Edges left when those from nodes nothing leads to, and to nodes that lead nowhere, are gone."""
-    left = pairs.count()
-    while left:
-        pairs = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(
-            pairs.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b").checkpoint()
-        now = pairs.count()
-        if now == left:
-            break
-        left = now
-    return pairs
-
-
-def _colours(pairs: DataFrame) -> DataFrame:
-    """(node, colour): the largest node from which a node can be reached, itself included."""
-    colours = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("colour", F.col("node"))
-    while True:
-        sent = pairs.join(colours.select(F.col("node").alias("a"), "colour"), "a").groupBy(F.col("b").alias("node")).agg(F.max("colour").alias("sent"))
-        nxt = colours.join(sent, "node", "left").select("node", F.greatest("colour", F.coalesce("sent", "colour")).alias("colour"), (F.col("sent") > F.col("colour")).alias("moved")).checkpoint()
-        colours = nxt.select("node", "colour")
-        if nxt.where("moved").isEmpty():
-            return colours
-
-
 def with_citations(edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """Edges with section and citation of both ends."""
     c = chunks.select("chunk_id", "section_id", "citable_reference")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guidemill.functions.matching import let
+from guidemill.operators.formula_program import banded_amount  # noqa: F401  also a plain column function
 
 
 def current_tables(tables: DataFrame, name_part: Column | None = None) -> DataFrame:
@@ -131,15 +132,6 @@ def marginal_relief(profits: Column, augmented: Column, upper_limit: Column, num
         (upper_limit - augmented) * (profits / augmented) * (numerator / denominator))
 
 
-def banded_amount(value: Column, bands: Column) -> Column:
-    """Sum over bands of the part of ``value`` inside the band times its rate (percent).
-
-    ``bands``: array<struct<lo,hi,rate>>, hi missing for the open band.
-    """
-    return F.aggregate(bands, F.lit(0.0), lambda acc, b: acc + F.greatest(
-        F.least(value, F.coalesce(b["hi"], value)) - b["lo"], F.lit(0.0)) * b["rate"] / 100)
-
-
 def tiered_penalty(base: Column, daily: Column, days_late: Column) -> Column:
     return F.when(days_late > 0, base + daily * days_late).otherwise(F.lit(0.0))
 

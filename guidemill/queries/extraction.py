@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from guidemill.functions import fixed_values as fv
 from guidemill.functions import values
 from guidemill.functions.matching import explode_rows, rx, with_context
-from guidemill.operators import conditions, contacts, deadlines, examples, formulas, metadata, references
-from guidemill.queries.base import GUIDANCE_CTE, around_sql, guidance, spans_sql, sql_pattern
+from guidemill.operators import conditions, contacts, deadlines, examples, formula_program, formulas, metadata, references
+from guidemill.queries.base import GUIDANCE_CTE, around_sql, documents, guidance, spans_sql, sql_pattern
 
 
 def _all(p: str, g: int = 1, flags: str = "", text: str = "text") -> str:
@@ -401,6 +401,28 @@ def known_formulas(spark, path):
     return formula_items(spark, path).where("formula_type <> 'other'")
 
 
+def formula_definitions(spark, path):
+    """Inputs and steps of the known formulas as long rows."""
+    rows = guidance(spark, path).select("doc_id", F.explode_outer(formulas.known_formulas(F.col("text"))).alias("f")).where("f IS NOT NULL")
+    return rows.select("doc_id", "f.formula_name", F.explode(F.concat(
+        F.transform("f.inputs", lambda i, k: F.struct(F.lit("input").alias("part"), k.cast("bigint").alias("position"), i["name"].alias("name"), i["unit"].alias("detail"), i["value"].alias("value"))),
+        F.transform("f.steps", lambda s, k: F.struct(F.lit("step").alias("part"), k.cast("bigint").alias("position"), s["result"].alias("name"), F.concat(
+            s["operation"], F.lit(": "), F.array_join(s["operands"], ", ")).alias("detail"), F.lit(None).cast("double").alias("value"))))).alias("x")).select("doc_id", "formula_name", "x.*")
+
+
+def extracted_formula_results(spark, path):
+    """Every known formula of a text, worked out with amounts of its document."""
+    rows = guidance(spark, path).join(documents(spark, path).select("doc_id", F.col("n_chars").cast("double").alias("n")), "doc_id")
+    found = rows.select("doc_id", "n", F.explode_outer(formulas.known_formulas(F.col("text"))).alias("f")).where("f IS NOT NULL").select(
+        F.concat_ws("/", F.col("doc_id").cast("string"), "f.formula_name").alias("formula_id"), "doc_id", "n", "f.formula_name", "f.inputs", "f.steps")
+    given = F.create_map(*[x for name, v in (
+        ("augmented_profits", F.col("n") + 90000), ("taxable_profits", F.col("n") + 80000), ("taxable_income", F.col("n") * 10), ("tax_rate", F.lit(20.0)),
+        ("base_penalty", F.lit(100.0)), ("days_late", F.when(F.col("n") % 2 == 0, F.col("n") % 100)), ("daily_penalty", F.lit(10.0)), ("net_amount", F.col("n"))) for x in (F.lit(name), v)])
+    ran = formula_program.run_formulas(found.select(F.col("formula_id").alias("request_id"), "formula_id", given.alias("given")), formula_program.compile_formulas(found))
+    parts = F.split("request_id", "/")
+    return ran.select(F.get(parts, F.lit(0)).cast("bigint").alias("doc_id"), F.get(parts, F.lit(1)).alias("formula_name"), F.round("result", 4).alias("result"), "error")
+
+
 def _known_formula(p: str, key: str, extra: str = "true") -> str:
     name, kind, text, variables, _, table = fv.KNOWN_FORMULAS[key]
     return (f"SELECT doc_id, '{name}' AS formula_name, '{kind}' AS formula_type, '{text}' AS formula_text, "
@@ -425,6 +447,23 @@ UNION ALL {_known_formula(fv.VAT_CALCULATION, 'vat')}"""
 
 # --- probes ----------------------------------------------------------------------------------------------------------
 
+# The parts of each kind as rows of (kind name, part, position, name, detail, default); limit and fraction come from the text.
+_PARTS = ", ".join(
+    f"('{name}', '{part}', {k}, '{n}', '{d}', {'NULL' if v is None else float(v)})" for key, name in (("marginal_relief", "Corporation Tax Marginal Relief"), *((k, v[0]) for k, v in fv.KNOWN_FORMULAS.items()))
+    for part, rows in (("input", fv.FORMULA_INPUTS[key]), ("step", [(r, f"{op}: {', '.join(args)}", None) for r, op, args in fv.FORMULA_STEPS[key]])) for k, (n, d, v) in enumerate(rows))
+_FRACTION_SQL = "CAST(split_part(regexp_extract(formula_text, '[0-9]+/[0-9]+', 0), '/', 1) AS DOUBLE) / CAST(split_part(regexp_extract(formula_text, '[0-9]+/[0-9]+', 0), '/', 2) AS DOUBLE)"
+_LIMIT_SQL = "CAST(replace(regexp_extract(formula_text, '£([0-9,]+)', 1), ',', '') AS DOUBLE)"
+_DEFINITIONS_SQL = f"""SELECT doc_id, formula_name, part, CAST(position AS BIGINT) AS position, name, detail,
+  CASE name WHEN 'upper_limit' THEN {_LIMIT_SQL} WHEN 'fraction' THEN {_FRACTION_SQL} ELSE CAST(value AS DOUBLE) END AS value
+FROM ({_FORMULAS_SQL}) JOIN (VALUES {_PARTS}) AS p(kind, part, position, name, detail, value) ON kind = formula_name"""
+_EXTRACTED_RESULTS_SQL = f"""SELECT doc_id, formula_name, round(CASE formula_name
+  WHEN 'Corporation Tax Marginal Relief' THEN ({_LIMIT_SQL} - (n + 90000)) * ((n + 80000) / (n + 90000)) * ({_FRACTION_SQL})
+  WHEN 'Corporation Tax Calculation' THEN (n + 80000) * 20 / 100 WHEN 'Income Tax Calculation' THEN (n * 10 - 12570) * 20 / 100 WHEN 'VAT Calculation' THEN n * 20 / 100
+  WHEN 'Penalty Calculation' THEN CASE WHEN n % 2 = 0 THEN 100 + 10 * (n % 100) END END, 4) AS result,
+  CASE WHEN formula_name = 'Penalty Calculation' AND n % 2 <> 0 THEN 'no value for days_late' END AS error
+FROM ({_FORMULAS_SQL}) JOIN (SELECT doc_id AS d, CAST(n_chars AS DOUBLE) AS n FROM documents) ON d = doc_id"""
+
+
 def content_probes(spark, path):
     """Which extractors a document needs at all."""
     t = F.col("text")
@@ -454,5 +493,7 @@ QUERIES = {
     "worked_example_steps": (worked_example_steps, _STEPS_SQL),
     "known_formulas": (known_formulas, _FORMULAS_SQL),
     "all_formulas": (formula_items, None),
+    "formula_definitions": (formula_definitions, _DEFINITIONS_SQL),
+    "extracted_formula_results": (extracted_formula_results, _EXTRACTED_RESULTS_SQL),
     "content_probes": (content_probes, _PROBES_SQL),
 }

@@ -126,10 +126,21 @@ def most_referenced(spark, path):
 
 
 def circles(spark, path):
-    """Chunks on circles of required references of any length."""
+    """Chunks on circles of references of any length."""
+    return graph.circle_members(edges(spark, path))
+
+
+def circles_required(spark, path):
+    """Same along required definitions only: a sparse graph of chains and few circles."""
     return graph.circle_members(edges(spark, path).where("reference_strength = 'required' AND reference_type = 'definition'"))
 
 
+def _circles_sql(where: str) -> str:
+    return f"""WITH RECURSIVE {_EDGES}, p AS (SELECT DISTINCT source_chunk_id AS a, target_chunk_id AS b FROM e WHERE is_resolved AND target_chunk_id IS NOT NULL {where}),
+r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b)
+SELECT r.a AS chunk_id, max(r.b) AS circle FROM r JOIN r q ON q.a = r.b AND q.b = r.a GROUP BY r.a"""
+
+
 def most_referencing(spark, path):
     return graph.most_referencing(edges(spark, path), 10)
 
@@ -181,7 +192,8 @@ SELECT node, level FROM r"""
 _FOLLOW = "is_resolved AND reference_strength IN ('required', 'recommended')"
 QUERIES = {
     "expand_requests": (expand_requests, _REQUEST_SQL),
-    "circles": (circles, None),
+    "circles": (circles, _circles_sql("")),
+    "circles_required": (circles_required, _circles_sql("AND reference_strength = 'required' AND reference_type = 'definition'")),
     "expand_references": (expand_references, _expand_sql("'required', 'recommended'", 10)),
     "definition_chains": (definition_chains, _expand_sql("'required'", 10)),
     "resolve_references": (resolve_references, f"""WITH {_EDGES}, f AS (SELECT section_id, min(chunk_id) AS found FROM c WHERE section_id IS NOT NULL GROUP BY 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from guidemill.operators import formula_program as fp
 from guidemill.operators import lookup, similarity
 from guidemill.sources.tables import read_table, spread
 
@@ -147,6 +148,62 @@ _FORMULA_SQL = """SELECT o_orderkey, round(CASE WHEN p + 10000 >= 250000 THEN 0.
   CASE WHEN o_custkey % 30 - 10 > 0 THEN CAST(100 + 10 * (o_custkey % 30 - 10) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS penalty FROM (SELECT *, o_totalprice AS p FROM orders)"""
 
 
+def _definitions(spark, path):
+    """A formula per nation, of seven kinds whose amounts follow from its keys; steps are not in order, two kinds are faulty."""
+    n = F.col("n_nationkey")
+    kinds = [
+        (fp.inputs_of(("upper_limit", "currency_gbp", 200000 + n * 10000), ("profits", "currency_gbp", None), ("augmented", "currency_gbp", None)),
+         fp.steps_of(("relief", "multiply", ["product", "3/200"]), ("product", "multiply", ["excess", "ratio"]), ("ratio", "divide", ["profits", "augmented"]),
+                     ("excess", "maximum", ["difference", "0"]), ("difference", "subtract", ["upper_limit", "augmented"]))),
+        (fp.inputs_of(("profits", "currency_gbp", None)),
+         fp.steps_of(("tax", "banded", ["profits"], fp.bands_of((0, 50000, 0), (50000, 100000 + n * 5000, 20), (100000 + n * 5000, None, 40))))),
+        (fp.inputs_of(("profits", "currency_gbp", None), ("rate", "percentage", n)), fp.steps_of(("tax", "percent", ["profits", "rate"]))),
+        (fp.inputs_of(("base", "currency_gbp", 100), ("daily", "currency_gbp", n), ("days", "number", None)),
+         fp.steps_of(("penalty", "if_above", ["days", "0", "total", "0"]), ("total", "add", ["base", "per_day"]), ("per_day", "multiply", ["daily", "days"]))),
+        (fp.inputs_of(("augmented", "currency_gbp", None), ("days", "number", None)), fp.steps_of(("each", "divide", ["augmented", "days"]), ("short", "round", ["each", "1"]))),
+        (fp.inputs_of(("profits", "currency_gbp", None)), fp.steps_of(("a", "add", ["b", "profits"]), ("b", "add", ["a", "1"]))),
+        (fp.inputs_of(("profits", "currency_gbp", None)), fp.steps_of(("a", "add", ["losses", "profits"])))]
+    pick = lambda k: F.element_at(F.array(*[d[k] for d in kinds]), (n % len(kinds) + 1).cast("int"))
+    return read_table(spark, path, "nation").select(n.alias("formula_id"), pick(0).alias("inputs"), pick(1).alias("steps"))
+
+
+def stored_formula_results(spark, path):
+    """Every order asks the formula of a nation: seven kinds in one job, with what cannot be worked out as error rows."""
+    days = (F.col("o_custkey") % 30 - 10).cast("double")
+    asked = read_table(spark, path, "orders").select(
+        F.col("o_orderkey").alias("request_id"), F.when(F.col("o_orderkey") % 11 == 0, F.lit(99)).otherwise(F.col("o_custkey") % 25).cast("int").alias("formula_id"),
+        F.map_filter(F.create_map(F.lit("profits"), F.col("o_totalprice"), F.lit("augmented"), F.col("o_totalprice") + 10000, F.lit("days"), days),
+                     lambda k, v: (k != "days") | (F.col("o_orderpriority") != "5-LOW")).alias("given"))
+    ran = fp.run_formulas(asked, fp.compile_formulas(_definitions(spark, path)))
+    return ran.select("request_id", "formula_id", F.round("result", 6).alias("result"), "error")
+
+
+def formula_checks(spark, path):
+    """What each stored formula returns, and why it cannot be worked out."""
+    return fp.compile_formulas(_definitions(spark, path)).select("formula_id", "result", "error", F.size("program").alias("placed"))
+
+
+def formula_steps(spark, path):
+    return fp.explain_formulas(_definitions(spark, path))
+
+
+_STORED_SQL = """WITH a AS (SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 11 = 0 THEN 99 ELSE o_custkey % 25 END AS f, o_totalprice AS p, o_totalprice + 10000 AS g,
+  CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_custkey % 30 - 10 AS DOUBLE) END AS d FROM orders),
+b AS (SELECT *, CAST(f AS DOUBLE) AS n, CASE WHEN f = 99 THEN 7 ELSE f % 7 END AS k FROM a)
+SELECT request_id, CAST(f AS INT) AS formula_id, round(CASE k WHEN 0 THEN greatest(200000 + n * 10000 - g, 0) * (p / g) * (CAST(3 AS DOUBLE) / 200)
+    WHEN 1 THEN greatest(least(p, 100000 + n * 5000) - 50000, 0) * 20 / 100 + greatest(p - (100000 + n * 5000), 0) * 40 / 100 WHEN 2 THEN p * n / 100
+    WHEN 3 THEN CASE WHEN d > 0 THEN 100 + n * d WHEN d <= 0 THEN 0 END WHEN 4 THEN CASE WHEN d <> 0 THEN sign(g / d) * floor(abs(g / d) * 10 + 0.5) / 10 END END, 6) AS result,
+  CASE k WHEN 3 THEN CASE WHEN d IS NULL THEN 'no value for days' END WHEN 4 THEN CASE WHEN d IS NULL THEN 'no value for days' WHEN d = 0 THEN 'division by zero: each' END
+    WHEN 5 THEN 'circular steps: a, b' WHEN 6 THEN 'unknown operand: losses' WHEN 7 THEN 'unknown formula' END AS error FROM b"""
+_CHECKS_SQL = """SELECT n_nationkey AS formula_id, ['relief', 'tax', 'tax', 'penalty', 'short', NULL, 'a'][n_nationkey % 7 + 1] AS result,
+  CASE n_nationkey % 7 WHEN 5 THEN 'circular steps: a, b' WHEN 6 THEN 'unknown operand: losses' END AS error, CAST([5, 1, 1, 3, 2, 0, NULL][n_nationkey % 7 + 1] AS INT) AS placed FROM nation"""
+_STEPS_ROWS_SQL = """SELECT n_nationkey AS formula_id, CAST(i AS INT) AS step_no, result, operation, operands FROM nation JOIN (VALUES
+  (0, 0, 'relief', 'multiply', 'product|3/200'), (0, 1, 'product', 'multiply', 'excess|ratio'), (0, 2, 'ratio', 'divide', 'profits|augmented'), (0, 3, 'excess', 'maximum', 'difference|0'),
+  (0, 4, 'difference', 'subtract', 'upper_limit|augmented'), (1, 0, 'tax', 'banded', 'profits'), (2, 0, 'tax', 'percent', 'profits|rate'), (3, 0, 'penalty', 'if_above', 'days|0|total|0'),
+  (3, 1, 'total', 'add', 'base|per_day'), (3, 2, 'per_day', 'multiply', 'daily|days'), (4, 0, 'each', 'divide', 'augmented|days'), (4, 1, 'short', 'round', 'each|1'),
+  (5, 0, 'a', 'add', 'b|profits'), (5, 1, 'b', 'add', 'a|1'), (6, 0, 'a', 'add', 'losses|profits')) AS v(k, i, result, operation, operands) ON k = n_nationkey % 7"""
+
+
 # --- vector search -------------------------------------------------------------------------------------------------------
 
 def nearest_vectors(spark, path):
@@ -181,6 +238,9 @@ SELECT o_orderkey AS request_id, result FROM orders LEFT JOIN f ON t = o_custkey
     "deadline_dates": (deadline_dates, _DEADLINE_SQL),
     "condition_evaluations": (condition_evaluations, _EVAL_SQL),
     "formula_results": (formula_results, _FORMULA_SQL),
+    "stored_formula_results": (stored_formula_results, _STORED_SQL),
+    "formula_checks": (formula_checks, _CHECKS_SQL),
+    "formula_steps": (formula_steps, _STEPS_ROWS_SQL),
     "nearest_vectors": (nearest_vectors, _nearest_sql("true", 10, True)),
     "nearest_vectors_filtered": (nearest_vectors_filtered, _nearest_sql("e.label = 1", 5, False)),
 }
