@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from guidemill.operators import formula_program as fp
-from guidemill.operators import lookup, similarity
+from guidemill.operators import lookup, similarity, vector_index
 from guidemill.sources.tables import read_table, spread
 
 # --- table lookups: customers hold a five-band price table, orders ask it -------------------------------
@@ -220,6 +220,23 @@ def nearest_vectors_filtered(spark, path):
     return n.select(F.col("query_id").cast("bigint").alias("label"), "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+def _asking(v):
+    return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def vector_search_exact(spark, path):
+    """Ten nearest vectors of every fiftieth vector, itself among them, by comparing all."""
+    v = spread(read_table(spark, path, "embeddings"), "vec_id")
+    return vector_index.search_exact(v, _asking(v)).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def vector_search(spark, path):
+    """Same through the index, over the vectors of the labels up to 5; a higher label counts a little more in the rerank score."""
+    v = spread(read_table(spark, path, "embeddings"), "vec_id")
+    index = vector_index.build_index(v)
+    return vector_index.search(index, v, _asking(v), where=F.col("label") <= 5, rerank=F.col("score") + F.col("label") * 0.001)
+
+
 def _nearest_sql(where: str, k: int, score: bool) -> str:
     return f"""WITH x AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i) GROUP BY 1, 2),
 q AS (SELECT label, list(m ORDER BY i) AS c FROM x GROUP BY 1),
@@ -243,4 +260,8 @@ SELECT o_orderkey AS request_id, result FROM orders LEFT JOIN f ON t = o_custkey
     "formula_steps": (formula_steps, _STEPS_ROWS_SQL),
     "nearest_vectors": (nearest_vectors, _nearest_sql("true", 10, True)),
     "nearest_vectors_filtered": (nearest_vectors_filtered, _nearest_sql("e.label = 1", 5, False)),
+    "vector_search_exact": (vector_search_exact, """SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10"""),
+    "vector_search": (vector_search, None),
 }
