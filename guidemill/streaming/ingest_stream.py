@@ -1,42 +1,36 @@
 """Run mode: ingest payload files as they arrive.
 
-A file source stream hands each micro-batch to the batch ingest.  Each batch writes one version: the documents
+A file source stream hands each micro-batch to the batch ingest.  Each batch publishes one version: the documents
 snapshot (one slim row a document), its outcomes, and only the chunks of documents that changed.  A document's
 current chunks are those of its latest version, so texts are written once and no batch overwrites what it
-reads.  A batch that is replayed after a failure writes the same version again, so the result does not change.
+reads.  The three appear together; a batch that is replayed after a failure finds its version published, or publishes it then.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from guidemill.plans import ingest
+from guidemill.plans.publish import Publication
 from guidemill.sources.payloads import source_rows
 
 PAYLOAD_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
 
 
-def _version(path: str, batch_id: int) -> str:
-    return f"{path}/version={batch_id}"
-
-
-def read_state(spark: SparkSession, path: str, batch_id: int, schema: str | T.StructType) -> DataFrame:
-    """Snapshot a batch starts from; the first batch starts from nothing."""
-    if batch_id <= 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_version(path, batch_id - 1))
-
-
 def latest_per_url(pages: DataFrame) -> DataFrame:
     """A page that arrives twice in a batch counts once, with its newest payload.
 
-    Rows without a url, such as unreadable payloads, all stay, so that each gets its outcome.
+    Rows without a url, such as unreadable payloads, all stay, so that each gets its outcome.  Only (url, date, hash) is compared, and
+    combined before the exchange, so the texts of a url that comes very often do not meet in one task; equal payloads come out once.
     """
-    order = Window.partitionBy("url").orderBy(F.desc_nulls_last("last_updated"), F.desc("content_key"))
-    keyed = pages.where(F.col("url").isNotNull()).withColumn("content_key", F.sha2("full_text", 256))
-    return pages.where(F.col("url").isNull()).unionByName(keyed.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn", "content_key"))
+    age = F.struct(F.col("last_updated").isNotNull(), F.col("last_updated"), F.coalesce(F.sha2("full_text", 256), F.lit("")).alias("key"), F.xxhash64(*[
+        F.to_json(F.struct(F.col(c))) for c in pages.columns if c not in ("url", "full_text", "last_updated")]).alias("rest"))
+    keyed = pages.where(F.col("url").isNotNull()).withColumn("_age", age)
+    newest = keyed.groupBy("url").agg(F.max("_age").alias("_age"))
+    once = keyed.join(newest, ["url", "_age"], "left_semi").dropDuplicates(["url", "_age"]).drop("_age")
+    return pages.where(F.col("url").isNull()).unionByName(once)
 
 
 DOCUMENT_DDL = (
@@ -48,23 +42,22 @@ DOCUMENT_DDL = (
 
 def ingest_batch(batch: DataFrame, batch_id: int, state: str, settings: ingest.IngestSettings = ingest.IngestSettings()) -> None:
     """One micro-batch: payloads to the next documents snapshot, the chunks that changed and the outcomes."""
-    spark = batch.sparkSession
+    store = Publication(batch.sparkSession, state)
+    if store.latest() > batch_id:  # replayed after it was published
+        return
     pages = ingest.pages_from_sources(source_rows(batch.withColumnRenamed("value", "raw"), "raw"))
     pages = latest_per_url(pages).withColumn("input_idx", F.monotonically_increasing_id())
-    stored = read_state(spark, f"{state}/documents", batch_id, DOCUMENT_DDL)
+    stored = store.read("documents", batch_id, DOCUMENT_DDL).drop("version", "attempt")
     done = ingest.process(pages, stored, settings, materialize=True)
-    ingest.next_documents(stored, done, F.current_timestamp()).write.mode("overwrite").parquet(_version(f"{state}/documents", batch_id))
-    ingest.new_chunks(done).write.mode("overwrite").parquet(_version(f"{state}/chunks", batch_id))
-    ingest.outcomes(done).write.mode("overwrite").parquet(_version(f"{state}/outcomes", batch_id))
+    store.publish({"documents": ingest.next_documents(stored, done, F.current_timestamp()), "outcomes": ingest.outcomes(done)}, batch_id, append={"chunks": ingest.new_chunks(done)})
 
 
 def current_chunks(spark: SparkSession, state: str, batch_id: int | None = None) -> DataFrame:
     """Chunks as of a batch (default: the last one): per document those of its latest version."""
-    chunks = spark.read.parquet(f"{state}/chunks")
-    if batch_id is not None:
-        chunks = chunks.where(F.col("version") <= batch_id)
+    store = Publication(spark, state)
+    chunks = store.read("chunks", store.latest() if batch_id is None else batch_id + 1)
     latest = chunks.groupBy("document_id").agg(F.max("version").alias("version"))
-    return chunks.join(latest, ["document_id", "version"], "left_semi")
+    return chunks.join(latest, ["document_id", "version"], "left_semi").drop("attempt")
 
 
 def compact_chunks(spark: SparkSession, state: str, target: str) -> None:

@@ -241,14 +241,14 @@ def test_stream_run_mode(spark, tmp_path):
     (src / "2.json").write_text(payload("/a", f"<h1>A</h1><p>{LONG} changed</p>") + "\n" + payload("/b", f"<p>{LONG}</p>"))
     q = ingest_stream.start(spark, str(src), state, check)
     q.awaitTermination(120)
-    out = {r.url[-1]: r.action for r in spark.read.parquet(state + "/outcomes/version=1").collect()}
+    out = {r.url[-1]: r.action for r in spark.read.parquet(state + "/outcomes/version=2").collect()}
     assert out == {"a": "updated", "b": "skipped"}
-    assert spark.read.parquet(state + "/documents/version=1").count() == 2
-    assert spark.read.parquet(state + "/chunks/version=1").where("content like '%changed%'").count() == 1
+    assert spark.read.parquet(state + "/documents/version=2").count() == 2
+    assert spark.read.parquet(state + "/chunks/version=2").where("content like '%changed%'").count() == 1
     first = {r.source_url[-1]: r.content for r in ingest_stream.current_chunks(spark, state, 0).collect()}
     last = {r.source_url[-1]: r.content for r in ingest_stream.current_chunks(spark, state).collect()}
     assert set(first) == set(last) == {"a", "b"} and first["b"] == last["b"]
     assert "changed" in last["a"] and "changed" not in first["a"]
-    assert {r.source_url[-1] for r in spark.read.parquet(state + "/chunks/version=1").collect()} == {"a"}  # only what changed
+    assert {r.source_url[-1] for r in spark.read.parquet(state + "/chunks/version=2").collect()} == {"a"}  # only what changed
     ingest_stream.compact_chunks(spark, state, str(tmp_path / "flat"))
     assert spark.read.parquet(str(tmp_path / "flat")).count() == len(last)
