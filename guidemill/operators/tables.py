@@ -22,9 +22,7 @@ _TH = r"(?is)<th\b[^>]*>(.*?)(?=</t[dh]\s*>|<t[dh]\b|\z)"
 _THEAD = r"(?is)<thead\b[^>]*>(.*?)(?=</thead|<tbody|\z)"
 _TBODY = r"(?is)<tbody\b[^>]*>(.*?)(?=</tbody|</table|\z)"
 _TABLE_TAG = r"(?i)</?table\b[^>]*>"
-_INNER = r"(?is)<table\b[^>]*>(?:(?!<table\b).)*?</table\s*>"
 _HIDDEN = r"(?s)<!--.*?-->|(?i)<script\b.*?</script\s*>"
-INNER_LEVELS = 4  # levels of tables inside a table that are taken out of its cells
 
 
 def has_tables(html: Column) -> Column:
@@ -131,17 +129,26 @@ def readable_text(headers_: Column, rows: Column, name: Column) -> Column:
 
 
 def table_blocks(html: Column) -> Column:
-    """Markup of every table, inner ones included, in order of their start; a table never closed runs to the end.
+    """(block, own) of every table, inner ones included, in order of their start; a table never closed runs to the end.
 
-    Comments and scripts hold no tables.
+    ``own`` is the markup without the tables inside its cells, which are tables of their own, at any depth.  Comments and scripts
+    hold no tables.
     """
     def blocks(text: Column) -> Column:
         def nested(marks: Column) -> Column:
             def located(depth: Column) -> Column:
                 def block(m: Column, i: Column) -> Column:
-                    close = F.array_position(F.slice(depth, i + 2, F.size(depth)), F.get(depth, i) - 1).cast("int")
+                    level = F.get(depth, i)
+                    close = F.array_position(F.slice(depth, i + 2, F.size(depth)), level - 1).cast("int")
+                    last = F.when(close > 0, i + close - 1).otherwise(F.size(depth) - 1)  # the last mark before the closing one
                     end = F.when(close > 0, F.get(marks, i + close)["end"]).otherwise(F.length(text))
-                    return F.when(~m["hit"].startswith("</"), window(text, m["start"], end))
+                    # Text behind a mark that leaves this table's own level open is the table's own.
+                    behind = F.filter(F.sequence(i, last), lambda k: F.get(depth, k) == level)
+                    pieces = F.transform(behind, lambda k: window(
+                        text, F.when(k == i, m["start"]).otherwise(F.get(marks, k)["end"]), F.when(k == last, end).otherwise(F.get(marks, k + 1)["start"])))
+                    whole = window(text, m["start"], end)
+                    own = F.when(last > i, F.array_join(pieces, " ")).otherwise(whole)
+                    return F.when(~m["hit"].startswith("</"), F.struct(whole.alias("block"), own.alias("own")))
 
                 return F.array_compact(F.transform(marks, block))
 
@@ -150,24 +157,15 @@ def table_blocks(html: Column) -> Column:
 
         return let(spans(text, _TABLE_TAG), nested)
 
-    return F.when(has_tables(html), let(F.regexp_replace(html, _HIDDEN, ""), blocks)).otherwise(empty_array("string"))
-
-
-def own_markup(block: Column) -> Column:
-    """A table without the tables inside its cells; they are tables of their own."""
-    opening = F.regexp_extract(block, r"(?is)^<table\b[^>]*>", 0)
-    inner = F.substring(block, F.length(opening) + 1, F.length(block))
-    for _ in range(INNER_LEVELS):
-        inner = F.regexp_replace(inner, _INNER, " ")
-    return F.when(F.regexp_count(block, F.lit(r"(?i)<table\b")) > 1, F.concat(opening, inner)).otherwise(block)
+    return F.when(has_tables(html), let(F.regexp_replace(html, _HIDDEN, ""), blocks)).otherwise(empty_array("struct<block:string,own:string>"))
 
 
 def tables(html: Column, year: Column) -> Column:
     """All tables of a page that have headers and rows, with their position; see :func:`decode_entities` for entities."""
     title = literal_map(fv.TABLE_TITLES)
 
-    def build(block: Column, i: Column) -> Column:
-        return let(own_markup(block), lambda own: from_markup(own, block, i))
+    def build(found: Column, i: Column) -> Column:
+        return from_markup(found["own"], found["block"], i)
 
     def from_markup(own: Column, block: Column, i: Column) -> Column:
         def with_headers(hs: Column) -> Column:

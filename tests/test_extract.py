@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from guidemill.functions import values
@@ -232,3 +234,14 @@ def test_lists_stay_whole(texts):
     holding = [p for p in pieces if "(a) condition" in p]
     assert len(holding) == 1 and all(f"({c}) condition" in holding[0] for c in "abcde")
     assert len(pieces) == 2 or len(pieces) == 3
+
+
+@pytest.mark.parametrize("levels", [2, 5, 6, 8])
+def test_tables_inside_tables_at_any_depth(spark, levels):
+    """Each table has its own header and row, whatever lies in its cells."""
+    inner = ""
+    for k in reversed(range(levels)):
+        inner = f"<table><tr><th>Head {k}</th><th>Rate</th></tr><tr><td>Row {k} {inner}</td><td>{k}%</td></tr></table>"
+    page = spark.createDataFrame([(1, f"<p>x</p>{inner}<table><tr><th>After</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table>")], "doc_id int, html string")
+    rows = tables.table_rows(page, ["doc_id"]).orderBy("item_no").collect()
+    assert [(r["headers"][0], [[c["raw"] for c in row] for row in r["rows"]]) for r in rows] == [(f"Head {k}", [[f"Row {k}", f"{k}%"]]) for k in range(levels)] + [("After", [["1", "2"]])]
