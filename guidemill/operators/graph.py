@@ -143,6 +143,14 @@ def unresolved(edges: DataFrame) -> DataFrame:
     return edges.where(~F.col("is_resolved"))
 
 
+def edge_ends(edges: DataFrame) -> DataFrame:
+    """Number of chunks that refer to others, and of chunks that are referred to."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.lit("outgoing").alias("direction"), F.col("source_chunk_id").alias("chunk_id")),
+        F.struct(F.lit("incoming").alias("direction"), F.when(F.col("is_resolved"), F.col("target_chunk_id")).alias("chunk_id")))).alias("e")).select("e.*")
+    return ends.where(F.col("chunk_id").isNotNull()).distinct().groupBy("direction").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 def delete_for_chunks(edges: DataFrame, chunk_ids: DataFrame) -> DataFrame:
     """Edges that neither start nor end at one of the chunks."""
     ids = chunk_ids.select("chunk_id").distinct()

@@ -5,7 +5,7 @@ Messages: session_id, user_id, turn, role, content.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,14 @@ def history(messages: DataFrame) -> DataFrame:
 def without_session(messages: DataFrame, session_rows: DataFrame) -> DataFrame:
     """Messages that name no known session and so start a new one."""
     return messages.join(session_rows.select("session_id"), "session_id", "left_anti")
+
+
+def append_messages(messages: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """The messages with new ones (session_id, user_id, seq, role, content) behind the last turn of their session, in the order of ``seq``.
+
+    A session that is not known starts at turn 0.  Rows without a session are dropped; equal ``seq`` are ordered by role and content.
+    """
+    last = messages.groupBy("session_id").agg(F.max("turn").alias("_last"))
+    order = Window.partitionBy("session_id").orderBy("seq", "role", "content")
+    fresh = arrivals.where(F.col("session_id").isNotNull()).withColumn("_n", F.row_number().over(order)).join(last, "session_id", "left")
+    return messages.unionByName(fresh.withColumn("turn", F.coalesce(F.col("_last"), F.lit(-1)) + F.col("_n")).select(*messages.columns))
