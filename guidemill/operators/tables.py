@@ -138,17 +138,21 @@ def table_blocks(html: Column) -> Column:
         def nested(marks: Column) -> Column:
             def located(depth: Column) -> Column:
                 def block(m: Column, i: Column) -> Column:
-                    level = F.get(depth, i)
-                    close = F.array_position(F.slice(depth, i + 2, F.size(depth)), level - 1).cast("int")
-                    last = F.when(close > 0, i + close - 1).otherwise(F.size(depth) - 1)  # the last mark before the closing one
-                    end = F.when(close > 0, F.get(marks, i + close)["end"]).otherwise(F.length(text))
-                    # Text behind a mark that leaves this table's own level open is the table's own.
-                    behind = F.filter(F.sequence(i, last), lambda k: F.get(depth, k) == level)
-                    pieces = F.transform(behind, lambda k: window(
-                        text, F.when(k == i, m["start"]).otherwise(F.get(marks, k)["end"]), F.when(k == last, end).otherwise(F.get(marks, k + 1)["start"])))
-                    whole = window(text, m["start"], end)
-                    own = F.when(last > i, F.array_join(pieces, " ")).otherwise(whole)
-                    return F.when(~m["hit"].startswith("</"), F.struct(whole.alias("block"), own.alias("own")))
+                    def closed(at: Column) -> Column:
+                        # Text behind a mark that leaves this table's own level open is the table's own.
+                        behind = F.filter(F.sequence(i, at["last"]), lambda k: F.get(depth, k) == F.get(depth, i))
+                        pieces = F.transform(behind, lambda k: window(
+                            text, F.when(k == i, m["start"]).otherwise(F.get(marks, k)["end"]), F.when(k == at["last"], at["end"]).otherwise(F.get(marks, k + 1)["start"])))
+                        return let(window(text, m["start"], at["end"]), lambda whole: F.struct(
+                            whole.alias("block"), F.when(at["last"] > i, F.array_join(pieces, " ")).otherwise(whole).alias("own")))
+
+                    def ended(close: Column) -> Column:
+                        return let(F.struct(
+                            F.when(close > 0, i + close - 1).otherwise(F.size(depth) - 1).alias("last"),  # the last mark before the closing one
+                            F.when(close > 0, F.get(marks, i + close)["end"]).otherwise(F.length(text)).alias("end")), closed)
+
+                    close = F.array_position(F.slice(depth, i + 2, F.size(depth)), F.get(depth, i) - 1).cast("int")
+                    return F.when(~m["hit"].startswith("</"), let(close, ended))
 
                 return F.array_compact(F.transform(marks, block))
 
