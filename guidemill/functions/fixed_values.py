@@ -438,3 +438,13 @@ FORMULA_LABELS = ["marginal_relief", "tax_calculation", "penalty_calculation", "
 # --- fixed values: allowed values of stored columns ---------------------------------------------------------
 AUTHORITIES = ["GOV_UK", "HMRC_MANUAL", "UK_LEGISLATION", "COMPANIES_HOUSE", "ACAS", "OTHER_OFFICIAL"]
 REFERENCE_STRENGTHS = ["required", "recommended", "optional"]
+
+# Fields of a vector-store row, in order, and what stands for an empty one.
+VECTOR_ROW_FIELDS = [
+    "document_id", "source_url", "source_authority", "section_title", "heading_path", "section_id", "paragraph_number", "citable_reference",
+    "topic_primary", "topic_secondary", "business_types", "content_type", "service_category", "reliability_tier", "tax_year", "publication_date",
+    "threshold_values", "keywords", "form_references", "applies_to_tax_years", "has_outgoing_references", "has_incoming_references",
+    "contains_table", "contains_formula", "contains_decision_tree", "contains_deadline", "contains_example", "contains_contact",
+    "structured_content_types", "requires_professional_advice", "deadline_sensitive", "penalty_relevant", "chunk_index",
+]
+VECTOR_ROW_DEFAULTS = {"topic_primary": "Other", "content_type": "factual", "service_category": "none"}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["chunking", "extraction", "page_content", "reference_graph", "ingestion", "run_rows", "storage", "store_rounds", "history", "rules", "changes"]
+GROUPS = ["chunking", "extraction", "page_content", "reference_graph", "ingestion", "run_rows", "storage", "store_rounds", "history", "rules", "changes", "maintained"]
 
 
 def all_queries() -> dict:
