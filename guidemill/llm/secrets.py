@@ -2,8 +2,9 @@
 
 The values found by the base patterns are labelled credentials.  Per kind their prefix tree is built over
 character classes, and states whose continuations are statistically compatible (Hoeffding bound) are merged into
-a probabilistic automaton.  Ordinary tokens give one more automaton.  Every remaining token is scored by its
-likelihood per symbol under each credential format against the ordinary one.
+a probabilistic automaton.  Ordinary tokens give two more automata, one for those with a digit and one for those without.  Every remaining token is scored by its
+likelihood per symbol under each credential format against the ordinary ones.  Every token of eight or more characters
+of the credential alphabet is such a candidate, with or without a digit and of any length.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from statistics import mean, pstdev
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +27,13 @@ LEARNED = "learned"
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # maximal runs, as [0-9a-f]+ takes them, of enough length
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 DIGIT = re.compile(r"[0-9]")
-FIT_LENGTH = 256
+ORDINARY = ("with_digit", "without_digit")
+FIT_VALUES, FIT_SYMBOLS = 1000, 1 << 18  # an automaton is fitted on no more values and symbols
+KNOWN_TOKENS = 200_000
+_CLASSES = str.maketrans({c: sign for signs in (("h", "abcdef"), ("l", "ghijklmnopqrstuvwxyz"), ("U", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("d", "0123456789"))
+                          for sign in signs[0] for c in signs[1]})
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -37,26 +44,25 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def candidates(text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Tokens of 12 or more characters with a digit that no base span touches."""
+def candidates(text: str, base: list[tuple[str, int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, token) of the tokens that no base span touches."""
     taken: list[list[int]] = []
     for _, s, e, _ in base:
         if taken and s <= taken[-1][1]:
             taken[-1][1] = max(taken[-1][1], e)
         else:
             taken.append([s, e])
-    found, at = [], 0
+    at = 0
     for m in TOKEN.finditer(text):
         while at < len(taken) and taken[at][1] <= m.start():
             at += 1
-        if DIGIT.search(m[0]) and not (at < len(taken) and taken[at][0] < m.end()):
-            found.append((m.start(), m.end(), m[0]))
-    return found
+        if not (at < len(taken) and taken[at][0] < m.end()):
+            yield m.start(), m.end(), m[0]
 
 
 def symbols(value: str) -> str:
     """Character classes: a-f, other lower case, upper case, digit; any other character stands for itself."""
-    return "".join("h" if "a" <= c <= "f" else "l" if "g" <= c <= "z" else "U" if "A" <= c <= "Z" else "d" if "0" <= c <= "9" else c for c in value)
+    return value.translate(_CLASSES)
 
 
 class Automaton:
@@ -165,10 +171,10 @@ class Formats:
     """Automata of the credential kinds and of ordinary tokens, with the likelihood each kind must reach.
 
     A token is a credential if it lies within three deviations of the labelled values of a kind, and its whole
-    likelihood exceeds the ordinary one by ``margin`` (a natural logarithm).  Ordinary tokens may hold some unlabelled credentials.
+    likelihood exceeds the ordinary ones by ``margin`` (a natural logarithm).  Ordinary tokens may hold some unlabelled credentials.
     """
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], margin: float = 2.0):
+    def __init__(self, labelled: dict[str, list[str]], ordinary: list[list[str]], margin: float = 2.0):
         self.margin = margin
         self.kinds = {}
         for kind, values in labelled.items():
@@ -176,71 +182,124 @@ class Formats:
                 automaton = infer(values)
                 scores = [automaton.likelihood(symbols(v)) for v in values]
                 self.kinds[kind] = (automaton, mean(scores) - 3 * pstdev(scores))
-        self.ordinary = infer(ordinary) if ordinary else None
+        self.ordinary = [infer(values) for values in ordinary if values]
+        self.known: dict[str, bool] = {}
+
+    def _exceeds(self, text: str) -> bool:
+        likely = [s for a, floor in self.kinds.values() for s in [a.likelihood(text)] if s >= floor]
+        if not likely:
+            return False
+        usual = max((a.likelihood(text) for a in self.ordinary), default=math.log(1 / 26))
+        return (max(likely) - usual) * (len(text) + 1) >= self.margin
 
     def is_credential(self, value: str) -> bool:
+        """The judgement of a character-class string is kept for later tokens, in bounded memory."""
         text = symbols(value)
-        usual = self.ordinary.likelihood(text) if self.ordinary else math.log(1 / 26)
-        return any(s >= floor and (s - usual) * (len(text) + 1) >= self.margin for a, floor in self.kinds.values() for s in [a.likelihood(text)])
+        found = self.known.get(text)
+        if found is None:
+            found = self._exceeds(text)
+            if len(text) <= 64:
+                if len(self.known) >= KNOWN_TOKENS:
+                    self.known.clear()
+                self.known[text] = found
+        return found
 
+    def learned_spans(self, text: str, base: list[tuple[str, int, int, str]]) -> list[tuple[int, int]]:
+        if not self.kinds or not any(map(self.is_credential, set(TOKEN.findall(text)))):
+            return []
+        return [(s, e) for s, e, v in candidates(text, base) if self.is_credential(v)]
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base array<kind,start,end,value>, tokens array<start,end,value>) of every whole text."""
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
-    token = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 
-    def run(texts):
-        base = [base_spans(t) for t in texts]
-        rest = [candidates(t, b) for t, b in zip(texts, base)]
-        return [pa.array([[dict(zip(("kind", "start", "end", "value"), s)) for s in b] for b in base], span),
-                pa.array([[dict(zip(("start", "end", "value"), c)) for c in r] for r in rest], token)]
+class Smallest:
+    """Distinct values in the order of their hash, as many as the fitting takes; the rest is let go at once.
+
+    Values longer than a sixteenth of the symbols are left out, so that ten values can always be held.
+    """
+
+    def __init__(self, most: int = FIT_VALUES, most_symbols: int = FIT_SYMBOLS):
+        self.most, self.most_symbols = most, most_symbols
+        self.held: dict[str, int] = {}
+        self.cut, self.size = 1 << 64, 0
+
+    def add(self, value: str) -> None:
+        rank = xxhash.xxh64_intdigest(value) >> 1
+        if rank <= self.cut and value not in self.held and len(value) <= self.most_symbols // 16:
+            self.held[value] = rank
+            self.size += len(value)
+            if len(self.held) > 2 * self.most or self.size > 2 * self.most_symbols:
+                self.first()
+
+    def first(self) -> list[tuple[int, str]]:
+        """Hash and value of those taken, by hash."""
+        kept, total = [], 0
+        for rank, value in sorted((rank, value) for value, rank in self.held.items()):
+            if len(kept) == self.most or total + len(value) > self.most_symbols:
+                self.cut = rank
+                break
+            kept.append((rank, value))
+            total += len(value)
+        self.held, self.size = {value: rank for rank, value in kept}, total
+        return kept
+
+
+def sample_values(docs: DataFrame, text_col: str, most: int = FIT_VALUES, most_symbols: int = FIT_SYMBOLS) -> DataFrame:
+    """(kind, rank, value): per task the first values by hash of each credential kind and of ordinary tokens, from all whole texts."""
 
-    return map_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text",
-                    "base array<struct<kind:string,start:int,end:int,value:string>>, tokens array<struct<start:int,end:int,value:string>>", run)
+    def run(batches):
+        held = {k: Smallest(most, most_symbols) for k in (*KINDS, *ORDINARY)}
+        for batch in batches:
+            for text in batch.column(text_col).to_pylist():
+                base = base_spans(text or "")
+                for kind, _, _, value in base:
+                    held[kind].add(value)
+                for value in {v for _, _, v in candidates(text or "", base)}:
+                    held[ORDINARY[0] if DIGIT.search(value) else ORDINARY[1]].add(value)
+        rows = [(k, rank, value) for k, s in held.items() for rank, value in s.first()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.int64(), pa.string()))], names=["kind", "rank", "value"])
 
+    return docs.select(text_col).mapInArrow(run, "kind string, rank long, value string")
 
-def _smallest(values: DataFrame, bound: int) -> list[str]:
-    """A bounded sample of distinct values, chosen by their hash."""
-    rows = values.where(F.length("value") <= FIT_LENGTH).distinct().orderBy(F.xxhash64("value"), "value").limit(bound).collect()
-    return [r["value"] for r in rows]
 
+def fit_formats(docs: DataFrame, text_col: str = "text", most: int = FIT_VALUES, most_symbols: int = FIT_SYMBOLS) -> Formats:
+    """Infer the automata from at most ``most`` distinct values and ``most_symbols`` characters per kind, first by hash over all texts."""
+    samples = materialize(sample_values(docs, text_col, most, most_symbols), "secret-values")
 
-def fit_formats(found: DataFrame, bound: int = 1000) -> Formats:
-    """Infer the automata from at most ``bound`` distinct values of up to 256 characters per kind."""
-    base = found.select(F.explode("base").alias("s")).select("s.kind", "s.value")
-    labelled = {k: _smallest(base.where(F.col("kind") == k).select("value"), bound) for k in KINDS}
-    return Formats(labelled, _smallest(found.select(F.explode("tokens").alias("s")).select("s.value"), bound))
+    def first(kind: str) -> list[str]:
+        last = Smallest(most, most_symbols)
+        for r in samples.where(F.col("kind") == kind).select("rank", "value").distinct().orderBy("rank", "value").limit(most).collect():
+            last.add(r["value"])
+        return [value for _, value in last.first()]
 
+    return Formats({k: first(k) for k in KINDS}, [first(k) for k in ORDINARY])
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = 1000) -> DataFrame:
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = FIT_VALUES) -> DataFrame:
     """(id, base, learned): base spans and spans of learned formats as array<struct<kind,start,end>>.
 
-    One row per input row; a null or empty text has no spans.  Texts are read once; fitting and scoring work
-    on the tokens found.  Without at least ten labelled credentials of a kind no format is learned for it.
+    One row per input row; a null or empty text has no spans.  Texts are read twice, to fit and to score; no token is
+    stored between.  Without at least ten labelled credentials of a kind no format is learned for it.
     """
-    found = materialize(find_spans(docs, id_col, text_col), "secrets")
-    formats = fit_formats(found, bound)
-    kept = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    fields = "array<struct<kind:string,start:int,end:int>>"
+    formats = fit_formats(docs, text_col, most)
+    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    names = ("kind", "start", "end")
 
-    def run(batches):
-        for batch in batches:
-            learned = [[{"kind": LEARNED, "start": t["start"], "end": t["end"]} for t in row or [] if formats.is_credential(t["value"])] for row in batch.column("tokens").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("base"), pa.array(learned, kept)], names=["id", "base", "learned"])
+    def run(texts):
+        base = [base_spans(t) for t in texts]
+        learned = [formats.learned_spans(t, b) for t, b in zip(texts, base)]
+        return [pa.array([[dict(zip(names, s)) for s in b] for b in base], span), pa.array([[dict(zip(names, (LEARNED, *s))) for s in found] for found in learned], span)]
 
-    id_type = found.schema["id"].dataType.simpleString()
-    slim = found.select("id", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"), "tokens")
-    return slim.mapInArrow(run, f"id {id_type}, base {fields}, learned {fields}")
+    fields = "array<struct<kind:string,start:int,end:int>>"
+    return map_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", f"base {fields}, learned {fields}", run)
 
 
-def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", bound: int = 1000, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", most: int = FIT_VALUES, mark: str = "[secret]") -> DataFrame:
     """The documents with every span of the scan replaced by ``mark``; overlapping spans give one mark."""
-    formats = fit_formats(materialize(find_spans(docs, id_col, text_col), "secrets"), bound)
+    formats = fit_formats(docs, text_col, most)
     order = docs.columns
 
     def clean(text: str) -> str:
         base = base_spans(text)
-        spans = sorted([(s, e) for _, s, e, _ in base] + [(s, e) for s, e, v in candidates(text, base) if formats.is_credential(v)])
+        spans = sorted([(s, e) for _, s, e, _ in base] + formats.learned_spans(text, base))
         parts, at = [], 0
         for s, e in spans:
             if s >= at:

@@ -99,6 +99,58 @@ def test_learned_formats_find_unlabelled_credentials(spark):
     assert all(h not in r["text"] for r in clean for h in hexes[:50]) and all("example.com" in r["text"] for r in clean)
 
 
+@pytest.mark.parametrize("letters, length", [("ABCDEFGHXYZabcdefghxyz", 9), ("QRSTUVWXYZqrstuvwxyz+/0123456789", 700)])
+def test_formats_without_digits_and_long_ones(spark, letters, length):
+    """Candidates are scored whatever their length and signs; plain words beside them stay."""
+    from guidemill.llm import secrets
+
+    rng = np.random.default_rng(3)
+    values = ["".join(rng.choice(list(letters), length)) for _ in range(60)]
+    syllables = ["mea", "sure", "ment", "con", "sid", "ered", "beau", "ti", "ful", "ground", "ever", "thing"]  # strays are few among many ordinary words, as in prose
+    words = sorted({"".join(rng.choice(syllables, 4)) for _ in range(400)}) + [f"invoice-{n}" for n in range(1000, 1100)] + ["2024-01-05"]
+    rows = [(i, f"{rng.choice(words)} token: {v} {rng.choice(words)}") for i, v in enumerate(values[:50])]
+    rows += [(100 + i, f"{rng.choice(words)} {v} {rng.choice(words)}") for i, v in enumerate(values[50:])] + [(200, None), (201, ""), (202, " ".join(words * 40))]
+    found = {r["id"]: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    learned = {i: [text[s["start"]: s["end"]] for s in found[i]["learned"]] for i, text in rows}
+    assert all(not learned[i] for i in (*range(50), 200, 201, 202)) and sum(learned[100 + k] == [values[50 + k]] for k in range(10)) >= 7  # some strays are in the ordinary sample too
+    assert all(set(learned[100 + k]) <= {values[50 + k]} for k in range(10))
+
+
+def test_learned_spans_by_brute_force(spark):
+    """All tokens scored one by one with automata of all values, without the sample per task and the kept judgements."""
+    from guidemill.llm import secrets
+
+    rng = np.random.default_rng(7)
+    token = lambda: "".join(rng.choice(list("abcdefxyzABXYZ0189-_"), rng.integers(6, 16)))
+    rows = [(i, " ".join(f"secret={token()}" if rng.random() < 0.2 else token() if rng.random() < 0.3 else "ordinary-word" for _ in range(12))) for i in range(80)]
+    base = {i: secrets.base_spans(t) for i, t in rows}
+    labelled = {k: sorted({s[3] for b in base.values() for s in b if s[0] == k}) for k in secrets.KINDS}
+    rest = {i: [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_.=-]{8,}", t) if all(m.end() <= s or m.start() >= e for _, s, e, _ in base[i])] for i, t in rows}
+    plain = sorted({v for r in rest.values() for _, _, v in r})
+    formats = secrets.Formats(labelled, [[v for v in plain if re.search("[0-9]", v)], [v for v in plain if not re.search("[0-9]", v)]])
+    want = {i: [(s, e) for s, e, v in r if formats._exceeds(secrets.symbols(v))] for i, r in rest.items()}
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert {r["id"]: [(s["start"], s["end"]) for s in r["learned"]] for r in got} == want and any(want.values())
+
+
+def test_bounded_values_do_not_depend_on_order():
+    from guidemill.llm.secrets import Smallest
+
+    rng = np.random.default_rng(5)
+    values = ["v" * int(rng.integers(1, 40)) + str(k) for k in range(3000)]
+    whole = Smallest(200, 3000)
+    for v in values + values[::-1]:
+        whole.add(v)
+    parts = [Smallest(200, 3000) for _ in range(4)]
+    for k, v in enumerate(rng.permutation(values)):
+        parts[k % 4].add(str(v))
+    merged = Smallest(200, 3000)
+    for p in parts:
+        for _, v in p.first():
+            merged.add(v)
+    assert merged.first() == whole.first() and sum(len(v) for _, v in whole.first()) <= 3000
+
+
 def test_packing_round_trip(spark, folder, base_docs):
     import tokenizers
 
