@@ -45,6 +45,12 @@ def runs(log: DataFrame) -> DataFrame:
     return base.join(wide, "run_id", "left").fillna(0, COUNTERS)
 
 
+def durations(run_rows: DataFrame) -> DataFrame:
+    """(run_id, status, duration_seconds): from the first event to the last final status; null while a run is not finished."""
+    seconds = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("completed_at")) / 1e6
+    return run_rows.select("run_id", "status", seconds.alias("duration_seconds"))
+
+
 def messages(log: DataFrame, kind: str = "error") -> DataFrame:
     """Errors or warnings of runs, long form."""
     return log.where(F.col("kind") == kind).select("run_id", "ts", "message", "url")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import strip
-from guidemill.operators import chunk, parse
+from guidemill.operators import chunk, merge_state, parse
 from guidemill.plans import extraction, ingest, runlog
 from guidemill.queries.base import GUIDANCE_CTE, documents, guidance
 from guidemill.queries import extraction as extraction_sql
@@ -171,6 +171,18 @@ def extraction_totals(spark, path):
     return extraction.run_totals(extraction.document_counts(extraction.extract(_with_metadata(spark, path)), "doc_id"))
 
 
+def extraction_totals_listed(spark, path):
+    """Run totals, formulas switched off."""
+    return extraction.run_totals(extraction_counts(spark, path))
+
+
+def document_years_and_forms(spark, path):
+    """Tax years and form codes of every document, merged from its chunks and sorted; documents with neither have no row."""
+    chunks = _with_metadata(spark, path).withColumn("codes", F.transform("forms", lambda f: f["code"]))
+    found = merge_state.merged_labels(merge_state.merge_state(chunks, ["doc_id"], "chunk_index", ("tax_years", "codes"), ()), ["doc_id"], ("tax_years", "codes"))
+    return found.select("doc_id", *[F.array_join(F.array_sort(c), "|").alias(n) for c, n in (("tax_years", "tax_years"), ("codes", "forms"))])
+
+
 def chunk_metadata_rows(spark, path):
     c = _with_metadata(spark, path)
     return c.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "topic_primary", "stored_content_type", "citable_reference",
@@ -192,6 +204,11 @@ _COUNTS_SQL = (f"WITH base AS ({_LEGAL} SELECT doc_id, count(*) AS chunks_create
                + ", ".join(_per_document(sql, n) for n, sql in _ITEM_SQL.items())
                + " SELECT doc_id, chunks_created, " + ", ".join(f"coalesce({n}, 0) AS {'references' if n == 'refs' else n}" for n in _ITEM_SQL).replace("AS references", 'AS "references"')
                + " FROM base " + " ".join(f"LEFT JOIN {n} USING (doc_id)" for n in _ITEM_SQL))
+_YEARS_FORMS_SQL = f"""WITH y AS (SELECT DISTINCT doc_id // 10000 AS doc_id, unnest(string_split(tax_years, '|')) AS v FROM ({extraction_sql._LABELS_SQL.replace(GUIDANCE_CTE, _CHUNK_G, 1)})),
+f AS (SELECT DISTINCT doc_id // 10000 AS doc_id, code FROM ({extraction_sql._FORMS_SQL.replace(GUIDANCE_CTE, _CHUNK_G, 1)})),
+ys AS (SELECT doc_id, string_agg(v, '|' ORDER BY v) AS tax_years FROM y WHERE v <> '' GROUP BY 1), fs AS (SELECT doc_id, string_agg(code, '|' ORDER BY code) AS forms FROM f GROUP BY 1)
+SELECT doc_id, coalesce(tax_years, '') AS tax_years, coalesce(forms, '') AS forms FROM ys FULL JOIN fs USING (doc_id)"""
+_TOTALLED = ["chunks_created", *('"references"' if n == "refs" else n for n in _ITEM_SQL)]
 _TOPIC_CASE = "CASE string_split(dl.topics, '|')[1] " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fv.TOPIC_LABELS.items()) + " END"
 _CHUNK_METADATA_SQL = f"""WITH lm AS ({_LEGAL} SELECT doc_id, n, content_type, citable_reference FROM lc), cl AS ({extraction_sql._LABELS_SQL.replace(GUIDANCE_CTE, _CHUNK_G, 1)}),
 dl AS ({extraction_sql._LABELS_SQL})
@@ -236,6 +253,10 @@ runs AS (SELECT r.run_id, st.status, started_at, completed_at, error_count,
   FROM r LEFT JOIN st USING (run_id))"""
 
 
+def run_durations(spark, path):
+    return runlog.durations(runlog.runs(_log(spark, path)))
+
+
 def run_error_messages(spark, path):
     return runlog.messages(_log(spark, path)).select("run_id", "message", "url")
 
@@ -277,9 +298,12 @@ FROM chunks c JOIN gat ON gat.url = c.doc_id
 UNION ALL SELECT url, 0, md5('old'), NULL, NULL FROM sto WHERE url NOT IN (SELECT url FROM cnt)"""),
     "extraction_counts": (extraction_counts, _COUNTS_SQL),
     "extraction_totals": (extraction_totals, None),
+    "extraction_totals_listed": (extraction_totals_listed, f"SELECT count(*) AS documents_processed, {', '.join(f'CAST(coalesce(sum({n}), 0) AS BIGINT) AS {n}' for n in _TOTALLED)} FROM ({_COUNTS_SQL})"),
+    "document_years_and_forms": (document_years_and_forms, _YEARS_FORMS_SQL),
     "chunk_metadata_rows": (chunk_metadata_rows, _CHUNK_METADATA_SQL),
     "run_states": (run_states, f"""WITH {_RUNS} SELECT run_id, status, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started,
   strftime(completed_at, '%Y-%m-%d %H:%M:%S') AS completed, documents_processed, chunks_created, error_count FROM runs"""),
+    "run_durations": (run_durations, f"WITH {_RUNS} SELECT run_id, status, date_diff('microsecond', started_at, completed_at) / 1e6 AS duration_seconds FROM runs"),
     "run_error_messages": (run_error_messages, f"WITH {_LOG_CTE} SELECT run_id, message, url FROM l WHERE kind = 'error'"),
     "run_page": (run_page, f"WITH {_RUNS} SELECT run_id, documents_processed FROM runs WHERE status = 'completed' ORDER BY started_at DESC, run_id LIMIT 5 OFFSET 5"),
     "latest_successful_runs": (latest_successful_runs, f"""WITH {_RUNS} SELECT CASE WHEN error_count > 10 THEN 'busy' ELSE 'calm' END AS source_type,
