@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD_BITS = 22
-FLUSH = 4_000_000  # windows that a task holds before it sends them
-BUCKET = 2_000_000  # windows per range of hashes, at most on average
+FLUSH = 1_000_000  # windows that a task holds before it sends them
+BUCKET = 1_000_000  # windows per range of hashes, at most on average
 _rng = np.random.default_rng(20)  # two odd 64-bit multipliers of the rolling hashes
 FACTORS = [int(x) | 1 for x in _rng.integers(1, 1 << 63, 2)]
 
@@ -56,7 +56,7 @@ def _cells(first: np.ndarray, second: np.ndarray, row: int, bits: int) -> np.nda
 
 def _squeeze(values: np.ndarray) -> bytes:
     """Bytes of equal rank next to each other, compressed."""
-    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
 
 
 def _expand(data: bytes, kind: str) -> np.ndarray:
