@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from guidemill.functions import fixed_values as fv
 from guidemill.operators.circles import circle_members  # noqa: F401  part of the graph's interface
 from guidemill.session import ensure_checkpoint_dir
+from guidemill.sources.tables import written
 
 
 def strength_rank(strength: Column) -> Column:
@@ -87,18 +88,16 @@ def crawl(edges: DataFrame, roots: DataFrame, failed: DataFrame | None = None, m
     ``edges`` has (source, target), ``roots`` and ``failed`` have ``node``.  Levels are added until no
     new node appears or ``max_nodes`` are held; order within a level is by node.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-
     def usable(nodes: DataFrame) -> DataFrame:
         return nodes if failed is None else nodes.join(failed.select("node"), "node", "left_anti")
 
-    frontier = usable(roots.select("node").distinct()).withColumn("level", F.lit(0)).checkpoint()
+    frontier = written(usable(roots.select("node").distinct()).withColumn("level", F.lit(0)), "frontier")
     reached, held = frontier, frontier.count()
     for level in count(1):
         if max_nodes and held >= max_nodes:
             break
         nxt = edges.join(frontier.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
-        frontier = usable(nxt.join(reached.select("node"), "node", "left_anti")).withColumn("level", F.lit(level)).checkpoint()
+        frontier = written(usable(nxt.join(reached.select("node"), "node", "left_anti")).withColumn("level", F.lit(level)), "frontier")
         added = frontier.count()
         if added == 0:
             break

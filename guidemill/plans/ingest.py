@@ -17,6 +17,7 @@ from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import explode_rows, literal_map
 from guidemill.operators import chunk
 from guidemill.session import ensure_checkpoint_dir
+from guidemill.sources.tables import written
 
 SKIP_EXISTING, UPDATE_IF_CHANGED, FORCE_UPDATE = "skip_existing", "update_if_changed", "force_update"
 
@@ -271,9 +272,11 @@ def manual_sources(sources: DataFrame, roots: DataFrame, max_sections: int | Non
     from guidemill.operators.graph import crawl
     from guidemill.sources.payloads import child_edges
 
-    found = sources.select(F.col("base_path").alias("node"))
-    edges = child_edges(sources).join(found.select(F.col("node").alias("target")), "target", "left_semi")
-    reached = crawl(edges.select("source", "target"), roots.join(found, "node", "left_semi"), max_nodes=max_sections)
+    # Payloads are parsed once for the whole crawl, not once a level.
+    slim = written(sources.select("base_path", "child_sections"), "sections")
+    found = slim.select(F.col("base_path").alias("node"))
+    edges = written(child_edges(slim).join(found.select(F.col("node").alias("target")), "target", "left_semi").select("source", "target"), "child-edges")
+    reached = crawl(edges, roots.join(found, "node", "left_semi"), max_nodes=max_sections)
     return sources.join(reached.select(F.col("node").alias("base_path")), "base_path", "left_semi")
 
 

@@ -11,7 +11,7 @@ from guidemill.queries.chunking import _LEGAL
 from guidemill.queries.ingestion import _CHUNK_G, _per_document, _with_metadata
 from guidemill.queries.page_content import _payloads, _table_pages
 from guidemill.sources.payloads import source_rows
-from guidemill.sources.tables import read_table
+from guidemill.sources.tables import read_table, spread
 
 
 def payload_errors(spark, path):
@@ -28,7 +28,7 @@ def ingest_manual(spark, path):
     raw = F.to_json(F.struct(
         F.concat(F.lit("/m/"), key.cast("string")).alias("base_path"), F.concat(F.lit("Manual "), key.cast("string")).alias("title"),
         F.struct(F.transform(F.sequence(F.lit(0), F.lit(9)), child).alias("children")).alias("links")))
-    sources = source_rows(read_table(spark, path, "customer").select(raw.alias("raw")))
+    sources = source_rows(spread(read_table(spark, path, "customer").select("c_custkey"), "c_custkey").select(raw.alias("raw")))
     roots = spark.range(3).select(F.element_at(F.array(F.lit("/m/1"), F.lit("/m/3"), F.lit("/m/none")), (F.col("id") + 1).cast("int")).alias("node"))
     return ingest.manual_sources(sources, roots).select("base_path", "title")
 
