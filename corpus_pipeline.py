@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guidemill.llm import contamination, quality, secrets, similar
+from guidemill.llm import contamination, quality, secrets, similar, simhash
 from guidemill.llm.common import held_out, materialize
+from guidemill.llm.components import connected_components
 from guidemill.llm.queries import THRESHOLD, packed
 from guidemill.sources.tables import read_table
 
@@ -21,12 +22,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more), that of the smallest id.
+    """One document of each group of near-duplicates, that of the smallest id.
 
-    Rows of one id are one document and stay or go together; documents with a null id stay.
+    Two documents link if their SimHash fingerprints differ in three bits or fewer, or if their five-word Jaccard similarity is
+    0.8 or more: fingerprints miss most long texts with few changed words.  Rows of one id are one document and stay or go
+    together; documents with a null id stay.
     """
-    groups = similar.similar_documents(docs.select("doc_id", "text"))
-    gone = groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text")
+    marked = simhash.near_duplicates(texts).select("id", "component_id").unionByName(similar.similar_documents(texts))
+    groups = connected_components(marked, "id", "component_id")
+    gone = groups.where("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
