@@ -26,20 +26,22 @@ _MARKS = "[\x01\x02\x03]"
 def decode_entities(col: Column, markup: bool = False) -> Column:
     """Decode the entities of text; with ``markup`` the characters of tags and quotes stay escaped, for html that is cut later.
 
-    The function is built here so that it ships by value and executors need no copy of the package.
+    Only the entities themselves go to Python, the text between them stays in the JVM: a worker's memory follows their
+    number and not the length of the pages.  The function is built here so that it ships by value and executors need no
+    copy of the package.
     """
-    pattern = _ENTITY
 
     def batch(s: pd.Series) -> pd.Series:
         import html
 
-        def one(m: re.Match) -> str:
-            text = html.unescape(html.unescape(m.group(0)))
+        def one(entity: str) -> str:
+            text = html.unescape(html.unescape(entity))
             return html.escape(text) if markup else text
 
-        return s.map(lambda x: pattern.sub(one, x) if x is not None and "&" in x else x)
+        return s.map(lambda hits: [one(h) for h in hits] if hits is not None else None)
 
-    return F.pandas_udf(batch, T.StringType())(col)
+    decoded = F.pandas_udf(batch, T.ArrayType(T.StringType()))(F.regexp_extract_all(col, F.lit(_ENTITY.pattern), F.lit(0)))
+    return F.array_join(F.zip_with(F.split(col, _ENTITY.pattern, -1), decoded, lambda gap, text: F.concat(gap, F.coalesce(text, F.lit("")))), "")
 
 
 def decode_column(df: DataFrame, column: str) -> DataFrame:
