@@ -10,7 +10,8 @@ Each round works on the edges that may still lie on a circle:
    the node of that label reaches it, too.  Within the nodes of one label the same is done backwards; those that reach the node of
    the label are one set.  The rest falls into smaller parts, by both labels, and goes into the next round.
 
-Every step is a join or aggregate over edges, written once; nothing is collected.
+Every step is a join or aggregate over edges, written once; nothing is collected.  Sides of joins meet by exchange: there is a join a
+round and more, and tables broadcast each time would all pass through the driver.
 """
 
 from __future__ import annotations
@@ -46,29 +47,29 @@ def circle_members(edges: DataFrame) -> DataFrame:
         forward = _largest_label(rest, nodes)
         ends = forward.select("node", "best")
         same = written(
-            rest.join(ends.select(F.col("node").alias("a"), F.col("best").alias("fa")), "a").join(ends.select(F.col("node").alias("b"), F.col("best").alias("fb")), "b")
+            rest.join(ends.select(F.col("node").alias("a"), F.col("best").alias("fa")).hint("merge"), "a").join(ends.select(F.col("node").alias("b"), F.col("best").alias("fb")).hint("merge"), "b")
             .where("fa = fb").select("a", "b", "fa"), "classes")
         backward = _largest_label(same.select(F.col("b").alias("a"), F.col("a").alias("b")), nodes)
-        both = written(forward.select("node", F.col("best").alias("f")).join(backward.select("node", F.col("best").alias("r")), "node"), "labels")
+        both = written(forward.select("node", F.col("best").alias("f")).join(backward.select("node", F.col("best").alias("r")).hint("merge"), "node"), "labels")
         sizes = both.where("f = r").groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
-        sets.append(both.where("f = r").join(sizes, "f", "left_semi").select("node", F.concat(F.lit(f"label {turn} "), F.col("f").cast("string")).alias("set")))
+        sets.append(both.where("f = r").join(sizes.hint("merge"), "f", "left_semi").select("node", F.concat(F.lit(f"label {turn} "), F.col("f").cast("string")).alias("set")))
         left = both.where("f <> r").select("node", "r")
         rest = written(
-            same.join(left.select(F.col("node").alias("a"), F.col("r").alias("ra")), "a").join(left.select(F.col("node").alias("b"), F.col("r").alias("rb")), "b")
+            same.join(left.select(F.col("node").alias("a"), F.col("r").alias("ra")).hint("merge"), "a").join(left.select(F.col("node").alias("b"), F.col("r").alias("rb")).hint("merge"), "b")
             .where("ra = rb").select("a", "b"), "rest")
     alone = loops.distinct().withColumn("set", F.concat(F.lit("loop "), F.col("node").cast("string")))
     found = None
     for part in sets:
         found = part if found is None else found.unionByName(part)
-    found = alone if found is None else found.unionByName(alone.join(found.select("node"), "node", "left_anti"))
+    found = alone if found is None else found.unionByName(alone.join(found.select("node").hint("merge"), "node", "left_anti"))
     for inner in reversed(chains):
         found = written(found, "sets")
-        held = inner.join(found.select(F.col("node").alias("head"), F.col("set").alias("set")), "head").join(
-            found.select(F.col("node").alias("tail"), F.col("set").alias("at_tail")), "tail").where("set = at_tail").select("node", "set")
+        held = inner.join(found.select(F.col("node").alias("head"), F.col("set").alias("set")).hint("merge"), "head").join(
+            found.select(F.col("node").alias("tail"), F.col("set").alias("at_tail")).hint("merge"), "tail").where("set = at_tail").select("node", "set")
         found = found.unionByName(held)
     found = written(found, "sets")
     largest = found.groupBy("set").agg(F.max("node").alias("circle"))
-    return found.join(largest, "set").select(F.col("node").alias("chunk_id"), "circle")
+    return found.join(largest.hint("merge"), "set").select(F.col("node").alias("chunk_id"), "circle")
 
 
 def _contract(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
@@ -78,9 +79,9 @@ def _contract(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None, Dat
     """
     arriving = edges.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("head")).where("n = 1")
     leaving = edges.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("tail")).where("n = 1")
-    inner = arriving.drop("n").join(leaving.drop("n"), "node")
+    inner = arriving.drop("n").join(leaving.drop("n").hint("merge"), "node")
     members = inner.select("node")
-    on_chain = lambda df, column: df.join(members.select(F.col("node").alias(column), F.lit(True).alias(f"{column}_open")), column, "left").fillna(False, f"{column}_open")
+    on_chain = lambda df, column: df.join(members.select(F.col("node").alias(column), F.lit(True).alias(f"{column}_open")).hint("merge"), column, "left").fillna(False, f"{column}_open")
     state = written(on_chain(on_chain(inner, "head"), "tail").select("node", "head", "tail", "head_open", "tail_open", F.col("node").alias("top")), "chains")
     size, span = state.count(), 1
     if not size:
@@ -92,33 +93,33 @@ def _contract(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None, Dat
         # Only pointers that still lead into a chain meet others, so a hub that many chains lead to is no key of a join.
         ahead = state.select(F.col("node").alias("tail"), F.col("tail").alias("next"), F.col("tail_open").alias("next_open"), F.col("top").alias("next_top"))
         behind = state.select(F.col("node").alias("head"), F.col("head").alias("back"), F.col("head_open").alias("back_open"))
-        tails = state.where("tail_open").join(ahead, "tail").select("node", F.col("next").alias("new_tail"), F.col("next_open").alias("new_tail_open"), "next_top")
-        heads = state.where("head_open").join(behind, "head").select("node", F.col("back").alias("new_head"), F.col("back_open").alias("new_head_open"))
-        moved = open_.join(tails, "node", "left").join(heads, "node", "left").select(
+        tails = state.where("tail_open").join(ahead.hint("merge"), "tail").select("node", F.col("next").alias("new_tail"), F.col("next_open").alias("new_tail_open"), "next_top")
+        heads = state.where("head_open").join(behind.hint("merge"), "head").select("node", F.col("back").alias("new_head"), F.col("back_open").alias("new_head_open"))
+        moved = open_.join(tails.hint("merge"), "node", "left").join(heads.hint("merge"), "node", "left").select(
             "node", F.coalesce("new_head", "head").alias("head"), F.coalesce("new_tail", "tail").alias("tail"), F.coalesce("new_head_open", "head_open").alias("head_open"),
             F.coalesce("new_tail_open", "tail_open").alias("tail_open"), F.greatest("top", F.coalesce("next_top", "top")).alias("top"))
         state = written(moved.unionByName(state.where("NOT head_open AND NOT tail_open")), "chains")
         span *= 2
     rings = state.where("tail_open").select("node", F.concat(F.lit("ring "), F.col("top").cast("string")).alias("set"))
     done = state.where("NOT tail_open AND NOT head_open").select("node", "head", "tail")
-    others = edges.join(members.withColumnRenamed("node", "a"), "a", "left_anti").join(members.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
+    others = edges.join(members.withColumnRenamed("node", "a").hint("merge"), "a", "left_anti").join(members.withColumnRenamed("node", "b").hint("merge"), "b", "left_anti").select("a", "b")
     left = written(others.unionByName(done.select(F.col("head").alias("a"), F.col("tail").alias("b"))).distinct(), "contracted")
     return done, rings, left
 
 
 def _trim(edges: DataFrame) -> DataFrame:
     """Edges whose start something leads to and whose end leads somewhere; one step, the rest is left to the labels."""
-    return edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+    return edges.join(edges.select(F.col("b").alias("a")).distinct().hint("merge"), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct().hint("merge"), "b", "left_semi").select("a", "b")
 
 
 def _largest_label(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label, best): the largest label of the nodes from which a node can be reached, itself included."""
     state = written(nodes.select("node", "label", F.col("label").alias("best")), "reach")
     while True:
-        sent = edges.join(state.select(F.col("node").alias("a"), "best"), "a").groupBy(F.col("b").alias("node")).agg(F.max("best").alias("sent"))
-        stepped = state.join(sent, "node", "left").select("node", "label", F.greatest("best", F.coalesce("sent", "best")).alias("best"), F.col("best").alias("old"))
+        sent = edges.join(state.select(F.col("node").alias("a"), "best").hint("merge"), "a").groupBy(F.col("b").alias("node")).agg(F.max("best").alias("sent"))
+        stepped = state.join(sent.hint("merge"), "node", "left").select("node", "label", F.greatest("best", F.coalesce("sent", "best")).alias("best"), F.col("best").alias("old"))
         further = state.where("best > label").select(F.col("label").alias("best"), F.col("best").alias("jump"))
-        nxt = written(stepped.join(further, "best", "left").select(
+        nxt = written(stepped.join(further.hint("merge"), "best", "left").select(
             "node", "label", F.coalesce("jump", "best").alias("best"), (F.coalesce("jump", "best") > F.col("old")).alias("moved")), "reach")
         if nxt.where("moved").isEmpty():
             return nxt.drop("moved")
