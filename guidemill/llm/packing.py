@@ -23,28 +23,38 @@ from pyspark.sql import functions as F
 END_ID = 0
 GRID = 128  # mid-sentence cuts are offered at these steps, so that a chain of full windows is always possible
 BLOCK_TOKENS = 2_000_000  # of one optimisation; bounds a task's memory
+READ_ROWS = 256  # rows of a batch that are Python strings at a time
+
+
+def vocabulary_facts(tokenizer_path: str) -> tuple[list[str], int]:
+    """Special tokens and size of the vocabulary."""
+    tokenizer = tokenizers.Tokenizer.from_file(tokenizer_path)
+    return [t.content for t in tokenizer.get_added_tokens_decoder().values()], tokenizer.get_vocab_size()
 
 
 class Tokens:
     """Ids of the vocabulary file.
 
     The same vocabulary in rank form is about four times faster and gives the same ids for text without special
-    tokens; texts that hold one go through the tokenizer itself.
+    tokens; texts that hold one go through the tokenizer itself, which a task loads only then.  ``facts`` are those of
+    :func:`vocabulary_facts`, read once in the driver.
     """
 
-    def __init__(self, tokenizer_path: str, ranks_path: str, pattern: str):
-        self.slow = tokenizers.Tokenizer.from_file(tokenizer_path)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+    def __init__(self, tokenizer_path: str, ranks_path: str, pattern: str, facts: tuple[list[str], int] | None = None):
+        self.path, self.slow = tokenizer_path, None
+        self.special, size = facts or vocabulary_facts(tokenizer_path)
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        ends = np.zeros(self.slow.get_vocab_size(), bool)
+        ends = np.zeros(size, bool)
         for token, i in ranks.items():
             ends[i] = token.rstrip(b" \"')]")[-1:] in (b".", b"!", b"?") or b"\n" in token
         self.ends_sentence = ends
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
+            if self.slow is None:
+                self.slow = tokenizers.Tokenizer.from_file(self.path)
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
@@ -109,9 +119,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
     of windows and is a block of its own at most.  ``sequence_id`` numbers sequences within the input partition.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
+    facts = vocabulary_facts(tokenizer_path)
 
     def run(batches):
-        tokens = Tokens(tokenizer_path, ranks_path, pattern)
+        tokens = Tokens(tokenizer_path, ranks_path, pattern, facts)
         held: list[tuple] = []
         size, serial = 0, 0
 
@@ -137,7 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str, patter
             return rows
 
         part = 0
-        for batch in batches:
+        for batch in (b.slice(at, READ_ROWS) for b in batches for at in range(0, b.num_rows, READ_ROWS)):
             ids, texts, parts = (batch.column(i).to_pylist() for i in range(3))
             for i, text, part in zip(ids, texts, parts):
                 own = np.append(tokens.encode(text or ""), np.uint32(END_ID))
