@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import (
-    empty_array, explode_rows, first_at, first_case, first_group, let, literal_map, rx, spans, squeeze, tagged_spans, window,
+    contains_any, empty_array, explode_rows, first_at, first_case, first_group, folded, let, literal_map, rx, spans, squeeze, tagged_spans, window,
 )
 
 VARIABLE_DDL = "struct<type:string,value:string,context:string>"
@@ -20,7 +20,8 @@ LIST_DDL = (
 
 def has_condition_lists(text: Column) -> Column:
     """Probe: a lead-in has to be there for a list to be found."""
-    return text.rlike(rx(r"\bif\b|\bunless\b|of\s+the\s+following|if[:\s]"))
+    return let(folded(text), lambda low: (low.contains("if") & text.rlike(rx(r"(?=if)(?:\bif\b|if[:\s])")))
+               | (contains_any(low, ["unless", "following"]) & text.rlike(rx(r"\bunless\b|of\s+the\s+following"))))
 
 
 def item_variables(text: Column) -> Column:
@@ -76,8 +77,9 @@ def outcome(intro: Column, kind: Column) -> Column:
 
 def condition_lists(text: Column) -> Column:
     """Lists of at least two items."""
-    starts = [(i, rx(p, "is"), 1 if has_subject else 0)
-              for i, (_, _, has_subject, p) in enumerate(fv.CONDITION_STARTS)]
+    def starts(low: Column) -> list[tuple]:
+        return [(i, rx(p, "is"), 1 if has_subject else 0, low.contains("you" if has_subject else "following"))
+                for i, (_, _, has_subject, p) in enumerate(fv.CONDITION_STARTS)]
 
     def row(s: Column) -> Column:
         kind = first_case(s["tag"], [(k, s["tag"] == i) for i, (k, *_) in enumerate(fv.CONDITION_STARTS)], None)
@@ -93,8 +95,9 @@ def condition_lists(text: Column) -> Column:
             list_items(p["body"]).alias("conditions"), outcome(p["intro"], p["kind"]).alias("outcome_if_met"),
             window(text, s["start"], s["end"] + F.length(p["body"])).alias("context_text")).cast(LIST_DDL))
 
-    found = F.filter(F.transform(tagged_spans(text, starts), row), lambda c: F.size(c["conditions"]) >= 2)
-    return F.when(has_condition_lists(text), found).otherwise(empty_array(LIST_DDL))
+    found = F.filter(F.transform(let(folded(text), lambda low: tagged_spans(text, starts(low))), row), lambda c: F.size(c["conditions"]) >= 2)
+    # Items begin with a letter in brackets, a figure or a bullet.
+    return F.when(text.rlike(r"[(0-9\u2022*\-]") & has_condition_lists(text), found).otherwise(empty_array(LIST_DDL))
 
 
 def condition_list_rows(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:

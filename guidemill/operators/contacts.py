@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import (
-    any_of, around, empty_array, explode_rows, first_group, let, literal_map, rx, spans, window,
+    around, contains_any, empty_array, explode_rows, first_group, folded, gated, let, literal_map, rx, spans, window,
 )
 
+# A word or sign that every match of a pattern holds, in pattern order.
+_INDICATOR_WORDS = ["contact", "helpline", "telephone", "call", "help", "phone"]
+_PHONE_SIGNS = ["0", "+44"]
+
 METHOD_DDL = "struct<type:string,value:string,hours:string,name:string>"
 
 
 def has_contacts(text: Column) -> Column:
     """Probe; as wide as the extractor."""
-    return any_of(text, [("i", "|".join(fv.PHONE_PATTERNS)), ("i", "|".join(fv.CONTACT_INDICATORS)), ("", fv.EMAIL)])
+    phone = contains_any(text, _PHONE_SIGNS) & text.rlike(rx("(?=[0+])(?:" + "|".join(fv.PHONE_PATTERNS) + ")"))
+    email = text.contains("@") & text.rlike(rx(fv.EMAIL, ""))
+    return phone | email | (contains_any(folded(text), _INDICATOR_WORDS) & text.rlike(rx("(?=[cthgp])(?:" + "|".join(fv.CONTACT_INDICATORS) + ")")))
 
 
 def normalize_phone(phone: Column) -> Column:
@@ -35,11 +41,11 @@ def hours_near(text: Column, start: Column) -> Column:
 def contact_methods(text: Column) -> Column:
     """Phones, then official e-mail addresses."""
     names = literal_map({k: v[0] for k, v in fv.HELPLINES.items()})
-    phones = [F.transform(spans(text, rx(p), 1), lambda s: let(normalize_phone(s["g1"]), lambda n: F.struct(
+    phones = [F.transform(spans(text, rx(p), 1, text.contains(sign)), lambda s: let(normalize_phone(s["g1"]), lambda n: F.struct(
         F.lit("phone").alias("type"), n.alias("value"), hours_near(text, s["start"]).alias("hours"),
-        F.try_element_at(names, n).alias("name")).cast(METHOD_DDL))) for p in fv.PHONE_PATTERNS]
+        F.try_element_at(names, n).alias("name")).cast(METHOD_DDL))) for p, sign in zip(fv.PHONE_PATTERNS, _PHONE_SIGNS)]
     official = F.filter(
-        F.regexp_extract_all(text, F.lit(fv.EMAIL), F.lit(1)),
+        F.when(text.isNotNull(), gated(text.contains("@"), F.regexp_extract_all(text, F.lit(fv.EMAIL), F.lit(1)), "string")),
         lambda e: e.contains("gov.uk") | F.lower(e).contains("hmrc"))
     emails = F.transform(official, lambda e: F.struct(
         F.lit("email").alias("type"), e.alias("value"), F.lit(None).cast("string").alias("hours"),
@@ -49,7 +55,8 @@ def contact_methods(text: Column) -> Column:
 
 def contact_windows(text: Column) -> Column:
     """50 characters before to 500 after each indicator; the whole text when there is none."""
-    found = F.concat(*[F.transform(spans(text, rx(p)), lambda s: around(text, s, 50, 500)) for p in fv.CONTACT_INDICATORS])
+    found = let(folded(text), lambda low: F.concat(*[
+        F.transform(spans(text, rx(p), 0, low.contains(w)), lambda s: around(text, s, 50, 500)) for p, w in zip(fv.CONTACT_INDICATORS, _INDICATOR_WORDS)]))
     return let(found, lambda w: F.when(F.size(w) > 0, w).otherwise(F.array(text)))
 
 
@@ -69,7 +76,8 @@ def contacts(text: Column) -> Column:
         return let(contact_methods(w), named)
 
     rows = F.filter(F.transform(contact_windows(text), build), lambda c: F.size(c["contact_methods"]) > 0)
-    return F.when(has_contacts(text), F.array_distinct(rows)).otherwise(empty_array(
+    # Phones hold a digit and addresses an @; the probe also takes words alone.
+    return F.when(text.rlike("[0-9@]") & has_contacts(text), F.array_distinct(rows)).otherwise(empty_array(
         f"struct<service_name:string,service_category:string,contact_methods:array<{METHOD_DDL}>,description:string>"))
 
 

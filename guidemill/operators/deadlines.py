@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import (
-    contains_any, empty_array, explode_rows, first_at, first_case, first_group, let, literal_strings, rx, spans, window,
+    contains_any, empty_array, explode_rows, first_at, first_case, first_group, folded, let, literal_strings, rx, spans, window,
 )
 from guidemill.functions.values import tax_year
 
@@ -19,7 +19,8 @@ DEADLINE_DDL = (
 
 
 def has_deadlines(text: Column) -> Column:
-    return text.rlike(rx(fv.DEADLINE_PROBE))
+    words = ["deadline", "due", "must", "within", *(m.lower() for m in fv.MONTHS)]
+    return contains_any(folded(text), words) & text.rlike(rx(fv.DEADLINE_PROBE))
 
 
 def _deadline(name, kind, category, frequency, rule_type, day, month, value, unit, description, applies, penalty,
@@ -40,14 +41,14 @@ def known_deadlines(text: Column) -> Column:
     """Calendar dates with a fixed meaning; "15 April" does not count as "5 April"."""
     none = F.lit(None)
 
-    def of_date(key: str, day: int, month: int, name: str, kind: str, category: str, applies: list[str]) -> Column:
+    def of_date(low: Column, key: str, day: int, month: int, name: str, kind: str, category: str, applies: list[str]) -> Column:
         p = rx(r"(?<![0-9])" + key)
-        return F.when(text.rlike(p), let(first_at(text, p), lambda at: _deadline(
+        return F.when(low.contains(key) & text.rlike(p), let(first_at(text, p), lambda at: _deadline(
             F.lit(name), F.lit(kind), F.lit(category), F.lit("annual"), F.lit("fixed"), F.lit(day), F.lit(month),
             none, none, F.lit(f"{name} deadline is {day} {fv.MONTHS[month - 1]}"), literal_strings(applies),
             penalty_near(text, at), F.lit(30 if kind == "filing" else 14))))
 
-    return F.array_compact(F.array(*[of_date(*d) for d in fv.KNOWN_DEADLINES]))
+    return let(folded(text), lambda low: F.array_compact(F.array(*[of_date(low, *d) for d in fv.KNOWN_DEADLINES])))
 
 
 def relative_deadlines(text: Column) -> Column:
@@ -65,11 +66,12 @@ def relative_deadlines(text: Column) -> Column:
             F.concat(F.lit("Must be completed within "), n.cast("string"), F.lit(" "), unit, F.lit("(s)")),
             empty_array("string"), none, F.least((n / 2).cast("int"), F.lit(14)))
 
-    return F.filter(F.transform(spans(text, rx(fv.RELATIVE_DEADLINE), 2), row), lambda d: d["rule_value"].isNotNull())
+    return F.filter(F.transform(spans(text, rx(fv.RELATIVE_DEADLINE), 2, folded(text).contains("within")), row), lambda d: d["rule_value"].isNotNull())
 
 
 def deadlines(text: Column) -> Column:
-    return F.when(has_deadlines(text), F.concat(known_deadlines(text), relative_deadlines(text))) \
+    # Dates and periods hold a digit; the probe also takes words without one.
+    return F.when(text.rlike("[0-9]") & has_deadlines(text), F.concat(known_deadlines(text), relative_deadlines(text))) \
         .otherwise(empty_array(DEADLINE_DDL))
 
 

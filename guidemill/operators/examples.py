@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import (
-    any_of, empty_array, explode_rows, first_at, first_case, first_group, let, literal_map, rx, spans, squeeze, window,
+    empty_array, explode_rows, first_at, first_case, first_group, folded, let, literal_map, rx, spans, squeeze, window,
 )
 from guidemill.functions.values import number, tax_year
 
@@ -19,8 +19,18 @@ EXAMPLE_DDL = (
 )
 
 
+# A word that every match of a start holds, in pattern order.
+_START_WORDS = ["example", "example", "suppose", "say", "consider"]
+
+
 def has_examples(text: Column) -> Column:
-    return any_of(text, [("i", p) for p in fv.EXAMPLE_STARTS])
+    def test(low: Column) -> Column:
+        hit = F.lit(False)
+        for p, w in zip(fv.EXAMPLE_STARTS, _START_WORDS):
+            hit = hit | (low.contains(w) & text.rlike(rx(p)))
+        return hit
+
+    return let(folded(text), test)
 
 
 def example_windows(text: Column) -> Column:
@@ -30,9 +40,9 @@ def example_windows(text: Column) -> Column:
         ends = [let(first_at(w, rx(p)), lambda at: F.when(at > 100, at)) for p in fv.EXAMPLE_ENDS]
         return F.substring(w, F.lit(1), F.least(F.length(w), *ends))
 
-    return F.transform(F.concat(*[
-        F.transform(spans(text, rx(p)), lambda s: window(text, s["start"], s["start"] + 1500)) for p in fv.EXAMPLE_STARTS
-    ]), cut)
+    return F.transform(let(folded(text), lambda low: F.concat(*[
+        F.transform(spans(text, rx(p), 0, low.contains(w)), lambda s: window(text, s["start"], s["start"] + 1500))
+        for p, w in zip(fv.EXAMPLE_STARTS, _START_WORDS)])), cut)
 
 
 def scenario(text: Column) -> Column:

@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import (
-    any_of, empty_array, explode_rows, first_case, first_group, let, rx, spans, strip, window,
+    any_of, contains_any, empty_array, explode_rows, first_case, first_group, let, rx, scan, spans, strip, window,
 )
 from guidemill.operators.chunk import estimate_tokens, split_text, text_section, with_heading, with_offsets
 
-_ALL_IDS = r"\b(" + "|".join(p[3:-3] for p in fv.MANUAL_ID_PATTERNS.values()) + r")\b"
+# Manual ids, looked for at their digits: few characters of a text are digits, and many begin one of the families.
+ALL_IDS = r"[0-9]{5}\b(?<=\b(" + "|".join(p[3:-3] for p in fv.MANUAL_ID_PATTERNS.values()) + r"))"
+
+# Repetitions in these would go into the stack once a word or figure and end the process on a long text.  What follows them
+# cannot begin inside a repetition, so they never have to give anything back.
+_DEFINITION = [(f, p.replace(r"(?:\s+[a-z]+)*)", r"(?:\s+[a-z]+)*+)"), *w) for f, p, *w in fv.DEFINITION_WORDING]
+_PENALTY = [(f, p.replace(r"(?:,[0-9]+)*)", r"(?:,[0-9]+)*+)"), *w) for f, p, *w in fv.PENALTY_WORDING]
 
 
 @dataclass(frozen=True)
@@ -31,7 +37,7 @@ _FAMILY_PREFIXES = [p[3:-3].split("[")[0].split("(")[0] for p in fv.MANUAL_ID_PA
 
 def section_id(text: Column) -> Column:
     """First manual id, families in fixed order."""
-    ids = F.regexp_extract_all(text, F.lit(rx(_ALL_IDS)), F.lit(1))
+    ids = F.regexp_extract_all(text, F.lit(rx(ALL_IDS)), F.lit(1))
     ranked = F.transform(ids, lambda c, i: let(F.upper(c), lambda u: F.struct(
         first_case(u, [(f"{n:02d}", u.startswith(p)) for n, p in enumerate(_FAMILY_PREFIXES)], "99").alias("family"),
         i.alias("at"), u.alias("id"))))
@@ -41,7 +47,7 @@ def section_id(text: Column) -> Column:
 def section_ids(text: Column) -> Column:
     """All distinct manual ids, sorted."""
     found = F.array_sort(F.array_distinct(F.transform(
-        F.regexp_extract_all(text, F.lit(rx(_ALL_IDS)), F.lit(1)), F.upper)))
+        F.regexp_extract_all(text, F.lit(rx(ALL_IDS)), F.lit(1)), F.upper)))
     return F.when(text.rlike("[0-9]{5}"), found).otherwise(empty_array("string"))
 
 
@@ -51,7 +57,7 @@ def paragraph_number(text: Column) -> Column:
 
 def cross_references(text: Column, own: Column | None = None) -> Column:
     """Manual ids and section mentions, distinct and sorted, without the section's own id."""
-    mentions = F.when(F.lower(text).rlike("section|paragraph|chapter"), F.concat(*[
+    mentions = F.when(contains_any(F.lower(text), ["section", "paragraph", "chapter"]), F.concat(*[
         F.transform(F.regexp_extract_all(text, F.lit(rx(p)), F.lit(1)), lambda n: F.concat(F.lit("section "), n))
         for p in fv.SECTION_MENTIONS])).otherwise(empty_array("string"))
     refs = F.array_sort(F.array_distinct(F.concat(section_ids(text), mentions)))
@@ -59,11 +65,25 @@ def cross_references(text: Column, own: Column | None = None) -> Column:
 
 
 def has_condition_list(text: Column) -> Column:
-    return text.contains("(") & text.rlike(rx(fv.CONDITION_ITEM, "m")) & text.rlike(rx(fv.CONDITION_LEAD_IN, "im"))
+    item = text.contains("(") & text.rlike(r"\([a-z]\)") & text.rlike(rx(fv.CONDITION_ITEM, "m"))
+    return item & F.exists(F.split(text, r"\.", -1), lambda s: s.contains(":") & s.rlike(rx(fv.CONDITION_LEAD_IN, "im")))
+
+
+def lead_in_starts(text: Column) -> Column:
+    """Offsets of lead-ins.
+
+    A lead-in goes on to a colon and holds no full stop, so only stretches between full stops that hold a colon are searched.
+    """
+    def located(parts: Column) -> Column:
+        return let(scan(F.transform(parts, lambda p: F.length(p) + 1), F.lit(0), lambda s, n: s + n, "int"), lambda ends: F.flatten(F.transform(
+            parts, lambda p, i: F.when(p.contains(":"), F.transform(
+                spans(p, rx(fv.CONDITION_LEAD_IN, "im")), lambda s: s["start"] + F.get(ends, i) - F.length(p) - 1)).otherwise(empty_array("int")))))
+
+    return let(F.split(text, r"\.", -1), located)
 
 
 def has_definition(text: Column) -> Column:
-    return any_of(text, fv.DEFINITION_WORDING)
+    return any_of(text, _DEFINITION)
 
 
 def has_example(text: Column) -> Column:
@@ -75,7 +95,7 @@ def has_deadline(text: Column) -> Column:
 
 
 def has_penalty(text: Column) -> Column:
-    return any_of(text, fv.PENALTY_WORDING)
+    return any_of(text, _PENALTY)
 
 
 def has_contact(text: Column) -> Column:
@@ -119,23 +139,26 @@ def citation(title: Column, section_title: Column, heading_path: Column, code: C
     ).otherwise(F.concat_ws(", ", F.lit("GOV.UK"), path, para_part))
 
 
-def condition_list_spans(text: Column) -> Column:
-    """(start, end) of lists: from each lead-in to the blank line after the last lettered item."""
+def condition_list_spans(text: Column, known: bool = False) -> Column:
+    """(start, end) of lists: from each lead-in to the blank line after the last lettered item.
+
+    ``known``: the text is known to hold a list.
+    """
     ddl = "struct<start:int,end:int>"
 
     def bound(last: Column) -> Column:
         blank_line = F.locate("\n\n", F.substring(text, last["end"] + 1, F.length(text)))
         end = F.when(blank_line > 0, last["end"] + blank_line - 1).otherwise(F.length(text))
-        leads = F.filter(spans(text, rx(fv.CONDITION_LEAD_IN, "im")), lambda s: s["start"] < last["end"])
-        return let(end, lambda e: F.transform(leads, lambda s: F.struct(s["start"].alias("start"), e.alias("end"))))
+        leads = F.filter(lead_in_starts(text), lambda s: s < last["end"])
+        return let(end, lambda e: F.transform(leads, lambda s: F.struct(s.alias("start"), e.alias("end"))))
 
     items = spans(text, rx(fv.CONDITION_ITEM, "m"))
     out = let(items, lambda it: F.when(F.size(it) > 0, bound(F.element_at(it, -1))).otherwise(empty_array(ddl)))
-    return F.when(has_condition_list(text), out).otherwise(empty_array(ddl))
+    return out if known else F.when(has_condition_list(text), out).otherwise(empty_array(ddl))
 
 
-def split_keeping_lists(text: Column, sizes: LegalSizes) -> Column:
-    """Pieces that do not cut a condition list unless it exceeds its own limit."""
+def split_keeping_lists(text: Column, sizes: LegalSizes, known: bool = False) -> Column:
+    """Pieces that do not cut a condition list unless it exceeds its own limit; ``known``: the text is known to hold one."""
     top = sizes.maximum
     state = "struct<pos:int,held:array<string>,size:int,out:array<string>>"
 
@@ -179,7 +202,7 @@ def split_keeping_lists(text: Column, sizes: LegalSizes) -> Column:
         start = make(F.lit(0), none, F.lit(0), none).cast(state)
         return F.aggregate(lists, start, step, finish)
 
-    pieces = let(condition_list_spans(text), lambda ls: F.when(F.size(ls) == 0, split_text(text, top)).otherwise(pack(ls)))
+    pieces = let(condition_list_spans(text, known), lambda ls: F.when(F.size(ls) == 0, split_text(text, top)).otherwise(pack(ls)))
     return F.when(F.length(text) <= top, F.array(text)).otherwise(F.filter(pieces, lambda p: strip(p) != ""))
 
 
@@ -187,7 +210,7 @@ def chunk_section(section: Column, sizes: LegalSizes) -> Column:
     """Array of pieces of one section with position and the section's own id."""
 
     def build(text: Column) -> Column:
-        pieces = F.when(has_condition_list(text), split_keeping_lists(text, sizes)) \
+        pieces = F.when(has_condition_list(text), split_keeping_lists(text, sizes, known=True)) \
             .otherwise(split_text(text, sizes.target))
         rows = let(section_id(text), lambda code: F.transform(
             let(pieces, with_offsets), lambda x: F.struct(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import (
-    around, contains_any, explode_rows, first_case, first_per_key, let, literal_map,
+    around, contains_any, empty_array, explode_rows, first_case, first_per_key, folded, gated, let, literal_map,
     literal_strings, rx, spans,
 )
 from guidemill.functions.values import number, tax_years
@@ -16,19 +16,25 @@ _PATTERN_STRIDE = 1 << 32
 # Words of which every match of the threshold patterns holds one, in pattern order.
 _THRESHOLD_WORDS = [("registration",), ("turnover",), ("personal",), ("allowance",), ("basic",), ("higher",), ("additional",), ("small",),
                     ("main", "upper"), ("primary",), ("secondary",), ("earnings",), ("threshold",), ("threshold",)]
+# Further words and signs that every match holds.
+_THRESHOLD_MORE = [("threshold",), ("\u00a3",), ("allowance",), ("tax",), ("rate",), ("rate",), ("rate",), ("profits",),
+                   ("limit", "threshold"), ("threshold",), ("threshold",), ("limit",), ("\u00a3",), ("\u00a3",)]
 
 
 def thresholds(text: Column) -> Column:
     """Typed amounts, one per distinct value: array of struct(value, type, context, formatted)."""
 
-    def of_pattern(i: int, kind: str, pattern: str, low: Column) -> Column:
-        return F.transform(spans(text, rx(pattern), 1, contains_any(low, _THRESHOLD_WORDS[i])), lambda s: F.struct(
+    def of_pattern(i: int, kind: str, pattern: str, low: Column, plain: Column) -> Column:
+        held = contains_any(low, _THRESHOLD_WORDS[i]) & contains_any(plain, _THRESHOLD_MORE[i])
+        return F.transform(spans(text, rx(pattern), 1, held), lambda s: F.struct(
             number(s["g1"], "bigint").alias("key"),
             (F.lit(i) * F.lit(_PATTERN_STRIDE) + s["start"]).alias("ord"),
             F.lit(kind).alias("type"), around(text, s, 50, 50).alias("context")))
 
-    found = let(F.lower(text), lambda low: F.concat(*[
-        of_pattern(i, kind, p, low) for i, (kind, p) in enumerate(fv.THRESHOLD_PATTERNS)]))
+    # An amount without a digit has no value, so a text without one holds none.
+    ddl = "struct<key:bigint,ord:bigint,type:string,context:string>"
+    found = gated(text.rlike("[0-9]"), let(F.struct(F.lower(text).alias("low"), folded(text).alias("plain")), lambda t: F.concat(*[
+        of_pattern(i, kind, p, t["low"], t["plain"]) for i, (kind, p) in enumerate(fv.THRESHOLD_PATTERNS)])).cast(f"array<{ddl}>"), ddl)
     firsts = first_per_key(F.filter(found, lambda x: x["key"].isNotNull()))
     in_order = F.array_sort(F.transform(firsts, lambda x: F.struct(
         x["ord"].alias("ord"), x["key"].alias("value"), x["type"].alias("type"), x["context"].alias("context"))))
@@ -38,10 +44,15 @@ def thresholds(text: Column) -> Column:
     return out
 
 
-def forms(text: Column) -> Column:
+def form_mentions(text: Column) -> Column:
+    """Form codes as written, with repeats; all but three hold a digit."""
+    found = F.regexp_extract_all(text, F.lit(rx(r"(?=[scvprfe])" + fv.FORM_CODE_WIDE)), F.lit(1))
+    return F.when(text.isNotNull(), gated(text.rlike("[0-9]") | contains_any(folded(text), ["rti", "fps", "eps"]), found, "string"))
+
+
+def forms(text: Column, mentions: Column | None = None) -> Column:
     """Distinct form codes in order of appearance: array of struct(code, name)."""
-    codes = F.array_distinct(F.transform(
-        F.regexp_extract_all(text, F.lit(rx(fv.FORM_CODE_WIDE)), F.lit(1)), F.upper))
+    codes = F.array_distinct(F.transform(form_mentions(text) if mentions is None else mentions, F.upper))
     return F.transform(codes, lambda c: F.struct(
         c.alias("code"),
         F.coalesce(F.try_element_at(literal_map(fv.FORM_NAMES), c), F.lit(fv.FORM_NAME_DEFAULT)).alias("name")))
@@ -54,7 +65,7 @@ def date_type(context: Column) -> Column:
 
 def key_dates(text: Column) -> Column:
     """First mention of each day and month: array of struct(day, month, context, type)."""
-    found = F.transform(spans(text, rx(fv.DAY_MONTH), 2), lambda s: F.struct(
+    found = F.transform(spans(text, rx(fv.DAY_MONTH), 2, text.rlike(r"[0-9]")), lambda s: F.struct(
         F.struct(s["g1"].cast("int").alias("day"), F.initcap(s["g2"]).alias("month")).alias("key"),
         s["start"].alias("ord"), around(text, s, 100, 50).alias("context")))
     in_order = F.array_sort(F.transform(first_per_key(found), lambda x: F.struct(
@@ -64,15 +75,31 @@ def key_dates(text: Column) -> Column:
         date_type(x["context"]).alias("type")))
 
 
+def _by_part(words: list[str]) -> dict[str, list[str]]:
+    """Words under a part of four letters (shorter words: all of it) that several of them share."""
+    left, parts = set(words), {}
+    while left:
+        shared = {w[k: k + 4] for w in left for k in range(max(1, len(w) - 3))}
+        best = max(sorted(shared), key=lambda p: sum(p in w for w in left))
+        parts[best] = sorted(w for w in left if best in w)
+        left -= set(parts[best])
+    return parts
+
+
 def words_found(text: Column) -> Column:
-    """Topic and business words in the text; one scan serves keywords, topics and business types."""
+    """Topic and business words in the text, sorted; one scan serves keywords, topics and business types."""
     words = sorted({w for group in (fv.TOPIC_WORDS, fv.BUSINESS_WORDS) for ws in group.values() for w in ws})
-    return let(F.lower(text), lambda low: F.filter(literal_strings(words), lambda w: F.contains(low, w)))
+
+    def held(low: Column) -> Column:
+        return F.array_sort(F.concat(*[
+            gated(low.contains(part), F.filter(literal_strings(ws), lambda w: F.contains(low, w)), "string") for part, ws in _by_part(words).items()]))
+
+    return F.when(text.isNotNull(), let(F.lower(text), held)).otherwise(empty_array("string"))
 
 
-def keywords(text: Column, found: Column) -> Column:
+def keywords(text: Column, found: Column, mentions: Column | None = None) -> Column:
     """Topic and business words and form codes found, sorted."""
-    codes = F.transform(F.regexp_extract_all(text, F.lit(rx(fv.FORM_CODE_WIDE)), F.lit(1)), F.lower)
+    codes = F.transform(form_mentions(text) if mentions is None else mentions, F.lower)
     return F.array_sort(F.array_distinct(F.concat(found, codes)))
 
 
@@ -96,11 +123,11 @@ def business_types(found: Column) -> Column:
 
 def with_metadata(df: DataFrame, text: str = "text") -> DataFrame:
     """All metadata columns, at document or chunk grain."""
-    t, found = F.col(text), F.col("_found")
-    return df.withColumn("_found", words_found(t)).withColumns({
-        "thresholds": thresholds(t), "tax_years": tax_years(t), "forms": forms(t), "key_dates": key_dates(t),
-        "keywords": keywords(t, found), "topics": topics(found), "business_types": business_types(found),
-    }).drop("_found")
+    t, found, codes = F.col(text), F.col("_found"), F.col("_codes")
+    return df.withColumns({"_found": words_found(t), "_codes": form_mentions(t)}).withColumns({
+        "thresholds": thresholds(t), "tax_years": tax_years(t), "forms": forms(t, codes), "key_dates": key_dates(t),
+        "keywords": keywords(t, found, codes), "topics": topics(found), "business_types": business_types(found),
+    }).drop("_found", "_codes")
 
 
 def merge_pair(left: str, right: str) -> dict[str, Column]:

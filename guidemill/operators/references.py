@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import (
-    contains_any, empty_array, explode_rows, first_case, first_per_key, let, rx, squeeze, tagged_spans, window,
+    contains_any, empty_array, explode_rows, first_case, first_per_key, folded, gaps, gated, let, rx, scan, squeeze, tagged_spans, window,
 )
+from guidemill.operators.legal import ALL_IDS
 from guidemill.operators.parse import plain
 
 _STRIDE = 1 << 32
@@ -44,15 +45,31 @@ _MANUAL, _SECTION, _LEGISLATION, _TERM, _LINK = 0, 20, 30, 40, 50
 _PREFIXES = [p[3:-3].split("[")[0].split("(")[0] for p in fv.MANUAL_ID_PATTERNS.values()]
 
 
-def _patterns(text: Column, low: Column) -> list[tuple[int, str, int, Column]]:
+def _manual_spans(text: Column) -> Column:
+    """Manual ids as tagged spans; the pattern matches their five digits and sees the whole id."""
+    ddl = "struct<tag:int,start:int,end:int,hit:string,g1:string,g2:string>"
+
+    def located(ids: Column) -> Column:
+        ends = let(gaps(text, rx(ALL_IDS)), lambda between: scan(F.transform(ids, lambda h, i: F.length(F.get(between, i)) + 5), F.lit(0), lambda s, n: s + n, "int"))
+        return let(ends, lambda e: F.transform(ids, lambda h, i: F.struct(
+            F.lit(_MANUAL).alias("tag"), (F.get(e, i) - F.length(h)).alias("start"), F.get(e, i).alias("end"), h.alias("hit"), h.alias("g1"),
+            F.lit(None).cast("string").alias("g2")).cast(ddl)))
+
+    found = let(F.regexp_extract_all(text, F.lit(rx(ALL_IDS)), F.lit(1)), lambda ids: gated(F.size(ids) > 0, located(ids), ddl))
+    return gated(text.rlike("[0-9]{5}"), found, ddl)
+
+
+def _patterns(text: Column, words: Column) -> list[tuple[int, str, int, Column]]:
     """(tag, pattern, groups, cheap condition) per detector."""
-    sections = contains_any(low, ["section", "para"])
-    acts = {"uk_act": low.contains("act"), "act_section": low.contains("act"), "statutory_instrument": text.contains("/"),
-            "eu_regulation": contains_any(low, ["regulation", "directive"])}
-    terms = [contains_any(low, ["defined", "meaning", "means"])] * len(fv.TERM_REFERENCES)
-    manual = r"\b(" + "|".join(p[3:-3] for p in fv.MANUAL_ID_PATTERNS.values()) + r")\b"
-    out = [(_MANUAL, rx(manual), 1, text.rlike("[0-9]{5}"))]
-    out += [(_SECTION + i, rx(p), 1, sections) for i, p in enumerate(fv.SECTION_REFERENCES)]
+    # ``plain`` also finds what a pattern without case finds, so the further words lose nothing.
+    low, plain = words["low"], words["plain"]
+    digit, quoted = words["digit"], text.rlike("['\"]")
+    held = [contains_any(plain, ws) for ws in (["see", "refer"], ["explained", "described", "set"], ["above", "below", "explain"])]
+    sections = [words["section"] & h for h in held]
+    acts = {"uk_act": digit & low.contains("act"), "act_section": digit & low.contains("act"), "statutory_instrument": digit & text.contains("/"),
+            "eu_regulation": digit & contains_any(low, ["regulation", "directive"])}
+    terms = [h & contains_any(low, ["defined", "meaning", "means"]) for h in (quoted, quoted, plain.contains("within"))]
+    out = [(_SECTION + i, rx(p), 1, sections[i]) for i, p in enumerate(fv.SECTION_REFERENCES)]
     out += [(_LEGISLATION + i, rx(p), 2 if kind == "act_section" else 1, acts[kind])
             for i, (kind, p) in enumerate(fv.LEGISLATION_REFERENCES)]
     return out + [(_TERM + i, rx(p), 1, terms[i]) for i, p in enumerate(fv.TERM_REFERENCES)]
@@ -87,7 +104,10 @@ def text_references(text: Column) -> Column:
             context.alias("context"), s["start"].alias("position"), rel.alias("relationship_type"),
             F.lit("explicit").alias("strength")).cast(REFERENCE_DDL))
 
-    return F.transform(let(F.lower(text), lambda low: tagged_spans(text, _patterns(text, low))), row)
+    tests = lambda low: F.struct(
+        low.alias("low"), folded(text).alias("plain"), text.rlike("[0-9]").alias("digit"), contains_any(low, ["section", "para"]).alias("section"))
+    return F.transform(let(let(F.lower(text), tests), lambda words: F.concat(
+        _manual_spans(text), tagged_spans(text, _patterns(text, words)))), row)
 
 
 def anchors(html: Column) -> Column:
