@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guidemill.sources.tables import written
+
 SETS = ("tax_years", "keywords", "topics", "business_types")
 LISTS = ("thresholds", "forms", "key_dates")
 
@@ -31,13 +33,14 @@ def merge_state(rows: DataFrame, by: Sequence[str], order: str, sets: Sequence[s
     """State of ``rows``: (by .., part, field, value, at); ``order`` ranks the rows of a group and is unique in it.
 
     ``sets`` are arrays of strings, ``lists`` arrays of anything, ``newest`` single values.  Null arrays, labels and values add nothing.
+    Labels, values and items are reduced apart, so the entries are written once; ``rows`` may be costly and are evaluated once.
     """
     sources = [_elements("set", c, order, lambda x: x.cast("string")) for c in sets]
     sources += [_elements("list", c, order, lambda x: F.to_json(F.struct(x.alias("v")))) for c in lists]
     if newest:
         sources.append(F.array(*[_entry("newest", c, F.col(c).cast("string"), order, F.lit(0)) for c in newest]))
     entries = rows.select(*by, F.explode(F.concat(*sources)).alias("_e")).select(*by, "_e.*").where("value IS NOT NULL")
-    return _reduced(entries, by)
+    return _reduced(written(entries, "entries"), by)
 
 
 def _reduced(entries: DataFrame, by: Sequence[str]) -> DataFrame:

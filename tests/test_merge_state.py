@@ -69,3 +69,20 @@ def test_patches_and_key_types(spark):
     assert sorted((r["id"], r["name"], r["value"]) for r in od.entries(after, "id", "v").collect()) == [(1, "a", '"x"'), (1, "b", '{"c":2}'), (2, "a", "1"), (3, "z", "1")]
     types = od.key_schema(after.where("id <= 3 AND id <> 2"), "v").first()["schema"]
     assert "a: STRING" in types and "z: BIGINT" in types and "c: BIGINT" in types
+
+
+def test_rows_are_evaluated_once(spark):
+    """Labels, newest values and list items come from one evaluation of rows that may be costly."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def tags(k):
+        seen.add(1)
+        return [str(k % 3), "x"]
+
+    rows = spark.range(20, numPartitions=2).select(F.lit("a").alias("g"), F.col("id").alias("n"), F.udf(tags, "array<string>")("id").alias("tags"), F.lit("v").alias("last"))
+    state = ms.merge_state(rows, ["g"], "n", ("tags",), (), ("last",))
+    merged = ms.merged_labels(ms.combine([state], ["g"]), ["g"], ("tags",), ("last",)).collect()
+    assert [(r["g"], r["tags"], r["last"]) for r in merged] == [("a", ["0", "x", "1", "2"], "v")]
+    assert seen.value == 20
