@@ -16,7 +16,7 @@ round and more, and tables broadcast each time would all pass through the driver
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guidemill.sources.tables import written
@@ -43,13 +43,13 @@ def circle_members(edges: DataFrame) -> DataFrame:
         rest = written(_trim(rest.where("a <> b")), "trimmed")
         if rest.isEmpty():
             break
-        nodes = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.xxhash64("node", F.lit(turn)))
-        forward = _largest_label(rest, nodes)
+        nodes = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        forward = _largest_label(rest, nodes, turn)
         ends = forward.select("node", "best")
         same = written(
             rest.join(ends.select(F.col("node").alias("a"), F.col("best").alias("fa")).hint("merge"), "a").join(ends.select(F.col("node").alias("b"), F.col("best").alias("fb")).hint("merge"), "b")
             .where("fa = fb").select("a", "b", "fa"), "classes")
-        backward = _largest_label(same.select(F.col("b").alias("a"), F.col("a").alias("b")), nodes)
+        backward = _largest_label(same.select(F.col("b").alias("a"), F.col("a").alias("b")), nodes, turn)
         both = written(forward.select("node", F.col("best").alias("f")).join(backward.select("node", F.col("best").alias("r")).hint("merge"), "node"), "labels")
         sizes = both.where("f = r").groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
         sets.append(both.where("f = r").join(sizes.hint("merge"), "f", "left_semi").select("node", F.concat(F.lit(f"label {turn} "), F.col("f").cast("string")).alias("set")))
@@ -112,15 +112,22 @@ def _trim(edges: DataFrame) -> DataFrame:
     return edges.join(edges.select(F.col("b").alias("a")).distinct().hint("merge"), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct().hint("merge"), "b", "left_semi").select("a", "b")
 
 
-def _largest_label(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label, best): the largest label of the nodes from which a node can be reached, itself included."""
-    state = written(nodes.select("node", "label", F.col("label").alias("best")), "reach")
+def _label(node: str, turn: int) -> Column:
+    """The label of a node in a round; it follows from the node, so it need not travel."""
+    return F.xxhash64(node, F.lit(turn))
+
+
+def _largest_label(edges: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """(node, best): the largest label of the nodes from which a node can be reached, itself included.
+
+    Only nodes whose label grew in the step before send it on: what others hold has been sent.
+    """
+    state = written(nodes.select("node", _label("node", turn).alias("best"), F.lit(True).alias("moved")), "reach")
     while True:
-        sent = edges.join(state.select(F.col("node").alias("a"), "best").hint("merge"), "a").groupBy(F.col("b").alias("node")).agg(F.max("best").alias("sent"))
-        stepped = state.join(sent.hint("merge"), "node", "left").select("node", "label", F.greatest("best", F.coalesce("sent", "best")).alias("best"), F.col("best").alias("old"))
-        further = state.where("best > label").select(F.col("label").alias("best"), F.col("best").alias("jump"))
-        nxt = written(stepped.join(further.hint("merge"), "best", "left").select(
-            "node", "label", F.coalesce("jump", "best").alias("best"), (F.coalesce("jump", "best") > F.col("old")).alias("moved")), "reach")
-        if nxt.where("moved").isEmpty():
-            return nxt.drop("moved")
-        state = nxt.drop("moved")
+        sent = edges.join(state.where("moved").select(F.col("node").alias("a"), "best").hint("merge"), "a").groupBy(F.col("b").alias("node")).agg(F.max("best").alias("sent"))
+        stepped = state.join(sent.hint("merge"), "node", "left").select("node", F.greatest("best", F.coalesce("sent", "best")).alias("best"), F.col("best").alias("old"))
+        further = state.where(F.col("best") > _label("node", turn)).select(_label("node", turn).alias("best"), F.col("best").alias("jump"))
+        state = written(stepped.join(further.hint("merge"), "best", "left").select(
+            "node", F.coalesce("jump", "best").alias("best"), (F.coalesce("jump", "best") > F.col("old")).alias("moved")), "reach")
+        if state.where("moved").isEmpty():
+            return state.drop("moved")

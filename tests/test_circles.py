@@ -75,3 +75,12 @@ def test_long_ladder_takes_few_rounds(spark, monkeypatch):
     pairs = [p for k in range(40) for p in ((2 * k, 2 * k + 1), (2 * k, 2 * k + 2), (2 * k + 1, 2 * k + 3), (2 * k, 2 * k + 3))]
     assert found(circles.circle_members(frame(spark, [*pairs, (80, 0), (81, 0), (80, 81)]))) == {n: 81 for n in range(82)}
     assert len(writes) <= 45
+
+
+def test_labels_do_not_travel(spark, monkeypatch):
+    """A label follows from its node; what is written of a step is the node, its best label and whether that grew."""
+    kinds = []
+    monkeypatch.setattr(circles, "written", lambda df, label, keep=circles.written: kinds.append((label, tuple(df.columns))) or keep(df, label))
+    pairs = [(1, 2), (2, 3), (3, 1), (2, 1), (3, 2), (3, 4), (4, 5), (5, 4), (4, 6), (6, 5), (5, 6)]
+    assert found(circles.circle_members(frame(spark, pairs))) == plain(pairs)
+    assert {columns for label, columns in kinds if label == "reach"} == {("node", "best", "moved")}
