@@ -17,11 +17,16 @@ _PHONE_SIGNS = ["0", "+44"]
 METHOD_DDL = "struct<type:string,value:string,hours:string,name:string>"
 
 
-def has_contacts(text: Column) -> Column:
-    """Probe; as wide as the extractor."""
+def _has_methods(text: Column) -> Column:
+    """A phone or address, of any owner: what a window holds the text holds, too."""
     phone = contains_any(text, _PHONE_SIGNS) & text.rlike(rx("(?=[0+])(?:" + "|".join(fv.PHONE_PATTERNS) + ")"))
     email = text.contains("@") & text.rlike(rx(fv.EMAIL, ""))
-    return phone | email | (contains_any(folded(text), _INDICATOR_WORDS) & text.rlike(rx("(?=[cthgp])(?:" + "|".join(fv.CONTACT_INDICATORS) + ")")))
+    return phone | email
+
+
+def has_contacts(text: Column) -> Column:
+    """Probe; as wide as the extractor."""
+    return _has_methods(text) | (contains_any(folded(text), _INDICATOR_WORDS) & text.rlike(rx("(?=[cthgp])(?:" + "|".join(fv.CONTACT_INDICATORS) + ")")))
 
 
 def normalize_phone(phone: Column) -> Column:
@@ -76,8 +81,8 @@ def contacts(text: Column) -> Column:
         return let(contact_methods(w), named)
 
     rows = F.filter(F.transform(contact_windows(text), build), lambda c: F.size(c["contact_methods"]) > 0)
-    # Phones hold a digit and addresses an @; the probe also takes words alone.
-    return F.when(text.rlike("[0-9@]") & has_contacts(text), F.array_distinct(rows)).otherwise(empty_array(
+    # Phones hold a digit and addresses an @; the probe also takes words alone, without which no row is lost.
+    return F.when(text.rlike("[0-9@]") & _has_methods(text), F.array_distinct(rows)).otherwise(empty_array(
         f"struct<service_name:string,service_category:string,contact_methods:array<{METHOD_DDL}>,description:string>"))
 
 

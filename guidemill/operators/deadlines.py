@@ -70,8 +70,8 @@ def relative_deadlines(text: Column) -> Column:
 
 
 def deadlines(text: Column) -> Column:
-    # Dates and periods hold a digit; the probe also takes words without one.
-    return F.when(text.rlike("[0-9]") & has_deadlines(text), F.concat(known_deadlines(text), relative_deadlines(text))) \
+    # Dates and periods hold a digit.  What they are made of is looked for one by one, so the probe would only repeat it.
+    return F.when(text.rlike("[0-9]"), F.concat(known_deadlines(text), relative_deadlines(text))) \
         .otherwise(empty_array(DEADLINE_DDL))
 
 

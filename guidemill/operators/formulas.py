@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from guidemill.functions import fixed_values as fv
 from guidemill.functions.matching import (
-    around, empty_array, explode_rows, first_at, first_group, let, literal_strings, rx, spans, squeeze, window,
+    around, contains_any, empty_array, explode_rows, first_at, first_group, folded, let, literal_strings, rx, spans, squeeze, window,
 )
 from guidemill.functions.values import number, tax_year
 from guidemill.operators.formula_program import INPUT_DDL, STEP_DDL, inputs_of, literal_value, steps_of
@@ -20,8 +20,16 @@ FORMULA_DDL = (
 )
 
 
+# Words of the probe that count by themselves.
+_PROBE_WORDS = ["formula", "multiply", "divide", "subtract", "add"]
+# Words and signs of which every match of a known formula holds one.
+_STATED = ["=", "calculated"]
+
+
 def has_formulas(text: Column) -> Column:
-    return text.rlike(rx(fv.FORMULA_PROBE))
+    """``FORMULA_PROBE``, words first; its other parts begin with a word or hold a sign, and are tried where that is found."""
+    rest = rx(r"calculated\s+(?:as|by)|=\s*[^=]|[0-9]+/[0-9]+\s*[×x*]")
+    return let(folded(text), lambda low: contains_any(low, _PROBE_WORDS) | (contains_any(low, ["calculated", "=", "/"]) & text.rlike(rest)))
 
 
 def _formula(name, kind, text, variables, logic, tables, context, inputs=None, steps=None) -> Column:
@@ -33,8 +41,8 @@ def _formula(name, kind, text, variables, logic, tables, context, inputs=None, s
         (empty_array(STEP_DDL) if steps is None else steps).alias("steps")).cast(FORMULA_DDL)
 
 
-def _first_match(text: Column, pattern: str, before: int, after: int, body) -> Column:
-    """``body(match, context)`` for the first match, null when there is none."""
+def _first_match(text: Column, pattern: str, before: int, after: int, body, words: list[list[str]]) -> Column:
+    """``body(match, context)`` for the first match, null when there is none; every match holds a word of each list of ``words``."""
     p = rx(pattern, "is")
 
     def at(start: Column) -> Column:
@@ -42,7 +50,13 @@ def _first_match(text: Column, pattern: str, before: int, after: int, body) -> C
         return let(F.struct(hit.alias("hit"), window(
             text, start - before, start + F.length(hit) + after).alias("context")), lambda m: body(m["hit"], m["context"]))
 
-    return F.when(text.rlike(p), let(first_at(text, p), at))
+    def held(low: Column) -> Column:
+        found = contains_any(low, words[0])
+        for more in words[1:]:
+            found = found & contains_any(low, more)
+        return found
+
+    return F.when(let(folded(text), held) & text.rlike(p), let(first_at(text, p), at))
 
 
 def marginal_relief(text: Column) -> Column:
@@ -65,7 +79,7 @@ def marginal_relief(text: Column) -> Column:
                 (n, u, limit if n == "upper_limit" else literal_value(fraction) if n == "fraction" else v) for n, u, v in fv.FORMULA_INPUTS["marginal_relief"]]),
             steps_of(*fv.FORMULA_STEPS["marginal_relief"]))
 
-    return _first_match(text, fv.MARGINAL_RELIEF, 200, 200, body)
+    return _first_match(text, fv.MARGINAL_RELIEF, 200, 200, body, [["/"], ["relief", "profits"]])
 
 
 def _known(key: str, context: Column) -> Column:
@@ -80,15 +94,15 @@ def tax_calculation(text: Column) -> Column:
     """Income or corporation tax by the words near the statement; neither gives nothing."""
     return _first_match(text, fv.TAX_CALCULATION, 100, 100, lambda hit, c: F.when(
         F.lower(c).contains("income tax"), _known("income_tax", c)).when(
-        F.lower(c).contains("corporation tax"), _known("corporation_tax", c)))
+        F.lower(c).contains("corporation tax"), _known("corporation_tax", c)), [_STATED, ["tax"]])
 
 
 def penalty_calculation(text: Column) -> Column:
-    return _first_match(text, fv.PENALTY_CALCULATION, 100, 100, lambda hit, c: _known("penalty", c))
+    return _first_match(text, fv.PENALTY_CALCULATION, 100, 100, lambda hit, c: _known("penalty", c), [["penalty", "surcharge"], [*_STATED, "amount"]])
 
 
 def vat_calculation(text: Column) -> Column:
-    return _first_match(text, fv.VAT_CALCULATION, 100, 100, lambda hit, c: _known("vat", c))
+    return _first_match(text, fv.VAT_CALCULATION, 100, 100, lambda hit, c: _known("vat", c), [_STATED, ["vat"]])
 
 
 def formula_variables(text: Column) -> Column:
@@ -139,7 +153,9 @@ def formulas(text: Column) -> Column:
 
     everything = let(known_formulas(text), lambda known: F.aggregate(generic_formulas(text), F.struct(
         known.alias("taken"), F.transform(known, lambda k: k["formula_name"]).alias("names"), F.transform(known, lambda k: k["formula_text"]).alias("texts")).cast(ddl), add)["taken"])
-    return F.when(has_formulas(text) | text.rlike(rx(r"amounts?\s+to|is\s+calculated|marginal\s+relief|small\s+profits\s+rate|=")),
+    # Every formula holds one of these: generic ones a word, "=" or a fraction, known ones the words they are looked for by.
+    may = let(folded(text), lambda low: contains_any(low, ["=", "/", "calculat", "formula", "equation", "penalty", "surcharge"]))
+    return F.when(may & (has_formulas(text) | text.rlike(rx(r"amounts?\s+to|is\s+calculated|marginal\s+relief|small\s+profits\s+rate|="))),
                   everything).otherwise(empty_array(FORMULA_DDL))
 
 

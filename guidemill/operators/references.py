@@ -66,9 +66,9 @@ def _patterns(text: Column, words: Column) -> list[tuple[int, str, int, Column]]
     digit, quoted = words["digit"], text.rlike("['\"]")
     held = [contains_any(plain, ws) for ws in (["see", "refer"], ["explained", "described", "set"], ["above", "below", "explain"])]
     sections = [words["section"] & h for h in held]
-    acts = {"uk_act": digit & low.contains("act"), "act_section": digit & low.contains("act"), "statutory_instrument": digit & text.contains("/"),
-            "eu_regulation": digit & contains_any(low, ["regulation", "directive"])}
-    terms = [h & contains_any(low, ["defined", "meaning", "means"]) for h in (quoted, quoted, plain.contains("within"))]
+    act, fraction = words["act"], digit & text.contains("/") & text.rlike("[0-9]/[0-9]")
+    acts = {"uk_act": act, "act_section": act, "statutory_instrument": fraction, "eu_regulation": fraction & contains_any(low, ["regulation", "directive"])}
+    terms = [contains_any(low, ["defined", "meaning", "means"]) & h for h in (quoted, quoted, plain.contains("within"))]
     out = [(_SECTION + i, rx(p), 1, sections[i]) for i, p in enumerate(fv.SECTION_REFERENCES)]
     out += [(_LEGISLATION + i, rx(p), 2 if kind == "act_section" else 1, acts[kind])
             for i, (kind, p) in enumerate(fv.LEGISLATION_REFERENCES)]
@@ -104,9 +104,13 @@ def text_references(text: Column) -> Column:
             context.alias("context"), s["start"].alias("position"), rel.alias("relationship_type"),
             F.lit("explicit").alias("strength")).cast(REFERENCE_DDL))
 
-    tests = lambda low: F.struct(
-        low.alias("low"), folded(text).alias("plain"), text.rlike("[0-9]").alias("digit"), contains_any(low, ["section", "para"]).alias("section"))
-    return F.transform(let(let(F.lower(text), tests), lambda words: F.concat(
+    # A figure follows the word "act" and, as a number or a full stop, those for sections.
+    tests = lambda t: F.struct(
+        t["low"].alias("low"), t["plain"].alias("plain"), t["digit"].alias("digit"),
+        (t["digit"] & t["low"].contains("act") & t["plain"].rlike(r"(?U)act\s+[0-9]{4}")).alias("act"),
+        (contains_any(t["low"], ["section", "para"]) & t["plain"].rlike(r"(?U)(?:section|para|paragraph)\.?\s+[0-9.]")).alias("section"))
+    looked = let(F.struct(F.lower(text).alias("low"), folded(text).alias("plain"), text.rlike("[0-9]").alias("digit")), tests)
+    return F.transform(let(looked, lambda words: F.concat(
         _manual_spans(text), tagged_spans(text, _patterns(text, words)))), row)
 
 
