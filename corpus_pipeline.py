@@ -16,8 +16,20 @@ from guidemill.llm.queries import THRESHOLD, packed
 from guidemill.sources.tables import read_table
 
 
+#: Rows that travel between the JVM and a Python worker at a time.  A stage's memory for texts grows with it in both; no result depends on it.
+BATCH_ROWS = 1024
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a few at a time; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at the threshold or above."""
+    _small_batches(spark)
     return quality.filter_quality(docs, read_table(spark, sf_dir, "labels"), ~held_out(F.col("id"), 4, 2), threshold=THRESHOLD)
 
 
@@ -28,6 +40,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     0.8 or more: fingerprints miss most long texts with few changed words.  Rows of one id are one document and stay or go
     together; documents with a null id stay.
     """
+    _small_batches(spark)
     texts = docs.select("doc_id", "text")
     marked = simhash.near_duplicates(texts).select("id", "component_id").unionByName(similar.similar_documents(texts))
     groups = connected_components(marked, "id", "component_id")
@@ -37,17 +50,20 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
+    _small_batches(spark)
     return contamination.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of the secret scan is replaced by a mark; n_chars follows the text."""
+    _small_batches(spark)
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the token sequences."""
+    _small_batches(spark)
     return packed(docs)
 
 
