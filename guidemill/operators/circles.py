@@ -12,15 +12,26 @@ Each round works on the edges that may still lie on a circle:
 
 Every step is a join or aggregate over edges, written once; nothing is collected.  Sides of joins meet by exchange: there is a join a
 round and more, and tables broadcast each time would all pass through the driver.
+
+Long thin paths take many such steps over few edges.  Edges beyond ``TASK_EDGES`` are trimmed for as long as that takes out a good part
+of them; a rest within it whose labels do not settle in ``TASK_STEPS`` steps is finished by one task, in time linear in its edges.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from guidemill.sources.tables import written
 
+TASK_EDGES = 1 << 20  # edges that one task may hold, some 300 MB of its Python process
+TASK_STEPS = 2  # label steps before a rest that fits a task goes there
+
 
 def circle_members(edges: DataFrame) -> DataFrame:
     """(chunk_id, circle): chunks on a circle of any length; ``circle`` is the largest chunk of the mutually reachable set.
@@ -31,25 +42,36 @@ def circle_members(edges: DataFrame) -> DataFrame:
         F.col("source_chunk_id").alias("a"), F.col("target_chunk_id").alias("b")).distinct(), "pairs")
     loops = pairs.where("a = b").select(F.col("a").alias("node"))
     sets: list[DataFrame] = []  # (node, set) of finished sets
-    chains: list[DataFrame] = []  # (node, head, tail) of the chains taken out, round by round
+    chains: list[tuple[DataFrame, DataFrame]] = []  # (node, head, tail) of the chains taken out, and (node) of those a chain leads back to, round by round
     rest, turn = pairs.where("a <> b"), 0
-    while not rest.isEmpty():
+    while count := rest.count():
         turn += 1
-        inner, rings, rest = _contract(rest)
-        if inner is not None:
-            chains.append(inner)
-            sets.append(rings)
-            loops = loops.unionByName(rest.where("a = b").select(F.col("a").alias("node")))
-        rest = written(_trim(rest.where("a <> b")), "trimmed")
-        if rest.isEmpty():
+        rest, count = _shrunk(rest, count)
+        if count > TASK_EDGES:
+            inner, rings, rest = _contract(rest)
+            if inner is not None:
+                chains.append((inner, rest.where("a = b").select(F.col("a").alias("node"))))
+                sets.append(rings)
+            rest = written(_trim(rest.where("a <> b")), "trimmed")
+            count = rest.count()
+        if not count:
+            break
+        if turn > 1 and count <= TASK_EDGES:
+            sets.append(_by_one_task(rest, turn))
             break
         nodes = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        forward = _largest_label(rest, nodes, turn)
+        forward = _largest_label(rest, nodes, turn, count)
+        if forward is None:
+            sets.append(_by_one_task(rest, turn))
+            break
         ends = forward.select("node", "best")
         same = written(
             rest.join(ends.select(F.col("node").alias("a"), F.col("best").alias("fa")).hint("merge"), "a").join(ends.select(F.col("node").alias("b"), F.col("best").alias("fb")).hint("merge"), "b")
             .where("fa = fb").select("a", "b", "fa"), "classes")
-        backward = _largest_label(same.select(F.col("b").alias("a"), F.col("a").alias("b")), nodes, turn)
+        backward = _largest_label(same.select(F.col("b").alias("a"), F.col("a").alias("b")), nodes, turn, count)
+        if backward is None:  # edges between nodes of two labels lie on no circle
+            sets.append(_by_one_task(same.select("a", "b"), turn))
+            break
         both = written(forward.select("node", F.col("best").alias("f")).join(backward.select("node", F.col("best").alias("r")).hint("merge"), "node"), "labels")
         sizes = both.where("f = r").groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
         sets.append(both.where("f = r").join(sizes.hint("merge"), "f", "left_semi").select("node", F.concat(F.lit(f"label {turn} "), F.col("f").cast("string")).alias("set")))
@@ -57,21 +79,25 @@ def circle_members(edges: DataFrame) -> DataFrame:
         rest = written(
             same.join(left.select(F.col("node").alias("a"), F.col("r").alias("ra")).hint("merge"), "a").join(left.select(F.col("node").alias("b"), F.col("r").alias("rb")).hint("merge"), "b")
             .where("ra = rb").select("a", "b"), "rest")
-    alone = loops.distinct().withColumn("set", F.concat(F.lit("loop "), F.col("node").cast("string")))
     found = None
     for part in sets:
         found = part if found is None else found.unionByName(part)
-    found = alone if found is None else found.unionByName(alone.join(found.select("node").hint("merge"), "node", "left_anti"))
-    for inner in reversed(chains):
-        found = written(found, "sets")
+    for inner, turned in reversed(chains):
+        found = written(_with_single(found, turned), "sets")
         held = inner.join(found.select(F.col("node").alias("head"), F.col("set").alias("set")).hint("merge"), "head").join(
             found.select(F.col("node").alias("tail"), F.col("set").alias("at_tail")).hint("merge"), "tail").where("set = at_tail").select("node", "set")
         found = found.unionByName(held)
-    found = written(found, "sets")
+    found = written(_with_single(found, loops), "sets")  # last: a node of a chain is known only now
     largest = found.groupBy("set").agg(F.max("node").alias("circle"))
     return found.join(largest.hint("merge"), "set").select(F.col("node").alias("chunk_id"), "circle")
 
 
+def _with_single(found: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    """Nodes that lead to themselves are sets of one unless they are in a set already."""
+    alone = nodes.withColumn("set", F.concat(F.lit("loop "), F.col("node").cast("string")))
+    return alone if found is None else found.unionByName(alone.join(found.select("node").hint("merge"), "node", "left_anti"))
+
+
 def _contract(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
     """Chains as (node, head, tail), circles that are nothing but a chain as (node, set), and the edges left.
 
@@ -107,8 +133,18 @@ def _contract(edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None, Dat
     return done, rings, left
 
 
+def _shrunk(edges: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """Edges that may lie on a circle, and how many: trimmed while they are too many for a task and a quarter goes each time."""
+    while count > TASK_EDGES:
+        edges = written(_trim(edges), "trimmed")
+        before, count = count, edges.count()
+        if count > before * 3 / 4:
+            break
+    return edges, count
+
+
 def _trim(edges: DataFrame) -> DataFrame:
-    """Edges whose start something leads to and whose end leads somewhere; one step, the rest is left to the labels."""
+    """Edges whose start something leads to and whose end leads somewhere; one step."""
     return edges.join(edges.select(F.col("b").alias("a")).distinct().hint("merge"), "a", "left_semi").join(edges.select(F.col("a").alias("b")).distinct().hint("merge"), "b", "left_semi").select("a", "b")
 
 
@@ -117,17 +153,70 @@ def _label(node: str, turn: int) -> Column:
     return F.xxhash64(node, F.lit(turn))
 
 
-def _largest_label(edges: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+def _largest_label(edges: DataFrame, nodes: DataFrame, turn: int, count: int) -> DataFrame | None:
     """(node, best): the largest label of the nodes from which a node can be reached, itself included.
 
-    Only nodes whose label grew in the step before send it on: what others hold has been sent.
+    Only nodes whose label grew in the step before send it on: what others hold has been sent.  None if that goes on although
+    the edges (``count`` at most) fit a task.
     """
-    state = written(nodes.select("node", _label("node", turn).alias("best"), F.lit(True).alias("moved")), "reach")
-    while True:
+    state, steps = written(nodes.select("node", _label("node", turn).alias("best"), F.lit(True).alias("moved")), "reach"), 0
+    while count > TASK_EDGES or steps < TASK_STEPS:
         sent = edges.join(state.where("moved").select(F.col("node").alias("a"), "best").hint("merge"), "a").groupBy(F.col("b").alias("node")).agg(F.max("best").alias("sent"))
         stepped = state.join(sent.hint("merge"), "node", "left").select("node", F.greatest("best", F.coalesce("sent", "best")).alias("best"), F.col("best").alias("old"))
         further = state.where(F.col("best") > _label("node", turn)).select(_label("node", turn).alias("best"), F.col("best").alias("jump"))
-        state = written(stepped.join(further.hint("merge"), "best", "left").select(
-            "node", F.coalesce("jump", "best").alias("best"), (F.coalesce("jump", "best") > F.col("old")).alias("moved")), "reach")
+        state, steps = written(stepped.join(further.hint("merge"), "best", "left").select(
+            "node", F.coalesce("jump", "best").alias("best"), (F.coalesce("jump", "best") > F.col("old")).alias("moved")), "reach"), steps + 1
         if state.where("moved").isEmpty():
             return state.drop("moved")
+    return None
+
+
+def _by_one_task(edges: DataFrame, turn: int) -> DataFrame:
+    """(node, set) of the sets of two nodes and more; all edges go to one task of an executor."""
+    schema = StructType([StructField("node", edges.schema["a"].dataType), StructField("number", LongType())])
+    found = written(edges.select("a", "b").coalesce(1).mapInArrow(_sets_of(schema.names), schema), "finished")
+    return found.select("node", F.concat(F.lit(f"task {turn} "), F.col("number").cast("string")).alias("set"))
+
+
+def _sets_of(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        nodes = pa.chunked_array([batch.column(side) for side in (0, 1) for batch in held]).combine_chunks().dictionary_encode()
+        a, b = np.split(nodes.indices.to_numpy(), 2)
+        number = strong_sets(a, b, len(nodes.dictionary))
+        kept = np.flatnonzero(np.bincount(number, minlength=len(number))[number] > 1)
+        yield pa.RecordBatch.from_arrays([nodes.dictionary.take(pa.array(kept)), pa.array(number[kept])], names=names)
+
+    return sets
+
+
+def strong_sets(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """For each of the nodes 0 .. size - 1 a node of its set of mutually reachable nodes, the same for all of a set (edges a to b; Tarjan)."""
+    ends = np.cumsum(np.bincount(a, minlength=size))
+    after, upto, at = b[np.argsort(a, kind="stable")].tolist(), ends.tolist(), [0, *ends[:-1].tolist()]
+    seen, low, number = [0] * size, [0] * size, [-1] * size  # order of the visit (0: none yet), earliest open node within reach, set
+    clock, open_ = 0, []
+    for root in range(size):
+        path = [] if seen[root] else [root]
+        while path:
+            x = path[-1]
+            if not seen[x]:
+                clock += 1
+                seen[x] = low[x] = clock
+                open_.append(x)
+            if at[x] < upto[x]:
+                y = after[at[x]]
+                at[x] += 1
+                if not seen[y]:
+                    path.append(y)
+                elif number[y] < 0 and seen[y] < low[x]:
+                    low[x] = seen[y]
+                continue
+            path.pop()
+            if path and low[x] < low[path[-1]]:
+                low[path[-1]] = low[x]
+            while low[x] == seen[x] and number[x] < 0:
+                number[open_.pop()] = x
+    return np.array(number, np.int64)

@@ -84,3 +84,41 @@ def test_labels_do_not_travel(spark, monkeypatch):
     pairs = [(1, 2), (2, 3), (3, 1), (2, 1), (3, 2), (3, 4), (4, 5), (5, 4), (4, 6), (6, 5), (5, 6)]
     assert found(circles.circle_members(frame(spark, pairs))) == plain(pairs)
     assert {columns for label, columns in kinds if label == "reach"} == {("node", "best", "moved")}
+
+
+def test_sparse_graph_takes_few_steps(spark, monkeypatch):
+    """As many edges as nodes: long thin paths, on which labels would go on for dozens of steps."""
+    writes = []
+    monkeypatch.setattr(circles, "written", lambda df, label, keep=circles.written: writes.append(label) or keep(df, label))
+    pick = random.Random(7)
+    pairs = [(pick.randrange(3_000), pick.randrange(3_000)) for _ in range(3_200)] + [(k, k + 1) for k in range(4_000, 4_300)] + [(4_300, 4_000), (4_200, 4_100)]
+    want = plain(pairs)
+    assert found(circles.circle_members(frame(spark, pairs))) == want and len(set(want.values())) > 2
+    assert len(writes) <= 10
+
+
+@pytest.mark.parametrize("most", [0, 30])
+def test_more_edges_than_a_task_holds(spark, monkeypatch, most):
+    """Trimming, chains and labels by joins alone, and until the rest fits a task."""
+    monkeypatch.setattr(circles, "TASK_EDGES", most)
+    writes = []
+    monkeypatch.setattr(circles, "written", lambda df, label, keep=circles.written: writes.append(label) or keep(df, label))
+    pick = random.Random(9)
+    pairs = [(pick.randrange(60), pick.randrange(60)) for _ in range(75)] + [(100, 101), (101, 102), (102, 100), (102, 103), (103, 104), (104, 103), (200, 201), (201, 200), (7, 7)]
+    assert found(circles.circle_members(frame(spark, pairs))) == plain(pairs)
+    assert "trimmed" in writes and ("finished" in writes) == (most > 0)
+
+
+def test_sets_of_a_task_for_any_kind_of_key(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("f", "f")]
+    edges = spark.createDataFrame([(a, b, True) for a, b in pairs], "source_chunk_id string, target_chunk_id string, is_resolved boolean").repartition(3)
+    assert found(circles.circle_members(edges)) == {"a": "c", "b": "c", "c": "c", "d": "e", "e": "e", "f": "f"}
+    sets = circles._by_one_task(edges.where("source_chunk_id <> target_chunk_id").selectExpr("source_chunk_id AS a", "target_chunk_id AS b"), 1).collect()
+    assert sorted(sorted(r["node"] for r in sets if r["set"] == s) for s in {r["set"] for r in sets}) == [["a", "b", "c"], ["d", "e"]]
+
+
+def test_node_of_a_chain_that_leads_to_itself(spark, monkeypatch):
+    """It belongs to the circle of its chain, once, and to one of its own where the chain lies on none."""
+    monkeypatch.setattr(circles, "TASK_EDGES", 0, raising=False)
+    pairs = [(1, 2), (2, 3), (3, 1), (1, 3), (2, 2), (10, 11), (11, 12), (12, 10), (10, 12), (10, 20), (20, 21), (21, 1), (20, 20)]
+    assert found(circles.circle_members(frame(spark, pairs))) == plain(pairs)
